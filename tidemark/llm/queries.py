@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .decontaminate import op9_decontamination
+from .pii import op7_pii
 from .quality_rules import op1_quality_rules
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules,)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op7_pii, op9_decontamination)}
 ORACLES: dict[str, str] = {}
