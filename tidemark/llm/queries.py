@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from .decontaminate import op9_decontamination
+from .jaccard_join import op6_jaccard_join
+from .pieces import op3_pieces
 from .pii import op7_pii
 from .quality_rules import op1_quality_rules
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op7_pii, op9_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_pieces, op6_jaccard_join, op7_pii, op9_decontamination)}
 ORACLES: dict[str, str] = {}
