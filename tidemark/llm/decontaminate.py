@@ -28,7 +28,10 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 def words(text: Column) -> Column:
     """Normalised words of a text; null gives none."""
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), F.lit(WORD), F.lit(0))
+    whole = F.coalesce(text, F.lit(""))
+    # lower() is the same and faster where every character is ASCII
+    lower = F.when(F.octet_length(whole) == F.length(whole), F.lower(whole)).otherwise(F.translate(whole, _UPPER, _LOWER))
+    return F.regexp_extract_all(lower, F.lit(WORD), F.lit(0))
 
 
 def _pair(a: Column, b: Column, offset: int) -> Column:
@@ -58,11 +61,11 @@ def benchmark_windows(items: DataFrame, lengths: list[int], item_id: str = "item
     w = items.select(F.col(item_id).alias("item"), words(F.col(text)).alias("w")).where(F.size("w") > 0)
     w = w.withColumn("k", F.least(F.size("w"), F.lit(WINDOW)))
     w = _hash_windows(w, "w", lengths)
-    rows = [w.where(F.col("k") == k).select("item", "w", "k", F.posexplode(f"h{k}").alias("pos", "h")) for k in lengths]
+    rows = [w.where(F.col("k") == k).select("item", "w", "k", F.posexplode_outer(f"h{k}").alias("pos", "h")) for k in lengths]
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r)
-    return out.groupBy("h", "k", F.slice("w", F.col("pos") + 1, F.col("k")).alias("gram")).agg(F.sort_array(F.collect_set("item")).alias("items"))
+    return out.where("h is not null").groupBy("h", "k", F.slice("w", F.col("pos") + 1, F.col("k")).alias("gram")).agg(F.sort_array(F.collect_set("item")).alias("items"))
 
 
 def _lengths(items: DataFrame, text: str) -> list[int]:
@@ -75,14 +78,15 @@ def find_hits(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: s
     lengths = _lengths(items, item_text)
     grams = benchmark_windows(items, lengths, item_id, item_text)
     few = grams.count() <= BROADCAST_WINDOWS
+    # outer: for the inner kind Spark infers a filter on the array and repeats the whole chain of hashes in it
     scan = docs.select(F.col(doc_id).alias("d"), F.xxhash64(text).alias("th"), words(F.col(text)).alias("w"))
     scan = _hash_windows(scan, "w", lengths).select("d", "th", *[f"h{k}" for k in lengths])
     if len(lengths) == 1:
-        flat = scan.select("d", "th", F.posexplode(f"h{lengths[0]}").alias("pos", "h")).withColumn("k", F.lit(lengths[0]))
+        flat = scan.select("d", "th", F.posexplode_outer(f"h{lengths[0]}").alias("pos", "h")).withColumn("k", F.lit(lengths[0]))
     else:
         tag = lambda k: F.transform(f"h{k}", lambda h, i: F.struct(i.alias("pos"), h.alias("h"), F.lit(k).alias("k")))
         tagged = [tag(k) for k in lengths]
-        flat = scan.select("d", "th", F.explode(F.concat(*tagged)).alias("x")).select("d", "th", "x.*")
+        flat = scan.select("d", "th", F.explode_outer(F.concat(*tagged)).alias("x")).select("d", "th", "x.*")
     found = flat.join(F.broadcast(grams) if few else grams, ["h", "k"])
     by_doc = found.groupBy("d", "th").agg(F.collect_set(F.struct("pos", "k", "gram", "items")).alias("hits"))
     joined = docs.join(by_doc, docs[doc_id].eqNullSafe(F.col("d")) & (F.xxhash64(docs[text]) == F.col("th")), "left").drop("d", "th")
