@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from .decontaminate import op9_decontamination
 from .jaccard_join import op6_jaccard_join
+from .language_id import op2_language_id
 from .pieces import op3_pieces
 from .pii import op7_pii
+from .quality_classifier import op5_quality_classifier
 from .quality_rules import op1_quality_rules
+from .sharding import op8_jump_hash
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_pieces, op6_jaccard_join, op7_pii, op9_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_language_id, op3_pieces, op5_quality_classifier, op6_jaccard_join, op7_pii, op8_jump_hash, op9_decontamination)}
 ORACLES: dict[str, str] = {}
