@@ -9,7 +9,9 @@ from .pieces import op3_pieces
 from .pii import op7_pii
 from .quality_classifier import op5_quality_classifier
 from .quality_rules import op1_quality_rules
+from .separator_scan import op4_separator_scan
 from .sharding import op8_jump_hash
+from .substring_dedup import op10_substring_dedup
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_language_id, op3_pieces, op5_quality_classifier, op6_jaccard_join, op7_pii, op8_jump_hash, op9_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_language_id, op3_pieces, op4_separator_scan, op5_quality_classifier, op6_jaccard_join, op7_pii, op8_jump_hash, op9_decontamination, op10_substring_dedup)}
 ORACLES: dict[str, str] = {}
