@@ -1,7 +1,7 @@
 """Operator 6: exact Jaccard metric-space join on word shingles.
 
-Two sets link when 100 * |A and B| >= 85 * |A or B|, so their symmetric difference
-has at most 15/85 of the smaller set's elements.  Documents at distance 1 from
+Two sets link when 100 * |A and B| >= link * |A or B| (85 unless said otherwise), so
+their symmetric difference has at most (100 - link) / link of the smaller set's elements.  Documents at distance 1 from
 every document pivot would all stand in every pivot's window, so the first level
 takes *part pivots*: the shingle universe is dealt by hash into m parts (m by size
 class, and each set also stands in the next class where its window of partner
@@ -17,7 +17,7 @@ regions, which are joined recursively around document pivots: a pivot's distance
 to every member is taken, members within the threshold join its component, and
 the next, four times as many, pivots come from the members outside the region's
 largest component, until every one of those has been compared with all members
-whose distance to a former pivot does not rule it out (|d(a,p) - d(b,p)| <= 0.15).
+whose distance to a former pivot does not rule it out (|d(a,p) - d(b,p)| <= 1 - link / 100).
 
 Equal sets are one node throughout; every link between different sets is checked
 on the sets themselves.
@@ -103,18 +103,26 @@ def nodes(text: Column, k: int = SHINGLE) -> Column:
     return F.arrow_udf(of, "struct<n:bigint,node:bigint>")(text)
 
 
-def _schemes(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _schemes(n: np.ndarray, link: int) -> tuple[np.ndarray, np.ndarray]:
     """The size class of each set, and whether it also stands in the next."""
     own = np.maximum(5, np.floor(np.log2(np.maximum(n, 1) + 0.5)).astype(np.int64))
-    return own, n * OF >= (1 << (own + 1)) * LINK
+    return own, n * OF >= (1 << (own + 1)) * link
 
 
-def _parts_of(shingles: np.ndarray, counts: np.ndarray, scheme: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _eighths(link: int) -> int:
+    """Parts of a size class, in eighths of its least size: so many that its largest sets have a third more non-empty parts than a link may change."""
+    for e in range(4, 65):
+        if e / 8 * (1 - np.exp(-16 / e)) >= 1.35 * 2 * (OF - link) / link:
+            return e
+    raise ValueError(f"link {link}: parts can't tell sets this far apart")
+
+
+def _parts_of(shingles: np.ndarray, counts: np.ndarray, scheme: np.ndarray, eighths: int) -> tuple[np.ndarray, np.ndarray]:
     """Contents of each set's non-empty parts as keys with the scheme in the lowest bits, and their numbers."""
     owner = np.repeat(np.arange(len(counts)), counts)
     if not len(owner):
         return np.zeros(0, np.uint64), np.zeros(len(counts), np.int64)
-    m = np.maximum(64, 1 << np.maximum(scheme - 1, 0)).astype(np.uint64)
+    m = np.maximum(64, (eighths << scheme) >> 3).astype(np.uint64)
     part = mix64(shingles ^ GOLDEN) % m[owner]
     key = (owner.astype(np.uint64) << np.uint64(32)) | part
     order = np.argsort(key, kind="stable")
@@ -126,15 +134,16 @@ def _parts_of(shingles: np.ndarray, counts: np.ndarray, scheme: np.ndarray) -> t
     return (sig << np.uint64(6)) | scheme[owner].astype(np.uint64), np.bincount(owner, minlength=len(counts))
 
 
-def parts(text: Column, k: int = SHINGLE) -> Column:
+def parts(text: Column, k: int = SHINGLE, link: int = LINK) -> Column:
     """struct(n, node, parts, needs): a text's cells, and the number of cells that a linked set shares with it, by scheme."""
+    eighths = _eighths(link)
 
     def of(t: pa.Array) -> pa.Array:
         shingles, counts = _batch(t, k)
-        own, more = _schemes(counts)
-        differ = counts * (OF - LINK) // LINK
-        first, n_first = _parts_of(shingles, counts, own)
-        second, n_second = _parts_of(shingles[np.repeat(more, counts)], counts[more], own[more] + 1)
+        own, more = _schemes(counts, link)
+        differ = counts * (OF - link) // link
+        first, n_first = _parts_of(shingles, counts, own, eighths)
+        second, n_second = _parts_of(shingles[np.repeat(more, counts)], counts[more], own[more] + 1, eighths)
         at, at_second = np.concatenate([[0], np.cumsum(n_first)]), np.concatenate([[0], np.cumsum(n_second)])
         keys, lengths, scheme, need, n_needs, j = [], [], [], [], [], 0
         for i in range(len(counts)):
@@ -160,7 +169,8 @@ def parts(text: Column, k: int = SHINGLE) -> Column:
 class _Verifier:
     """The sets of the nodes that stand in any cell with others, and the exact test on pairs of them."""
 
-    def __init__(self, docs: DataFrame, text: str, wanted: DataFrame, k: int):
+    def __init__(self, docs: DataFrame, text: str, wanted: DataFrame, k: int, link: int):
+        self.link = link
         wanted = cut(wanted.select("node").distinct(), "wanted")
         few = wanted.count() <= BROADCAST_NODES
         found = docs.select(sets(docs[text], k).alias("s")).select("s.*").join(F.broadcast(wanted) if few else wanted, "node", "left_semi")
@@ -170,12 +180,12 @@ class _Verifier:
         """(a, b) -> (a, b, common, either): sizes of intersection and union."""
         a = self.sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"))
         b = self.sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"))
-        sized = pairs.join(a.select("a", "na"), "a").join(b.select("b", "nb"), "b").where((F.col("na") * OF >= F.col("nb") * LINK) & (F.col("nb") * OF >= F.col("na") * LINK)).select("a", "b")
+        sized = pairs.join(a.select("a", "na"), "a").join(b.select("b", "nb"), "b").where((F.col("na") * OF >= F.col("nb") * self.link) & (F.col("nb") * OF >= F.col("na") * self.link)).select("a", "b")
         both = sized.join(a, "a").join(b, "b").withColumn("common", F.size(F.array_intersect("sa", "sb")).cast("long"))
         return both.select("a", "b", "common", (F.col("na") + F.col("nb") - F.col("common")).alias("either"))
 
     def links(self, pairs: DataFrame) -> DataFrame:
-        return cut(self.distances(pairs).where(F.col("common") * OF >= F.col("either") * LINK).select("a", "b"), "links")
+        return cut(self.distances(pairs).where(F.col("common") * OF >= F.col("either") * self.link).select("a", "b"), "links")
 
 
 def _join_regions(verifier: _Verifier, links: DataFrame, crowded: DataFrame) -> DataFrame:
@@ -206,10 +216,10 @@ def _join_regions(verifier: _Verifier, links: DataFrame, crowded: DataFrame) ->
         count *= 4
 
 
-def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE) -> DataFrame:
+def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE, link: int = LINK) -> DataFrame:
     """(doc_id, node, n_shingles, component_id), a row for each row of docs."""
     light = cut(docs.select(docs[doc_id].alias("doc_id"), nodes(docs[text], k).alias("x")).select("doc_id", "x.*"), "nodes")
-    heavy = docs.select(parts(docs[text], k).alias("x")).select("x.*").where("n > 0")
+    heavy = docs.select(parts(docs[text], k, link).alias("x")).select("x.*").where("n > 0")
     reps = heavy.groupBy("node").agg(F.first("parts").alias("parts"), F.first("needs").alias("needs"))
     by = Window.partitionBy("part")
     cells = reps.select("node", F.explode("parts").alias("part"))
@@ -226,7 +236,7 @@ def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     crowded = cut(crowd.withColumn("scheme", F.col("part").bitwiseAND(63).cast("int")).join(stay, ["node", "scheme"], "left_semi").select("node", "cell").distinct(), "crowd")
     pairs = cut(pairs, "pairs")
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(crowded.select("node"))
-    verifier = _Verifier(docs, text, wanted, k)
+    verifier = _Verifier(docs, text, wanted, k, link)
     links = _join_regions(verifier, verifier.links(pairs), crowded)
     comps = components(links)
     own = light.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"))
@@ -238,12 +248,12 @@ def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return full.unionByName(empty).withColumnRenamed("n", "n_shingles")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, k: int = 5, link: int = 80) -> DataFrame:
     """The rows of docs without those that link to a row that stays: of each component the least doc_id, one row of it."""
     columns = docs.columns
-    linked = cut(link_components(docs), "components")
+    linked = cut(link_components(docs, k=k, link=link), "components")
     stays = linked.where("n_shingles > 0").where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("d"), F.col("node").alias("nd")).distinct()
-    rows = docs.select(F.struct(*[docs[c] for c in columns]).alias("row"), docs["doc_id"].alias("id"), nodes(docs["text"]).alias("x"))
+    rows = docs.select(F.struct(*[docs[c] for c in columns]).alias("row"), docs["doc_id"].alias("id"), nodes(docs["text"], k).alias("x"))
     empty = rows.where(F.col("x.n") == 0).select("row.*")
     full = rows.where(F.col("x.n") > 0).join(stays, F.col("id").eqNullSafe(F.col("d")) & (F.col("x.node") == F.col("nd")))
     one = full.withColumn("copy", F.row_number().over(Window.partitionBy("d", "nd").orderBy(F.lit(1)))).where("copy = 1")
