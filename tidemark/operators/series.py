@@ -70,13 +70,18 @@ def median_of_sorted(a: Column) -> Column:
     return F.when(n > 0, (F.get(a, F.floor((n - 1) / 2).cast("int")) + F.get(a, F.floor(n / 2).cast("int"))) / 2)
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with value computed once, however often use mentions it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def rolling_mad(df: DataFrame, keys: list[str], day: str, v: str, days: int, at_least: int) -> DataFrame:
     """Column mad: median absolute deviation over the last ``days`` calendar days, null below at_least points or at zero scale."""
     w = over(keys, day).rangeBetween(-days, 0)
-    held = df.withColumn("held", F.array_sort(F.collect_list(v).over(w)))
-    held = held.withColumn("mid", median_of_sorted(F.col("held")))
-    mad = median_of_sorted(F.array_sort(F.transform("held", lambda x: F.abs(x - F.col("mid")))))
-    return held.withColumn("mad", F.when(F.size("held") >= at_least, F.nullif(mad, F.lit(0.0)))).drop("held", "mid")
+    deviation = lambda a: let(median_of_sorted(a), lambda mid: let(F.array_sort(F.transform(a, lambda x: F.abs(x - mid))), median_of_sorted))
+    held = df.withColumn("held", F.collect_list(v).over(w))
+    mad = let(F.array_sort("held"), deviation)
+    return held.withColumn("mad", F.when(F.size("held") >= at_least, F.nullif(mad, F.lit(0.0)))).drop("held")
 
 
 def extrema(df: DataFrame, keys: list[str], half: int, t: str = "t", v: str = "v") -> DataFrame:

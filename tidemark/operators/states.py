@@ -1,8 +1,8 @@
-"""Classifiers, grids and composites."""
+"""Classifiers, composites and configuration grids."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .series import over
@@ -14,3 +14,86 @@ def mode(df: DataFrame, keys: list[str], v: str, tie_order: list[str]) -> DataFr
     counted = df.groupBy(*keys, v).agg(F.count("*").alias("n")).withColumn("place", F.when(place == 0, len(tie_order) + 1).otherwise(place))
     rank = F.row_number().over(over(keys, F.desc("n"), F.asc("place"), F.asc(v)))
     return counted.withColumn("rank", rank).where("rank = 1").select(*keys, v)
+
+
+def distribution(df: DataFrame, keys: list[str], state: str) -> DataFrame:
+    """Count and share of each state."""
+    counted = df.groupBy(*keys, state).agg(F.count("*").alias("n"))
+    return counted.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))))
+
+
+def axis(parts: DataFrame, keys: list[str], part: str, c: str, weights: DataFrame, cutoff: float = 0.6, full: float = 1.0) -> DataFrame:
+    """Weighted mean of the parts present, null where their weight is under cutoff of the full weight."""
+    rows = parts.where(F.col(c).isNotNull()).join(F.broadcast(weights), part)
+    share = F.sum("weight") / full
+    return rows.groupBy(*keys).agg(share.alias("share"), F.when(share >= cutoff, F.sum(F.col("weight") * F.col(c)) / F.sum("weight")).alias("score"))
+
+
+def quadrant(a: Column, b: Column, theta_a: Column | float, theta_b: Column | float, veto: Column | None = None) -> Column:
+    """CENTER where both scores are small, else the quadrant I..IV of their signs; ANOMALY where vetoed; null without both."""
+    small = (F.abs(a) < theta_a) & (F.abs(b) < theta_b)
+    named = F.when((a >= 0) & (b >= 0), "I").when((a < 0) & (b >= 0), "II").when((a < 0) & (b < 0), "III").otherwise("IV")
+    out = F.when(a.isNull() | b.isNull(), None).when(small, "CENTER")
+    return (out.when(veto, "ANOMALY") if veto is not None else out).otherwise(named)
+
+
+def curve_shape(short: Column, long: Column, parallel: float) -> Column:
+    """Shape of a pair of moves: PARALLEL within a tolerance, TWIST on opposite signs, else by which moves more and which way."""
+    steeper = long > short
+    return F.when(F.abs(long - short) <= parallel, "PARALLEL").when(F.signum(long) * F.signum(short) < 0, "TWIST").when(steeper & (long > 0), "I").when(steeper, "II").when(long > 0, "IV").otherwise("III")
+
+
+def theta_grid(scores: DataFrame, a: str, b: str, qs: list[float], target: float) -> DataFrame:
+    """(q, theta_a, theta_b, centre_share, chosen) for thresholds at quantiles q of |score|; chosen: nearest to the target share, least q on ties."""
+    at = [F.percentile(F.abs(c), F.array(*[F.lit(x) for x in qs])) for c in (a, b)]
+    limits = scores.agg(at[0].alias("ta"), at[1].alias("tb")).select(F.posexplode(F.arrays_zip("ta", "tb")).alias("i", "z")).select(F.get(F.array(*[F.lit(x) for x in qs]), F.col("i")).alias("q"), F.col("z.ta").alias("theta_a"), F.col("z.tb").alias("theta_b"))
+    state = quadrant(F.col(a), F.col(b), F.col("theta_a"), F.col("theta_b"))
+    cells = scores.join(F.broadcast(limits)).groupBy("q", "theta_a", "theta_b").agg(F.avg(F.when(state == "CENTER", 1.0).otherwise(0.0)).alias("centre_share"))
+    rank = F.row_number().over(Window.orderBy(F.abs(F.col("centre_share") - target), "q"))
+    return cells.withColumn("chosen", rank == 1)
+
+
+def coherence(df: DataFrame, a: str, b: str) -> DataFrame:
+    """(observed, expected, lift): share of rows on which two state columns agree, against independence."""
+    both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    n = both.agg(F.count("*").alias("n"), F.avg((F.col(a) == F.col(b)).cast("double")).alias("observed"))
+    pa = both.groupBy(F.col(a).alias("s")).agg(F.count("*").alias("na"))
+    pb = both.groupBy(F.col(b).alias("s")).agg(F.count("*").alias("nb"))
+    product = pa.join(pb, "s").agg(F.sum(F.col("na") * F.col("nb")).alias("p"))
+    out = n.join(F.broadcast(product)).withColumn("expected", F.coalesce("p", F.lit(0)) / (F.col("n") * F.col("n")))
+    return out.select("observed", "expected", (F.col("observed") / F.nullif(F.col("expected"), F.lit(0.0))).alias("lift"))
+
+
+def standardised(df: DataFrame, panel: str, low: int, high: int, at_least: int = 24, t: str = "t", v: str = "v") -> DataFrame:
+    """Column z: v by its panel's mean and sample deviation over the reference months; panels with too few of these go."""
+    base = df.where(F.col(t).between(low, high)).groupBy(panel).agg(F.avg(v).alias("mu"), F.stddev_samp(v).alias("sd"), F.count(v).alias("n"))
+    return df.join(base.where((F.col("n") >= at_least) & (F.col("sd") > 0)).drop("n"), panel).withColumn("z", (F.col(v) - F.col("mu")) / F.col("sd")).drop("mu", "sd")
+
+
+def composite_balanced(z: DataFrame, panel: str, t: str = "t") -> DataFrame:
+    """Mean over panels of the months that all panels have."""
+    k = z.select(panel).distinct().agg(F.count("*").alias("k"))
+    by = z.groupBy(t).agg(F.avg("z").alias("c"), F.countDistinct(panel).alias("n"))
+    return by.join(F.broadcast(k)).where("n = k").select(t, "c")
+
+
+def composite_chain(z: DataFrame, panel: str, t: str = "t") -> DataFrame:
+    """Chain-linked composite: increments are means over the panels present in both months, from 0."""
+    before = z.select(panel, (F.col(t) + 1).alias(t), F.col("z").alias("b"))
+    steps = z.join(before, [panel, t]).groupBy(t).agg(F.avg(F.col("z") - F.col("b")).alias("step"))
+    return steps.withColumn("c", F.sum("step").over(Window.orderBy(t).rowsBetween(Window.unboundedPreceding, 0))).select(t, "c")
+
+
+def composite_members(df: DataFrame, panel: str, t: str = "t") -> DataFrame:
+    """Months at which the set of panels present differs from the month before, with the set."""
+    by = df.groupBy(t).agg(F.array_join(F.array_sort(F.collect_set(panel)), "|").alias("members"))
+    before = F.lag("members").over(Window.orderBy(t))
+    return by.withColumn("before", before).where("before is null or before <> members").drop("before")
+
+
+def definition_grid(points: DataFrame, configs: DataFrame, axes: list[str], hit: Column) -> DataFrame:
+    """Hits of every configuration, and by every axis: broadcast configurations against the points, then grouping sets."""
+    cells = points.join(F.broadcast(configs)).groupBy(*axes).agg(F.sum(F.when(hit, 1).otherwise(0)).alias("hits"), F.count("*").alias("n"))
+    sets = [[F.col(a) for a in axes], *[[F.col(a)] for a in axes], []]
+    marks = [F.grouping(a).cast("bigint").alias(f"all_{a}") for a in axes]
+    return cells.groupingSets(sets, *[F.col(a) for a in axes]).agg(F.sum("hits").alias("hits"), F.sum("n").alias("n"), *marks)

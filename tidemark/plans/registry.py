@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import more_queries, series_queries
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet")
+QUERIES = series_queries.QUERIES | more_queries.QUERIES
+ORACLES = series_queries.ORACLES | more_queries.ORACLES
+FLAGSHIP = QUERIES["crps_price_vs_baseline"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -79,7 +79,7 @@ def series_bounds(spark, d):
     return W.bounds(W.between(mn(spark, d), "t", 23946, 24000), ["k"], "t", "v")
 
 
-@q("", "SELECT event_type k, CAST(date_trunc('week', ts) AS DATE) t, avg(value) mean, arg_max(value, ts) last, count(DISTINCT CAST(ts AS DATE)) days, bool_or(value < 0) any_negative FROM events GROUP BY 1, 2", k="string", t="date", mean="double", last="double", days="bigint", any_negative="boolean")
+@q("", "SELECT event_type k, CAST(date_trunc('week', ts) AS DATE) t, avg(value) mean, arg_max(value, ts) last, count(DISTINCT CAST(ts AS DATE)) AS days, bool_or(value < 0) any_negative FROM events GROUP BY 1, 2", k="string", t="date", mean="double", last="double", days="bigint", any_negative="boolean")
 def resample_weeks(spark, d):
     e = read(spark, d, "events").select(F.col("event_type").alias("k"), "ts", "value")
     return W.resample(e, ["k"], F.to_date(F.date_trunc("week", "ts")), "ts", "value")
@@ -123,7 +123,7 @@ def moving_means(spark, d):
     return W.centred_mean(W.trailing_mean(mn(spark, d), ["k"], 6), ["k"])
 
 
-_DAILY = "dl AS (SELECT c_mktsegment k, CAST(o_orderdate AS DATE) day, CAST(avg(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) v FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)"
+_DAILY = "dl AS (SELECT c_mktsegment k, CAST(o_orderdate AS DATE) AS day, CAST(avg(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) v FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)"
 
 
 @q([_DAILY, "r AS (SELECT k, day, v, v - lag(v, 5) OVER (PARTITION BY k ORDER BY day) raw FROM dl)", "s AS (SELECT *, mad(raw) OVER w sc, count(raw) OVER w n FROM r WHERE raw IS NOT NULL WINDOW w AS (PARTITION BY k ORDER BY day RANGE BETWEEN INTERVAL 180 DAY PRECEDING AND CURRENT ROW))"], "SELECT k, day, greatest(-3, least(3, raw / (1.4826 * nullif(sc, 0)))) / 3 speed FROM s WHERE n >= 20 AND sc > 0", k="string", day="date", speed="double")
@@ -154,7 +154,7 @@ def episodes_gap_one(spark, d):
     return W.islands(_low_points(spark, d), ["k"], 1).withColumnsRenamed({"start": "a", "end": "b"})
 
 
-_ST = "st AS (SELECT user_id u, CAST(ts AS DATE) day, CAST(sign(avg(value) - 50) AS INT) s FROM events GROUP BY 1, 2)"
+_ST = "st AS (SELECT user_id u, CAST(ts AS DATE) AS day, CAST(sign(avg(value) - 50) AS INT) s FROM events GROUP BY 1, 2)"
 
 
 def _states(spark, d):
@@ -162,7 +162,7 @@ def _states(spark, d):
     return e.groupBy(F.col("user_id").alias("u"), F.to_date("ts").alias("day")).agg(F.signum(F.avg("value") - 50).cast("int").alias("s"))
 
 
-@q([_ST], "SELECT u, a, s, CAST(coalesce(lead(a) OVER (PARTITION BY u ORDER BY a), b + 1) - a AS BIGINT) days FROM (SELECT u, min(day) a, max(day) b, any_value(s) s FROM (SELECT *, sum(new) OVER (PARTITION BY u ORDER BY day) run FROM (SELECT *, CASE WHEN s IS NOT DISTINCT FROM lag(s) OVER (PARTITION BY u ORDER BY day) AND row_number() OVER (PARTITION BY u ORDER BY day) > 1 THEN 0 ELSE 1 END new FROM st)) GROUP BY u, run)", u="bigint", a="date", s="int", days="bigint")
+@q([_ST], "SELECT u, a, s, CAST(coalesce(lead(a) OVER (PARTITION BY u ORDER BY a), b + 1) - a AS BIGINT) AS days FROM (SELECT u, min(day) a, max(day) b, any_value(s) s FROM (SELECT *, sum(new) OVER (PARTITION BY u ORDER BY day) run FROM (SELECT *, CASE WHEN s IS NOT DISTINCT FROM lag(s) OVER (PARTITION BY u ORDER BY day) AND row_number() OVER (PARTITION BY u ORDER BY day) > 1 THEN 0 ELSE 1 END new FROM st)) GROUP BY u, run)", u="bigint", a="date", s="int", days="bigint")
 def spells_calendar_days(spark, d):
     return W.spells(_states(spark, d), ["u"], "day", "s").withColumnRenamed("start", "a")
 
@@ -220,7 +220,7 @@ def asof_last_known(spark, d):
     return J.asof(left, right, ["c"], "day", "v").select(F.col("o_orderkey").alias("o"), "v")
 
 
-@q([M, "p AS (SELECT CAST(make_date(CAST(t // 12 AS INT), CAST(t % 12 + 1 AS INT), 1) + INTERVAL 2 MONTH + INTERVAL 14 DAY AS DATE) av, v FROM m)", "q AS (SELECT DISTINCT CAST(o_orderdate AS DATE) d FROM orders)"], "SELECT q.d day, p.v FROM q ASOF LEFT JOIN p ON q.d >= p.av", day="date", v="double")
+@q([M, "p AS (SELECT CAST(make_date(CAST(t // 12 AS INT), CAST(t % 12 + 1 AS INT), 1) + INTERVAL 2 MONTH + INTERVAL 14 DAY AS DATE) av, v FROM m)", "q AS (SELECT DISTINCT CAST(o_orderdate AS DATE) d FROM orders)"], "SELECT q.d AS day, p.v FROM q ASOF LEFT JOIN p ON q.d >= p.av", day="date", v="double")
 def asof_published(spark, d):
     published = m(spark, d).select(S.available_date(S.month_date(F.col("t")), 2, 15).alias("day"), "v")
     days = read(spark, d, "orders").select(F.to_date("o_orderdate").alias("day")).distinct()
@@ -359,7 +359,7 @@ def crps_deltas(spark, d):
     levels = m(spark, d)
     monthly = W.log_change(levels, [], 1).select("t", (F.col("change") / 100).alias("r"))
     vol = W.rolling_volatility(monthly, [], 12).where("vol is not null")
-    scale = vol.withColumn("a", F.col("vol") / F.avg("vol").over(W.over([], "t").rowsBetween(-(1 << 31), 0))).select(F.col("t").alias("origin"), "a")
+    scale = vol.withColumn("a", F.col("vol") / F.avg("vol").over(W.over([], "t").rowsBetween(Window.unboundedPreceding, 0))).select(F.col("t").alias("origin"), "a")
     base = _ensembles(spark, d)
     centre = base.groupBy("origin").agg(F.avg("x").alias("c"))
     moved = base.join(centre, "origin").join(scale, "origin").withColumn("x", T.scaled_about(F.col("x"), F.col("c"), F.col("a")))
