@@ -252,7 +252,7 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def encode_texts(p: Pieces, texts: list[str], dropout: float, seed: int, streams: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts, one after another, and how many each has."""
-    limit = int(dropout * 2.0**64) if dropout else 0
+    limit = min(int(dropout * 2.0**64), _MASK) if dropout else 0
     joined = "".join(" " + t for t in texts if t)
     if not joined:
         return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
