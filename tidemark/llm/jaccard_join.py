@@ -5,14 +5,15 @@ their symmetric difference has at most (100 - link) / link of the smaller set's
 every document pivot would all stand in every pivot's window, so the first level
 takes *part pivots*: the shingle universe is dealt by hash into m parts (m by size
 class, and each set also stands in the next class where its window of partner
-sizes reaches into that class).  A set lies in the cell of each of its non-empty
-parts' contents.  A pair that links differs in fewer parts than either has, so it
-shares a cell, whatever the data; this is the window in which boundary documents
+sizes reaches into that class).  A set lies in the cell of its non-empty parts'
+contents.  A pair that links differs in at most K parts, K from the bound above, so
+of its first K + need parts, in one order for all sets, at least ``need`` (n // SHARE + 1)
+are cells that both lie in; this is the window in which boundary documents
 are replicated, and no pair is lost.
 
 Small cells are compared directly.  Cells over LEAF members are crossed by common
-passages; a pair needs them only if *all* parts that it must share are crowded
-(``need`` counts these parts), so only such documents stay there.  They form
+passages; a pair needs them only if all ``need`` parts that it must share are
+crowded, so only documents with so many crowded parts stay there.  They form
 regions, which are joined recursively around document pivots: a pivot's distance
 to every member is taken, members within the threshold join its component, and
 the next, four times as many, pivots come from the members outside the region's
@@ -44,7 +45,9 @@ LEAF = 32
 BROADCAST_NODES = 1_000_000
 FIRST_PIVOTS = 4
 SET_TYPE = "struct<n:bigint,node:bigint,shingles:array<bigint>>"
-PART_TYPE = "struct<n:bigint,node:bigint,parts:array<bigint>,needs:array<struct<scheme:int,need:int>>>"
+PART_TYPE = "struct<n:bigint,node:bigint,parts:array<bigint>>"
+#: A linked pair shares one cell, and one more for each so many shingles.
+SHARE = 24
 
 
 def _chunk_sets(w, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -97,8 +100,9 @@ def nodes(text: Column, k: int = SHINGLE) -> Column:
     """struct(n, node) of a text."""
 
     def of(t: pa.Array) -> pa.Array:
-        shingles, counts = _batch(t, k)
-        return pa.StructArray.from_arrays([pa.array(counts), pa.array(_nodes(shingles, counts))], names=["n", "node"])
+        found = [(c, _nodes(s, c)) for s, c in (_chunk_sets(w, k) for _, _, w in text_chunks(t, lower=True))]
+        counts, node = (np.concatenate([x[i] for x in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
+        return pa.StructArray.from_arrays([pa.array(counts), pa.array(node)], names=["n", "node"])
 
     return F.arrow_udf(of, "struct<n:bigint,node:bigint>")(text)
 
@@ -135,33 +139,30 @@ def _parts_of(shingles: np.ndarray, counts: np.ndarray, scheme: np.ndarray, eigh
 
 
 def parts(text: Column, k: int = SHINGLE, link: int = LINK) -> Column:
-    """struct(n, node, parts, needs): a text's cells, and the number of cells that a linked set shares with it, by scheme."""
+    """struct(n, node, parts): a text's cells, of which a linked set shares n // SHARE + 1 or more."""
     eighths = _eighths(link)
 
-    def of(t: pa.Array) -> pa.Array:
-        shingles, counts = _batch(t, k)
+    def of_chunk(shingles: np.ndarray, counts: np.ndarray) -> pa.Array:
         own, more = _schemes(counts, link)
         differ = counts * (OF - link) // link
+        length = differ + counts // SHARE + 1
         first, n_first = _parts_of(shingles, counts, own, eighths)
         second, n_second = _parts_of(shingles[np.repeat(more, counts)], counts[more], own[more] + 1, eighths)
         at, at_second = np.concatenate([[0], np.cumsum(n_first)]), np.concatenate([[0], np.cumsum(n_second)])
-        keys, lengths, scheme, need, n_needs, j = [], [], [], [], [], 0
+        keys, lengths, j = [], np.zeros(len(counts), dtype=np.int64), 0
         for i in range(len(counts)):
-            mine = [first[at[i] : at[i + 1]]]
-            scheme.append(own[i])
-            need.append(n_first[i] - differ[i])
+            mine = [np.sort(first[at[i] : at[i + 1]])[: length[i]]]
             if more[i]:
-                mine.append(second[at_second[j] : at_second[j + 1]])
-                scheme.append(own[i] + 1)
-                need.append(n_second[j] - differ[i])
+                mine.append(np.sort(second[at_second[j] : at_second[j + 1]])[: length[i]])
                 j += 1
-            n_needs.append(len(mine))
             keys += mine
-            lengths.append(sum(map(len, mine)))
+            lengths[i] = sum(map(len, mine))
         keys = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-        pairs = pa.StructArray.from_arrays([pa.array(scheme, pa.int32()), pa.array(need, pa.int32())], names=["scheme", "need"])
-        offsets = pa.array(np.concatenate([[0], np.cumsum(n_needs)]).astype(np.int32))
-        return pa.StructArray.from_arrays([pa.array(counts), pa.array(_nodes(shingles, counts)), list_array(keys.view(np.int64), np.array(lengths, np.int64)), pa.ListArray.from_arrays(offsets, pairs)], names=["n", "node", "parts", "needs"])
+        return pa.StructArray.from_arrays([pa.array(counts), pa.array(_nodes(shingles, counts)), list_array(keys.view(np.int64), lengths)], names=["n", "node", "parts"])
+
+    def of(t: pa.Array) -> pa.Array:
+        chunks = [of_chunk(*_chunk_sets(w, k)) for _, _, w in text_chunks(t, lower=True)]
+        return pa.concat_arrays(chunks) if chunks else of_chunk(np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
     return F.arrow_udf(of, PART_TYPE)(text)
 
@@ -219,28 +220,37 @@ def _join_regions(verifier: _Verifier, links: DataFrame, crowded: DataFrame) ->
 def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE, link: int = LINK) -> DataFrame:
     """(doc_id, node, n_shingles, component_id), a row for each row of docs."""
     light = cut(docs.select(docs[doc_id].alias("doc_id"), nodes(docs[text], k).alias("x")).select("doc_id", "x.*"), "nodes")
-    heavy = docs.select(parts(docs[text], k, link).alias("x")).select("x.*").where("n > 0")
-    reps = heavy.groupBy("node").agg(F.first("parts").alias("parts"), F.first("needs").alias("needs"))
+    # equal sets are dealt once: the rows of all but the least doc_id of each are left out
+    first = light.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows"))
+    copies = light.join(first.where("rows > 1"), "node").where(~F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", F.col("node").alias("node")).distinct()
+    copies = cut(copies, "copies")
+    heavy = docs.select(docs[doc_id].alias("doc_id"), parts(docs[text], k, link).alias("x")).select("doc_id", "x.*").where("n > 0")
+    few = copies.count() <= BROADCAST_NODES
+    own = copies.select(F.col("doc_id").alias("copy_id"), F.col("node").alias("copy_node"))
+    heavy = heavy.join(F.broadcast(own) if few else own, (F.col("node") == F.col("copy_node")) & F.col("doc_id").eqNullSafe(F.col("copy_id")), "left_anti")
     by = Window.partitionBy("part")
-    cells = reps.select("node", F.explode("parts").alias("part"))
+    cells = heavy.select("node", F.explode("parts").alias("part"))
     cells = cells.withColumns({"members": F.count("*").over(by), "least": F.min("node").over(by), "most": F.max("node").over(by), "all": F.bit_xor(F.xxhash64("node")).over(by)})
-    cells = cut(cells.where("members > 1").withColumn("cell", F.xxhash64("members", "least", "most", "all")), "cells")
+    cells = cells.where("members > 1").withColumn("scheme", F.col("part").bitwiseAND(63).cast("int"))
     # parts with the same members are one cell
-    small = cells.where(F.col("members") <= LEAF).select("cell", "node").distinct()
-    a, b = small.select("cell", F.col("node").alias("a")), small.select("cell", F.col("node").alias("b"))
-    pairs = a.join(b, "cell").where("a < b").select("a", "b").distinct()
-    crowd = cells.where(F.col("members") > LEAF)
-    met = crowd.groupBy("node", F.col("part").bitwiseAND(63).cast("int").alias("scheme")).agg(F.count("*").alias("met"))
-    needs = heavy.select("node", F.explode("needs").alias("x")).select("node", "x.*")
-    stay = cut(met.join(needs, ["node", "scheme"]).where("met >= need").select("node", "scheme").distinct(), "crowded")
-    crowded = cut(crowd.withColumn("scheme", F.col("part").bitwiseAND(63).cast("int")).join(stay, ["node", "scheme"], "left_semi").select("node", "cell").distinct(), "crowd")
-    pairs = cut(pairs, "pairs")
+    cells = cut(cells.groupBy("scheme", F.xxhash64("members", "least", "most", "all", "scheme").alias("cell"), "members", "node").agg(F.countDistinct("part").alias("parts")), "cells")
+    met = cells.where(F.col("members") > LEAF).groupBy("node", "scheme").agg(F.sum("parts").alias("met"))
+    sizes = light.where("n > 0").select("node", (F.floor(F.col("n") / SHARE) + 1).alias("need")).distinct()
+    needs = cells.select("node", "scheme").distinct().join(sizes, "node").join(met, ["node", "scheme"], "left")
+    needs = cut(needs.withColumn("met", F.coalesce("met", F.lit(0))), "needs")
+    small = cells.where(F.col("members") <= LEAF).select("cell", "scheme", "node", "parts")
+    a, b = small.select("cell", "scheme", F.col("node").alias("a"), "parts"), small.select("cell", F.col("node").alias("b"))
+    pairs = a.join(b, "cell").where("a < b").groupBy("a", "b", "scheme").agg(F.sum("parts").alias("shared"))
+    need = lambda c: needs.select(F.col("node").alias(c), "scheme", F.col("need").alias(f"need_{c}"), F.col("met").alias(f"met_{c}"))
+    pairs = pairs.join(need("a"), ["a", "scheme"]).join(need("b"), ["b", "scheme"])
+    pairs = cut(pairs.where(F.col("shared") + F.least("met_a", "met_b") >= F.least("need_a", "need_b")).select("a", "b").distinct(), "pairs")
+    crowded = cells.where(F.col("members") > LEAF).join(needs.where("met >= need").select("node", "scheme"), ["node", "scheme"], "left_semi")
+    crowded = cut(crowded.select("node", "cell").distinct(), "crowd")
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(crowded.select("node"))
     verifier = _Verifier(docs, text, wanted, k, link)
     links = _join_regions(verifier, verifier.links(pairs), crowded)
     comps = components(links)
-    own = light.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"))
-    labelled = own.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    labelled = first.select("node", "first").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     best = labelled.where(F.col("comp").isNotNull()).groupBy("comp").agg(F.min("first").alias("component_id"))
     ids = labelled.join(best, "comp").select("node", "component_id")
     full = light.where("n > 0").join(ids, "node")
