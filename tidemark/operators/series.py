@@ -126,7 +126,7 @@ def largest_drawdown(df: DataFrame, keys: list[str], t: str = "t", v: str = "v")
     peak = F.max(F.struct(F.col(v).alias("v"), (-F.col(t)).alias("nt"))).over(so_far)
     falls = df.withColumn("peak", peak).where("peak is not null").withColumn("fall", F.col("peak.v") - F.col(v))
     best = F.max(F.struct("fall", (-F.col(t)).alias("nq"), F.col("peak.nt").alias("np")))
-    return falls.groupBy(*keys).agg(best.alias("b")).select(*keys, (-F.col("b.np")).alias("peak_t"), (-F.col("b.nq")).alias("trough_t"), F.col("b.fall").alias("fall"))
+    return falls.groupBy(*keys).agg(best.alias("b")).where("b is not null").select(*keys, (-F.col("b.np")).alias("peak_t"), (-F.col("b.nq")).alias("trough_t"), F.col("b.fall").alias("fall"))
 
 
 def average_rank(v: str | Column, keys: list[str]) -> Column:
