@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontaminate import op9_decontamination
 from .jaccard_join import op6_jaccard_join
 from .language_id import op2_language_id
+from .oracles import ORACLES
 from .pieces import op3_pieces
 from .pii import op7_pii
 from .quality_classifier import op5_quality_classifier
@@ -14,4 +15,4 @@ from .sharding import op8_jump_hash
 from .substring_dedup import op10_substring_dedup
 
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_language_id, op3_pieces, op4_separator_scan, op5_quality_classifier, op6_jaccard_join, op7_pii, op8_jump_hash, op9_decontamination, op10_substring_dedup)}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
