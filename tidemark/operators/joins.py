@@ -101,3 +101,32 @@ def lead_pairs(panel: DataFrame, series: str, max_lag: int, t: str = "t", v: str
     b = panel.select(F.col(series).alias("b"), F.col(t).alias("at"), F.col(v).alias("y"), F.explode(F.sequence(F.lit(-max_lag), F.lit(max_lag))).alias("h")).withColumn(t, F.col("at") - F.col("h"))
     joined = a.join(b.drop("at"), t).where("a < b")
     return joined.groupBy("a", "b", "h").agg(correlation("x", "y").alias("r"))
+
+
+def greedy_spacing(df: DataFrame, keys: list[str], gap: int, t: str = "t") -> DataFrame:
+    """Times at least gap apart, taken greedily from the first; per key, by a fold over its times."""
+    lists = df.groupBy(*keys).agg(F.array_sort(F.collect_list(t)).alias("ts"))
+    far = lambda a, x: (F.size(a) == 0) | (x - F.try_element_at(a, F.lit(-1)) >= gap)
+    kept = F.aggregate("ts", F.array().cast("array<bigint>"), lambda a, x: F.when(far(a, x), F.array_append(a, x.cast("bigint"))).otherwise(a))
+    return lists.select(*keys, F.explode(kept).alias(t))
+
+
+def merged_target(points: DataFrame, ranges: DataFrame, t: str = "t") -> DataFrame:
+    """(t, v): a point series, overridden by the middle of a range (lower, upper) on equal dates."""
+    both = points.select(t, F.col("v").alias("p")).join(ranges.select(t, ((F.col("lower") + F.col("upper")) / 2).alias("mid")), t, "full")
+    return both.select(t, F.coalesce("mid", "p").alias("v"))
+
+
+def deflated(nominal: DataFrame, index: DataFrame, keys: list[str], t: str = "t") -> DataFrame:
+    """v of nominal over v of index on common months; a zero index gives null."""
+    return nominal.join(index.select(t, F.col("v").alias("i")), t).select(*keys, t, (F.col("v") / F.nullif(F.col("i"), F.lit(0.0))).alias("v"))
+
+
+def aligned_routes(a: DataFrame, b: DataFrame, t: str = "t") -> DataFrame:
+    """(t, a, b) of two routes over their common span; dates in only one of them are an error."""
+    span = a.agg(F.min(t).alias("a0"), F.max(t).alias("a1")).join(b.agg(F.min(t).alias("b0"), F.max(t).alias("b1")))
+    span = span.select(F.greatest("a0", "b0").alias("lo"), F.least("a1", "b1").alias("hi"))  # one row
+    inside = lambda df, name: df.join(F.broadcast(span), F.col(t).between(F.col("lo"), F.col("hi"))).select(t, F.col("v").alias(name))
+    both = inside(a, "a").join(inside(b, "b"), t, "full")
+    gap = F.col("a").isNull() | F.col("b").isNull()
+    return both.select(t, F.when(gap, F.raise_error(F.lit("the routes differ in dates")).cast("double")).otherwise(F.col("a")).alias("a"), "b")

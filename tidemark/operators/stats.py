@@ -226,3 +226,66 @@ def holm(df: DataFrame, keys: list[str], p: str, name: str, m: int | None = None
     stepped = rows.withColumn("_step", F.least(F.lit(1.0), (size - rn + 1) * F.col(p)))
     done = stepped.withColumn("adjusted", F.max("_step").over(over(keys, p, name).rowsBetween(Window.unboundedPreceding, 0))).drop("_step")
     return done.unionByName(df.where(F.col(p).isNull()).withColumn("adjusted", F.lit(None).cast("double")))
+
+
+def permutation_rank_p(pairs: DataFrame, reps: int, stream: str, unit: str, a: str, b: str) -> DataFrame:
+    """(rho, p): Spearman correlation of a and b, and the share of keyed permutations of b with one as large."""
+    ranked = pairs.select(unit, average_rank(a, []).alias("ra"), average_rank(b, []).alias("rb"))
+    place = F.row_number().over(Window.orderBy(unit))
+    own = ranked.withColumn("i", place)
+    draws = own.select("i", "rb").join(F.broadcast(pairs.sparkSession.range(reps).withColumnRenamed("id", "rep")))
+    order = F.row_number().over(Window.partitionBy("rep").orderBy(F.md5(F.concat_ws(":", F.lit(stream), F.col("rep").cast("string"), F.col("i").cast("string")))))
+    shuffled = draws.select("rep", "rb", order.alias("i")).join(F.broadcast(own.select("i", "ra")), "i").groupBy("rep").agg(correlation("ra", "rb").alias("r"))
+    seen = own.agg(correlation("ra", "rb").alias("rho"))
+    return shuffled.join(F.broadcast(seen)).groupBy("rho").agg(((1 + F.sum(F.when(F.col("r") >= F.col("rho") - 1e-12, 1).otherwise(0))) / (1 + F.count("*"))).alias("p"))
+
+
+def max_lag_null(x: DataFrame, y: DataFrame, max_lag: int, sign: int, block: int, reps: int, stream: str) -> DataFrame:
+    """(r, h, p): the peak of the cross-correlation and its share under block-resampled x, the lag searched anew each time."""
+    panel = lag_panel(x, y, [], max_lag)
+    rows = panel.select("t").distinct().withColumn("row", F.row_number().over(Window.orderBy("t")).cast("bigint") - 1)
+    n = rows.count()
+    drawn = block_starts(panel.sparkSession, n, block, reps, stream, True)
+    source = panel.where("h = 0").select("t", F.col("x").alias("sx")).join(rows, "t").select("row", "sx")
+    fake = drawn.join(F.broadcast(source), "row").select("rep", F.col("i").alias("row"), "sx")
+    met = panel.join(rows, "t").select("row", "h", "y").join(fake, "row").groupBy("rep", "h").agg((sign * correlation("sx", "y")).alias("r"))
+    tops = met.groupBy("rep").agg(F.max("r").alias("top"))
+    best = peak_lag(panel.groupBy("h").agg(correlation("x", "y").alias("r")), [], sign)
+    both = tops.join(F.broadcast(best.select("r", "h")))
+    return both.groupBy("r", "h").agg(((1 + F.sum(F.when(F.col("top") >= sign * F.col("r"), 1).otherwise(0))) / (1 + F.count("*"))).alias("p"))
+
+
+def rolling_correlation(x: DataFrame, y: DataFrame, max_lag: int, window: int, at_least: int) -> DataFrame:
+    """(start, h, r): the cross-correlation over each window of months; a row is sent to the windows that hold it."""
+    panel = lag_panel(x, y, [], max_lag).withColumn("start", F.explode(F.sequence(F.col("t") - (window - 1), F.col("t"))))
+    months = x.select(F.col("t").alias("start"))
+    return panel.join(months, "start").groupBy("start", "h").agg(correlation("x", "y").alias("r"), F.count("*").alias("n")).where(F.col("n") >= at_least).drop("n")
+
+
+def out_of_sample(df: DataFrame, keys: list[str], t: str, x: str, y: str, share: float = 0.8) -> DataFrame:
+    """(hit_rate, rmse) on the last rows of a line fitted to the first share of them."""
+    place = F.percent_rank().over(over(keys, t))
+    rows = df.withColumn("train", place < share)
+    fit = rows.where("train").groupBy(*keys).agg(F.regr_slope(y, x).alias("b"), F.regr_intercept(y, x).alias("a"))
+    test = rows.where("not train")
+    test = (test.join(fit, keys) if keys else test.join(F.broadcast(fit))).withColumn("e", F.col("a") + F.col("b") * F.col(x))
+    return test.groupBy(*keys).agg(F.avg((F.signum("e") == F.signum(y)).cast("double")).alias("hit_rate"), F.sqrt(F.avg((F.col("e") - F.col(y)) * (F.col("e") - F.col(y)))).alias("rmse"))
+
+
+def two_way_effects(z: DataFrame, panel: str, t: str = "t", v: str = "z") -> DataFrame:
+    """(panel, b) of v = c_t + b_panel with sum b = 0, unbalanced: normal equations from co-occurrence sums, one row a pair of panels, solved on the driver (panels are few)."""
+    import numpy as np
+
+    months = z.groupBy(t).agg(F.count("*").alias("n"), F.avg(v).alias("m"))
+    rows = z.join(months, t)
+    own = rows.groupBy(panel).agg(F.sum(F.col(v) - F.col("m")).alias("r")).orderBy(panel).collect()
+    other = rows.select(F.col(panel).alias("q"), t)
+    cross = rows.join(other, t).groupBy(panel, "q").agg(F.sum(1 / F.col("n")).alias("w"), F.sum(F.when(F.col(panel) == F.col("q"), 1).otherwise(0)).alias("d")).collect()
+    names = [r[panel] for r in own]
+    at = {k: i for i, k in enumerate(names)}
+    a = np.zeros((len(names) + 1, len(names)))
+    for r in cross:
+        a[at[r[panel]], at[r["q"]]] += r["d"] - r["w"]
+    a[-1, :] = 1.0
+    b = np.linalg.lstsq(a, np.array([r["r"] for r in own] + [0.0]), rcond=None)[0] if names else []
+    return z.sparkSession.createDataFrame([(k, float(x)) for k, x in zip(names, b)], f"{panel} string, b double")

@@ -435,3 +435,46 @@ def holm_declared_family(spark, d):
 def breaks_by_bic(spark, d):
     return T.breaks_bic(_regression(spark, d), ["k"], "t", "x", "y", 12, 2)
 
+
+
+@q([MK, *_CCF], "SELECT \"start\" start_t, h, r FROM (SELECT s.t \"start\", h, covar_samp(x, y) / nullif(stddev_samp(x) * stddev_samp(y), 0) r, count(*) n FROM pn, x s(t, v2) WHERE pn.t BETWEEN s.t AND s.t + 35 GROUP BY 1, 2) WHERE n >= 30".replace('"start" start_t', "st start_t").replace('s.t "start"', "s.t st"), start_t="bigint", h="int", r="double")
+def rolling_ccf(spark, d):
+    return T.rolling_correlation(*_two(spark, d), 12, 36, 30).withColumnRenamed("start", "start_t")
+
+
+@q([MK, _XY, "p AS (SELECT *, percent_rank() OVER (PARTITION BY k ORDER BY t) < 0.8 tr FROM xy)", "f AS (SELECT k, regr_slope(y, x) b, regr_intercept(y, x) a FROM p WHERE tr GROUP BY k)"], "SELECT k, avg(CASE WHEN sign(a + b * x) = sign(y) THEN 1.0 ELSE 0.0 END) hit_rate, sqrt(avg((a + b * x - y) * (a + b * x - y))) rmse FROM p JOIN f USING (k) WHERE NOT tr GROUP BY k", k="string", hit_rate="double", rmse="double")
+def out_of_sample_rmse(spark, d):
+    return T.out_of_sample(_regression(spark, d), ["k"], "t", "x", "y")
+
+
+@q([MK, "i AS (SELECT t, v i FROM mk WHERE k = 'BUILDING')"], "SELECT k, t, mk.v / nullif(i, 0) v FROM mk JOIN i USING (t)", k="string", t="bigint", v="double")
+def deflated_series(spark, d):
+    x = mk(spark, d)
+    return J.deflated(x, x.where("k = 'BUILDING'").select("t", "v"), ["k"])
+
+
+@query(None, k="string", b="double")
+def two_way_panel_effects(spark, d):
+    x = mk(spark, d).where("not (k = 'FURNITURE' and t < 23960)").withColumn("z", F.col("v") / 1e6)
+    return T.two_way_effects(x, "k")
+
+
+@query(None, r="double", h="int", p="double")
+def peak_lag_null(spark, d):
+    return T.max_lag_null(*_two(spark, d), 6, 1, 6, 99, "null")
+
+
+@query(None, rho="double", p="double")
+def permutation_rank(spark, d):
+    x, y = _two(spark, d)
+    return T.permutation_rank_p(x.select("t", F.col("v").alias("a")).join(y.select("t", F.col("v").alias("b")), "t"), 199, "perm", "t", "a", "b")
+
+
+@query(None, k="string", t="bigint")
+def spaced_starts(spark, d):
+    return J.greedy_spacing(W.run_starts(mn(spark, d), ["k"]), ["k"], 6)
+
+
+@query(None, u="bigint", a="bigint", b="bigint", d="bigint")
+def matched_events(spark, d):
+    return J.match_events(_hours(spark, d, "signup"), _hours(spark, d, "purchase"), ["u"], 12)
