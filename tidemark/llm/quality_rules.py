@@ -27,10 +27,10 @@ BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MEASURE_TYPE = "struct<n_words:bigint,word_chars:bigint,n_symbols:bigint,n_dup_lines:bigint,n_repeat_words:bigint,n_lines:bigint>"
 #: measure -> (numerator, denominator, least distance of a fence from the median in thousandths, has a lower fence)
 MEASURES = {
-    "word_len": ("word_chars", "n_words", 900, True),
+    "word_len": ("word_chars", "n_words", 1200, True),
     "symbols": ("n_symbols", "n_words", 100, False),
     "dup_lines": ("n_dup_lines", "n_lines", 300, False),
-    "repeats": ("n_repeat_words", "n_words", 150, False),
+    "repeats": ("n_repeat_words", "n_words", 250, False),
 }
 #: A fence stands this many interquartile ranges outside the quartiles.
 FENCE = 4
