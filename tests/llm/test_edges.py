@@ -199,11 +199,11 @@ def test_language_mixture(spark):
 def test_classifier_learns_and_takes_empty_labels(spark, docs):
     rows = [(i, prose(40, i) + (" bad***" * 3 if i % 2 else ""), 1 - i % 2) for i in range(200)]
     labelled = spark.createDataFrame(rows, "doc_id long, text string, label int")
-    w = quality_classifier.train(labelled)
+    w = quality_classifier.train(labelled.drop("label"), labelled.drop("text"))
     fresh = spark.createDataFrame([(prose(40, 900 + i) + (" bad***" * 3 if i % 2 else ""), 1 - i % 2) for i in range(40)], "text string, y int")
     got = fresh.select("y", quality_classifier.score(F.col("text"), spark, w).alias("s")).collect()
     assert sum((r["s"] >= 0.5) == bool(r["y"]) for r in got) >= 38
-    none = quality_classifier.train(labelled.limit(0))
+    none = quality_classifier.train(labelled.drop("label"), labelled.drop("text").limit(0))
     assert {r["s"] for r in docs.select(quality_classifier.score(F.col("text"), spark, none).alias("s")).collect()} == {0.5}
 
 

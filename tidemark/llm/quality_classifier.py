@@ -110,9 +110,9 @@ def _train_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(w[at] * len(rows)), pa.array(np.full(len(at), len(rows)))], names=["at", "w", "rows"])
 
 
-def train(labelled: DataFrame, max_rows: int = MAX_ROWS) -> np.ndarray:
-    """Weights from (doc_id, text, label) rows; at most max_rows of them, by least hash of doc_id."""
-    known = labelled.where("label is not null").withColumn("order", F.xxhash64(F.col("doc_id"), F.lit("quality")))
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> np.ndarray:
+    """Weights from (doc_id, text) and (doc_id, label) rows; at most max_rows labels, those of least hash of doc_id."""
+    known = labels.where("label is not null and doc_id is not null").withColumn("order", F.xxhash64(F.col("doc_id"), F.lit("quality")))
     picked = known.select("doc_id", "order", "label").orderBy("order", "doc_id").limit(max_rows).groupBy("doc_id", "order").agg(F.max("label").alias("y"))
     share = picked.agg(F.count("*").alias("n"), F.sum("y").alias("ones")).first()
     out = np.zeros(DIM + 1)
@@ -121,7 +121,7 @@ def train(labelled: DataFrame, max_rows: int = MAX_ROWS) -> np.ndarray:
         out[DIM] = 0.0 if not n else (20.0 if ones else -20.0)
         return out
     shards = 1 + n // SHARD_ROWS
-    rows = labelled.join(F.broadcast(picked.select(F.col("doc_id").alias("picked_id"), "order", "y")), F.col("doc_id") == F.col("picked_id"))  # max_rows rows at most
+    rows = docs.join(F.broadcast(picked.select(F.col("doc_id").alias("picked_id"), "order", "y")), F.col("doc_id") == F.col("picked_id"))  # max_rows rows at most
     sample = rows.select("order", features(F.col("text")).alias("f"), "y").repartition(shards, F.pmod("order", F.lit(shards)))
     mixed = sample.mapInArrow(_train_shard, "at int, w double, rows bigint").groupBy("at").agg(F.sum("w").alias("w"))
     learned = mixed.toArrow()  # DIM + 1 rows at most
@@ -146,9 +146,8 @@ def score(text: Column, spark: SparkSession, weights: np.ndarray) -> Column:
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    docs = docs.withColumn("held_out", F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0)
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").cast("int").alias("label"))
-    labelled = docs.where(~F.col("held_out")).join(labels, F.col("doc_id") == F.col("id")).select("doc_id", "text", "label")
-    weights = train(labelled)
-    out = docs.select("doc_id", "held_out", score(F.col("text"), spark, weights).alias("score"))
+    held_out = lambda c: F.crc32(F.coalesce(F.col(c).cast("string"), F.lit("")).cast("binary")) % 5 == 0
+    labels = table(spark, sf_dir, "labels").where(~held_out("doc_id")).select("doc_id", F.col("quality").cast("int").alias("label"))
+    weights = train(docs.select("doc_id", "text"), labels)
+    out = docs.select("doc_id", held_out("doc_id").alias("held_out"), score(F.col("text"), spark, weights).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
