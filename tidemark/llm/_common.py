@@ -15,7 +15,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text handled at once inside a task; a longer document is handled alone.
 CHUNK_BYTES = 2_000_000
@@ -170,6 +171,15 @@ def cut(df: DataFrame, what: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_marked(df: DataFrame, columns: list[str], what: str = "cut") -> tuple[DataFrame, tuple]:
+    """cut(), and (rows, xor of their hashes) as counted while writing."""
+    seen = Observation()
+    marked = df.observe(seen, F.count(F.lit(1)).alias("rows"), F.bit_xor(F.xxhash64(*columns)).alias("mark"))
+    out = cut(marked, what)
+    got = seen.get
+    return out, (got["rows"], got["mark"])
+
+
 def drop_cut(df: DataFrame) -> None:
     """Delete the files of a frame made by cut() that no later step reads."""
     spark = df.sparkSession

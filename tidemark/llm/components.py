@@ -5,22 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut
+from ._common import cut_marked
 
+#: Edge lists of up to so many rows are worked on in one partition, as a shuffle would cost more than the work.
+ONE_PARTITION = 300_000
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
 
-
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, few: bool) -> DataFrame:
     """One round: every node's neighbours (large: the larger, else the smaller ones) are tied to its least neighbour."""
     both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    both = both.coalesce(1) if few else both
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
     joined = both.join(least, "a")
     if large:
         out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(joined.select("a", F.col("m").alias("b")))
+    out = out.coalesce(1) if few else out
     return out.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
@@ -31,11 +32,11 @@ def components(edges: DataFrame) -> DataFrame:
     fine; nulls are left out; no edges give no rows.  The number of rounds grows
     with the logarithm of the longest path, and each round is cut from its lineage.
     """
-    now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    mark = _mark(now)
+    tidy = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    now, mark = cut_marked(tidy, ["a", "b"], "edges")
     while mark[0]:
-        now = cut(_star(_star(now, large=True), large=False), "edges")
-        mark, before = _mark(now), mark
+        before, few = mark, mark[0] <= ONE_PARTITION
+        now, mark = cut_marked(_star(_star(now, True, few), False, few), ["a", "b"], "edges")
         if mark == before:
             break
     stars = now.select(F.col("a").alias("node"), F.col("b").alias("comp"))

@@ -16,9 +16,9 @@ passages; a pair needs them only if all ``need`` parts that it must share are
 crowded, so only documents with so many crowded parts stay there.  They form
 regions, which are joined recursively around document pivots: a pivot's distance
 to every member is taken, members within the threshold join its component, and
-the next, four times as many, pivots come from the members outside the region's
-largest component, until every one of those has been compared with all members
-whose distance to a former pivot does not rule it out (|d(a,p) - d(b,p)| <= 1 - link / 100).
+the next, PIVOT_GROWTH times as many, pivots come from the members outside the region's
+largest component, until every one of those has been compared with all members of
+other components.
 
 Equal sets are one node throughout; every link between different sets is checked
 on the sets themselves.
@@ -35,15 +35,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import GOLDEN, cut, list_array, mix64, table, text_chunks, windows
-from .components import components
+from ._common import GOLDEN, cut, cut_marked, list_array, mix64, table, text_chunks, windows
+from .components import ONE_PARTITION, components
 
 SHINGLE = 4
 LINK, OF = 85, 100
 LEAF = 32
 #: Node lists up to this long are broadcast to pick the sets to verify; longer ones are joined by shuffle.
 BROADCAST_NODES = 1_000_000
-FIRST_PIVOTS = 4
+FIRST_PIVOTS, PIVOT_GROWTH = 16, 8
 SET_TYPE = "struct<n:bigint,node:bigint,shingles:array<bigint>>"
 PART_TYPE = "struct<n:bigint,node:bigint,parts:array<bigint>>"
 #: A linked pair shares one cell, and one more for each so many shingles.
@@ -181,8 +181,8 @@ class _Verifier:
         """(a, b) -> (a, b, common, either): sizes of intersection and union."""
         a = self.sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"))
         b = self.sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"))
-        sized = pairs.join(a.select("a", "na"), "a").join(b.select("b", "nb"), "b").where((F.col("na") * OF >= F.col("nb") * self.link) & (F.col("nb") * OF >= F.col("na") * self.link)).select("a", "b")
-        both = sized.join(a, "a").join(b, "b").withColumn("common", F.size(F.array_intersect("sa", "sb")).cast("long"))
+        near = (F.col("na") * OF >= F.col("nb") * self.link) & (F.col("nb") * OF >= F.col("na") * self.link)
+        both = pairs.join(a, "a").join(b, "b").where(near).withColumn("common", F.size(F.array_intersect("sa", "sb")).cast("long"))
         return both.select("a", "b", "common", (F.col("na") + F.col("nb") - F.col("common")).alias("either"))
 
     def links(self, pairs: DataFrame) -> DataFrame:
@@ -190,31 +190,35 @@ class _Verifier:
 
 
 def _join_regions(verifier: _Verifier, links: DataFrame, crowded: DataFrame) -> DataFrame:
-    """All links found among small cells, and enough of those within crowded regions to tie each component together.
+    """(node, comp) by the links found among small cells and those within crowded regions.
 
     crowded: (node, cell) of the documents that crowded cells must be searched for.
     """
     least = crowded.groupBy("cell").agg(F.min("node").alias("a"))
     region = components(crowded.join(least, "cell").select("a", F.col("node").alias("b")))
-    members = cut(region.withColumnRenamed("comp", "region"), "regions")
-    spark = members.sparkSession
-    done = spark.createDataFrame([], "node long")
-    count = FIRST_PIVOTS
-    while True:
-        comps = components(links)
-        now = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        now = cut(now, "members")
+    members, (size, _) = cut_marked(region.withColumnRenamed("comp", "region"), ["node"], "regions")
+    few = lambda df: df.coalesce(1) if size <= ONE_PARTITION else df
+    count, done, comps = FIRST_PIVOTS, None, components(links)
+    while size:
+        held = comps.join(members.select("node"), "node", "left_semi") if size > ONE_PARTITION else comps.join(F.broadcast(members.select("node")), "node", "left_semi")
+        now = few(members).join(few(held), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        now = few(cut(now, "members"))
         by_comp = now.groupBy("region", "comp").agg(F.count("*").alias("size"))
         largest = by_comp.groupBy("region").agg(F.max(F.struct("size", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
-        outside = now.join(largest, "region").where(F.col("comp") != F.col("top.comp")).join(done, "node", "left_anti")
+        outside = now.join(largest, "region").where(F.col("comp") != F.col("top.comp"))
+        outside = outside.join(few(done), "node", "left_anti") if done is not None else outside
         rank = F.row_number().over(Window.partitionBy("region").orderBy(F.xxhash64("node"), "node"))
-        pivots = cut(outside.withColumn("rank", rank).where(F.col("rank") <= count).select(F.col("node").alias("a"), "region", F.col("comp").alias("pivot_comp")), "pivots")
-        if pivots.isEmpty():
-            return links
-        pairs = pivots.join(now, "region").where((F.col("node") != F.col("a")) & (F.col("comp") != F.col("pivot_comp"))).select("a", F.col("node").alias("b"))
-        links = cut(links.unionByName(verifier.links(pairs)).distinct(), "links")
-        done = cut(done.unionByName(pivots.select(F.col("a").alias("node"))), "done")
-        count *= 4
+        ranked = outside.withColumn("rank", rank).where(F.col("rank") <= count)
+        pivots, (some, _) = cut_marked(ranked.select(F.col("node").alias("a"), "region", F.col("comp").alias("pivot_comp")), ["a"], "pivots")
+        if not some:
+            return comps
+        pairs = few(pivots).join(now, "region").where((F.col("node") != F.col("a")) & (F.col("comp") != F.col("pivot_comp"))).select("a", F.col("node").alias("b"))
+        found = verifier.links(pairs)
+        comps = components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(found))
+        own = pivots.select(F.col("a").alias("node"))
+        done = own if done is None else done.unionByName(own)
+        count *= PIVOT_GROWTH
+    return comps
 
 
 def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE, link: int = LINK) -> DataFrame:
@@ -248,8 +252,7 @@ def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     crowded = cut(crowded.select("node", "cell").distinct(), "crowd")
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(crowded.select("node"))
     verifier = _Verifier(docs, text, wanted, k, link)
-    links = _join_regions(verifier, verifier.links(pairs), crowded)
-    comps = components(links)
+    comps = _join_regions(verifier, verifier.links(pairs), crowded)
     labelled = first.select("node", "first").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     best = labelled.where(F.col("comp").isNotNull()).groupBy("comp").agg(F.min("first").alias("component_id"))
     ids = labelled.join(best, "comp").select("node", "component_id")
