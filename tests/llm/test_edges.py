@@ -156,6 +156,32 @@ def test_pieces_match_the_library_and_decode(spark, docs):
     assert all(r["x"]["lossless"] and r["back"] == (r["text"] or "") for r in got)
 
 
+def test_each_occurrence_of_a_word_has_its_own_draws():
+    p = pieces.Pieces(open(pieces.MODEL, "rb").read())
+    # one candidate: kept in nine cases of ten, in documents that begin alike or not, and without regard to how often it occurred before
+    texts = [f"{WORDS[k % 7]}\n" + "an\n" * (100 + k) for k in range(60)]
+    ids, n = pieces.encode_texts(p, texts, 0.1, 5, pieces.STREAMS)
+    kept = np.isin(ids, [p.data.index(b"an")])
+    ends, total = np.cumsum(n), sum(100 + k for k in range(60))
+    assert abs(kept.sum() / total - 0.9) < 0.015
+    rates = [kept[e - c : e].sum() / (100 + k) for k, (e, c) in enumerate(zip(ends, n, strict=True))]
+    assert len({round(r, 3) for r in rates}) > 10
+    # many candidates: thousands of occurrences of one word have more than a handful of segmentations
+    word = " " + WORDS[0] + WORDS[1]
+    ids, n = pieces.encode_texts(p, ["x" + word * 100 + f" {k}" for k in range(40)], 0.1, 5, pieces.STREAMS)
+    found, e = Counter(), 0
+    for c in n:
+        one = ()
+        for i in ids[e : e + c].tolist():
+            if p.data[i][:1] == b" " and one:
+                found[one] += 1
+                one = ()
+            one += (i,)
+        e += c
+    spelt = {k: v for k, v in found.items() if p.decode(np.array(k)).decode() == word[1:]}
+    assert sum(spelt.values()) >= 3960 and len(spelt) > 8
+
+
 def test_rows_and_heap_merge_alike():
     p = pieces.Pieces(open(pieces.MODEL, "rb").read())
     for w in WORDS[:200]:

@@ -3,21 +3,21 @@
 A merge-type (BPE) model merges, again and again, the adjacent pair whose joint
 piece has the best score, leftmost first.  Under merge-dropout each candidate that
 enters this agenda is skipped with probability ``dropout``.  Here a keyed hash of
-(seed, stream, chunk, where the pair lies) makes that decision, so it is a pure
-function: the same whenever it is asked, on any executor and in any retry.  A
-document's n-th chunk takes stream (document key + n) mod ``streams``, so a word
-is segmented in up to ``streams`` ways within one document.
+(seed, document, ordinal of the chunk, where the pair lies) makes that decision, so
+it is a pure function: the same whenever it is asked, on any executor and in any
+retry.  The document's key is a hash of its text, so each occurrence of a word, in
+one document or in many, has draws of its own.
 
 No piece crosses from a non-space to a space, or holds a line break beside another
-character, so texts are cut there first; equal (chunk, stream) pairs of a batch are
-merged once, in numpy, one merge step for all rows at a time.  Chunks of more than
-LONG characters take a heap agenda with the same decisions.
+character, so texts are cut there first; chunks are merged in numpy, one merge step
+for all rows at a time, at dropout 0 only the distinct ones of a batch.  Chunks of
+more than LONG characters take a heap agenda with the same decisions.
 
 Decoding joins the pieces' bytes and is exact: a literal U+2581 and characters
 outside the vocabulary are spelt as byte pieces, and the added first space goes.
 
 Edge cases: null and empty texts have no pieces (null decodes to empty); texts of
-any length are encoded whole; repeated rows are encoded alike; other columns stay.
+any length are encoded whole; equal texts are encoded alike; other columns stay.
 """
 
 from __future__ import annotations
@@ -35,7 +35,8 @@ from ._common import GOLDEN, mix64, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
-STREAMS = 8
+#: None: each occurrence of a chunk has its own draws.  A number: that many at most for equal chunks.
+STREAMS = None
 SEED = 20_240_607
 LONG = 96
 #: Characters of text handled at once; a longer text is handled alone.
@@ -250,7 +251,7 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - (ends - size), size)
 
 
-def encode_texts(p: Pieces, texts: list[str], dropout: float, seed: int, streams: int) -> tuple[np.ndarray, np.ndarray]:
+def encode_texts(p: Pieces, texts: list[str], dropout: float, seed: int, streams: int | None = STREAMS) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts, one after another, and how many each has."""
     limit = min(int(dropout * 2.0**64), _MASK) if dropout else 0
     joined = "".join(" " + t for t in texts if t)
@@ -273,16 +274,18 @@ def encode_texts(p: Pieces, texts: list[str], dropout: float, seed: int, streams
     chunk = mix64(np.add.reduceat((code + np.uint32(1)) * power[within], start) + length.astype(np.uint64))
     first = np.searchsorted(start, at)
     counts = np.diff(first)
-    if limit and streams > 1:
+    ordinal = (np.arange(len(chunk)) - np.repeat(first[:-1], counts)).astype(np.uint64)
+    if limit and streams != 1:
         full = np.zeros(len(chunk) + 1, dtype=np.uint64)
-        np.cumsum(mix64(chunk), out=full[1:])
-        document = mix64(full[first[1:]] - full[first[:-1]] + np.uint64(seed))
-        ordinal = np.arange(len(chunk)) - np.repeat(first[:-1], counts)
-        stream = (np.repeat(document >> np.uint64(33), counts) + ordinal.astype(np.uint64)) % np.uint64(streams)
+        np.cumsum(mix64(chunk + ordinal * GOLDEN), out=full[1:])
+        document = np.repeat(mix64(full[first[1:]] - full[first[:-1]] + np.uint64(seed)), counts)
+    if limit and streams is None:
+        key = mix64(document + mix64(ordinal * GOLDEN + np.uint64(seed)))
+        one = which = np.arange(len(chunk))
     else:
-        stream = np.zeros(len(chunk), dtype=np.uint64)
-    key = mix64(chunk + mix64(stream * GOLDEN + np.uint64(seed)))
-    _, one, which = np.unique(key, return_index=True, return_inverse=True)
+        stream = ((document >> np.uint64(33)) + ordinal) % np.uint64(streams) if limit and streams != 1 else np.zeros(len(chunk), dtype=np.uint64)
+        key = mix64(chunk + mix64(stream * GOLDEN + np.uint64(seed)))
+        _, one, which = np.unique(key, return_index=True, return_inverse=True)
     order = np.argsort(length[one], kind="stable")
     symbol = p.symbol[code]
     tokens: list[np.ndarray] = []
@@ -333,7 +336,7 @@ def _model(spark: SparkSession, path: str) -> bytes:
         return f.read()
 
 
-def encode(text: Column, spark: SparkSession, model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, streams: int = STREAMS) -> Column:
+def encode(text: Column, spark: SparkSession, model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, streams: int | None = STREAMS) -> Column:
     """struct(ids, lossless): pieces of a text, and whether decoding them gives it back."""
     held = spark.sparkContext.broadcast(_model(spark, model))  # one model file
 
@@ -365,7 +368,7 @@ def decode(ids: Column, spark: SparkSession, model: str = MODEL) -> Column:
     return F.arrow_udf(of, "string")(ids)
 
 
-def encoded(docs: DataFrame, model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, streams: int = STREAMS) -> DataFrame:
+def encoded(docs: DataFrame, model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, streams: int | None = STREAMS) -> DataFrame:
     """(doc_id, n_pieces, ids_sha256, lossless, ids) of documents."""
     x = docs.select("doc_id", encode(docs["text"], docs.sparkSession, model, dropout, seed, streams).alias("x"))
     return x.select("doc_id", F.size("x.ids").cast("long").alias("n_pieces"), "x.lossless", "x.ids")
