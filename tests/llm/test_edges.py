@@ -116,6 +116,23 @@ def test_added_kinds(spark, text, kinds):
     assert [s["kind"] for s in got] == kinds
 
 
+def test_long_secrets_and_followed_accounts_are_masked_whole(spark):
+    token, tail = "".join(rng.choice("abcXYZ0189-_") for _ in range(600)), "." + "é" * 300
+    de, fr = "DE89 3704 0044 0532 0130 00", "FR14 2004 1010 0505 0001 3M02 606"
+    cases = [
+        (f"login token={token}{tail} end", "login [SECRET] end"), (f"login token={token}\nend", "login [SECRET]\nend"), (f"IBAN {de} BIC COBADEFF", "IBAN [IBAN] BIC COBADEFF"), (f"{de} {fr} EUR 100", "[IBAN] [IBAN] EUR 100"),
+        (f"é {fr} A B C D", "é [IBAN] A B C D"), (de.replace(" ", "") + " BIC", "[IBAN] BIC"), (f"{de} now", "[IBAN] now"), ("DE88 3704 0044 0532 0130 00 BIC", "DE88 3704 0044 0532 0130 00 BIC"), ("ID12 " + de + " X", "ID12 [IBAN] X"),
+    ]
+    rest = "1234567890123456"
+    code = f"{98 - int(rest + '333300') % 97:02d}"  # a country that is not listed
+    cases.append((f"XX{code} 1234 5678 9012 3456 AND MORE", "[IBAN] AND MORE"))
+    rows = [(k, t, len(t)) for k, (t, _) in enumerate(cases)]
+    got = {r["k"]: r for r in pii.mask_personal_data(spark.createDataFrame(rows, "k int, text string, n_chars long")).collect()}
+    assert [got[k]["text"] for k in range(len(cases))] == [want for _, want in cases]
+    spans = {r["k"]: r["spans"] for r in pii.find_spans(spark.createDataFrame(rows, "k int, text string, n_chars long")).collect()}
+    assert [rows[2][1][s["start"] : s["end"]] for s in spans[2]] == [de] and [s["end"] for s in spans[0]] == [len(rows[0][1]) - 4]
+
+
 def test_contamination(docs, bench):
     got = {r["doc_id"]: r for r in decontaminate.judged(decontaminate.find_hits(docs, bench)).collect()}
     assert got[7]["contaminated"] and got[7]["n_hit"] == 60 and got[8]["item_ids"] == ["1"] and got[12]["n_hit"] == got[12]["n_words"] == 60

@@ -6,7 +6,9 @@ near a span adjust its score.  Spans of the base kinds stay whatever their score
 spans of the added kinds stay from ACCEPT on.
 
 Java's backtracking is kept out: quantifiers are possessive wherever what follows
-cannot match what they took, and runs are entered at their start only.
+cannot match what they took, and runs are entered at their start only.  An account
+number is proposed by its first four characters; where it ends is tried by mod-97 at
+the end of each group that follows, so upper-case words behind it don't hide it.
 
 Edge cases: a null or empty text has no spans; offsets are code points, end
 exclusive; spans may overlap across kinds; equal starts are ordered by kind;
@@ -29,10 +31,17 @@ KINDS = {
     "ip": (r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}", ".", 0.6, "address|server|host|login|\\bip\\b"),
     "card": (r"[0-9](?:[\x20-]?[0-9])++", None, 0.8, "card|visa|credit|payment|pay"),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "+", 0.6, "phone|call|tel|mobile|fax"),
-    "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])", None, 0.7, "iban|account|bank|transfer|konto|compte|cuenta"),
+    "iban": (r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])))[A-Z]{2}[0-9]{2}", None, 0.7, "iban|account|bank|transfer|konto|compte|cuenta"),
     "ssn": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "-", 0.3, "ssn|social security"),
-    "secret": (r"(?:password|passwd|api_key|apikey|secret|token)[=:][^\x20\x09-\x0D]{6,200}+", None, 0.5, "login|user|key"),
+    "secret": (r"(?:password|passwd|api_key|apikey|secret|token)[=:][^\x20\x09-\x0D]{6,}+", None, 0.5, "login|user|key"),
 }
+#: Characters of an account number by country; others may have 15 to 34.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FO FI FK GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+#: A match of a kind named here is this long in the text; the pattern's first group is what may follow from its start on.
+HEADS = {"iban": 4}
 BASE_KINDS = ("email", "ip", "card", "phone")
 ACCEPT = 0.5
 CONTEXT = 40
@@ -57,6 +66,17 @@ def mod97(number: Column) -> Column:
     return F.aggregate(F.split(moved, ""), F.lit(0), lambda a, c: (a * F.when(c.rlike("[0-9]"), 10).otherwise(100) + value(c)) % 97) == 1
 
 
+def account(run: Column) -> Column:
+    """The account number that a run of groups starts with, null if none: of the starts that end with a group and pass mod-97 the one of its country's length, else the longest."""
+    groups = F.split(run, " ")
+    plain = lambda c: F.length(F.replace(c, F.lit(" "), F.lit("")))
+    starts = F.transform(F.sequence(F.lit(1), F.size(groups)), lambda i: F.array_join(F.slice(groups, F.lit(1), i), " "))
+    good = F.filter(starts, lambda c: F.when(plain(c).between(15, 34), mod97(c)).otherwise(False))
+    length = F.create_map(*[F.lit(x) for n, names in IBAN_LENGTHS.items() for name in names.split() for x in (name, n)])
+    listed = F.filter(good, lambda c: plain(c) == F.try_element_at(length, c.substr(1, 2)))
+    return F.coalesce(F.try_element_at(listed, F.lit(1)), F.try_element_at(good, F.lit(-1)))
+
+
 def _valid(kind: str, m: Column) -> Column:
     n = F.length(_digits(m))
     if kind == "ip":
@@ -67,24 +87,32 @@ def _valid(kind: str, m: Column) -> Column:
         return F.when(n.between(12, 19), luhn(_digits(m))).otherwise(False)
     if kind == "phone":
         return n.between(9, 15)
-    return mod97(m) if kind == "iban" else F.lit(True)
+    return account(m).isNotNull() if kind == "iban" else F.lit(True)
 
 
-def _located(text: Column, matches: Column, pattern: str) -> Column:
-    """Matches with their offsets: what lies between them, by split, gives the distances."""
+def _located(text: Column, matches: Column, pattern: str, head: int | None = None) -> Column:
+    """Matches with their offsets: what lies between them, by split, gives the distances.  head: what the pattern takes of each."""
     gaps = F.split(text, pattern, -1)
-    steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(matches)), matches, lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("n"), m.alias("m")))
+    steps = F.zip_with(F.slice(gaps, F.lit(1), F.size(matches)), matches, lambda g, m: F.struct(F.length(g).alias("g"), (F.lit(head) if head else F.length(m)).alias("n"), m.alias("m")))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,m:string>>").alias("out"))
     add = lambda a, x: F.struct((a["at"] + x["g"] + x["n"]).alias("at"), F.array_append(a["out"], F.struct((a["at"] + x["g"]).alias("start"), (a["at"] + x["g"] + x["n"]).alias("end"), x["m"].alias("m"))).alias("out"))
     return F.aggregate(steps, start, add, lambda a: a["out"])
 
 
+def _apart(spans: Column) -> Column:
+    """Spans without those that start within an earlier one."""
+    last = lambda a: F.coalesce(F.try_element_at(a, F.lit(-1))["end"], F.lit(0))
+    return F.aggregate(spans, F.array().cast("array<struct<start:int,end:int>>"), lambda a, x: F.when(x["start"] >= last(a), F.array_append(a, x)).otherwise(a))
+
+
 def _scored(text: Column, kind: str, rank: int) -> Column:
     """The valid spans of one kind, with the score that its kind and the words near it give."""
     pattern, _, score, context = KINDS[kind]
     near = lambda x: F.lower(text.substr(F.greatest(x["start"] + 1 - CONTEXT, F.lit(1)), x["end"] - x["start"] + 2 * CONTEXT))
     bonus = lambda x: F.when(near(x).rlike(context), CONTEXT_BONUS).otherwise(0.0)
-    good = F.filter(_located(text, F.col(f"m_{kind}"), pattern), lambda x: _valid(kind, x["m"]))
+    good = F.filter(_located(text, F.col(f"m_{kind}"), pattern, HEADS.get(kind)), lambda x: _valid(kind, x["m"]))
+    if kind in HEADS:
+        good = _apart(F.transform(good, lambda x: F.struct(x["start"].alias("start"), (x["start"] + F.length(account(x["m"]))).alias("end"))))
     return F.transform(good, lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), x["end"].alias("end"), (F.lit(score) + bonus(x)).alias("score")))
 
 
@@ -94,7 +122,7 @@ def find_spans(docs: DataFrame, text: str = "text", kinds: tuple[str, ...] = tup
     matches = {}
     for k in kinds:
         pattern, needs, _, _ = KINDS[k]
-        every = F.regexp_extract_all(whole, F.lit(pattern), F.lit(0))
+        every = F.regexp_extract_all(whole, F.lit(pattern), F.lit(int(k in HEADS)))
         matches[f"m_{k}"] = F.when(F.contains(whole, F.lit(needs)), every) if needs else every
     out = docs.withColumns(matches)
     some = lambda k: F.exists(f"m_{k}", lambda m: _valid(k, m))
