@@ -100,6 +100,21 @@ def test_crowded_regions_lose_no_link(spark):
     assert got == {i: root(i) for i in range(150)}
 
 
+def test_short_documents_under_a_shared_header_lose_no_link(spark):
+    # 23 and 27 shingles: one shared cell is enough for the smaller set, and it is crowded by the header
+    header = "iiiiii jjjjjjj jjjjj lllll iiii cccccc llll aaaaa oooooo eeeeee bbbbb bbbbbb fff jj lll jjjjjjj lll ooooo"
+    short = header + " kk pp dd pp mmm dd ggg cccc"
+    texts = [short, short + " hh jjjjjjj aaa pppppp"] + [f"{header} {prose(5 + k % 12, 5000 + k)}" for k in range(300)]
+    sets = [{tuple(t.split()[j : j + 4]) for j in range(len(t.split()) - 3)} for t in texts]
+    near = [[j for j in range(len(sets)) if 100 * len(a & sets[j]) >= 85 * len(a | sets[j])] for a in sets]
+    assert near[0] == near[1] == [0, 1] and {len(s) for s in sets} == set(range(20, 32))
+    want = list(range(len(texts)))
+    for _ in texts:
+        want = [min(want[j] for j in js) for js in near]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.link_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(want))
+
+
 def test_personal_data(docs):
     got = {r["doc_id"]: r["spans"] for r in pii.find_spans(docs.select("doc_id", "text")).collect()}
     text = ROWS[12][1]

@@ -12,8 +12,9 @@ are cells that both lie in; this is the window in which boundary documents
 are replicated, and no pair is lost.
 
 Small cells are compared directly.  Cells over LEAF members are crossed by common
-passages; a pair needs them only if all ``need`` parts that it must share are
-crowded, so only documents with so many crowded parts stay there.  They form
+passages; a pair needs them only if all parts that it must share, ``need`` of its smaller
+set, are crowded, so only documents with as many crowded parts as the smallest set they
+can link with needs stay there.  They form
 regions, which are joined recursively around document pivots: a pivot's distance
 to every member is taken, members within the threshold join its component, and
 the next, PIVOT_GROWTH times as many, pivots come from the members outside the region's
@@ -239,7 +240,9 @@ def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # parts with the same members are one cell
     cells = cut(cells.groupBy("scheme", F.xxhash64("members", "least", "most", "all", "scheme").alias("cell"), "members", "node").agg(F.countDistinct("part").alias("parts")), "cells")
     met = cells.where(F.col("members") > LEAF).groupBy("node", "scheme").agg(F.sum("parts").alias("met"))
-    sizes = light.where("n > 0").select("node", (F.floor(F.col("n") / SHARE) + 1).alias("need")).distinct()
+    # need: cells shared with a partner that is no smaller; floor: with the smallest one
+    smallest = F.ceil(F.col("n") * link / OF)
+    sizes = light.where("n > 0").select("node", (F.floor(F.col("n") / SHARE) + 1).alias("need"), (F.floor(smallest / SHARE) + 1).alias("floor")).distinct()
     needs = cells.select("node", "scheme").distinct().join(sizes, "node").join(met, ["node", "scheme"], "left")
     needs = cut(needs.withColumn("met", F.coalesce("met", F.lit(0))), "needs")
     small = cells.where(F.col("members") <= LEAF).select("cell", "scheme", "node", "parts")
@@ -248,7 +251,7 @@ def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     need = lambda c: needs.select(F.col("node").alias(c), "scheme", F.col("need").alias(f"need_{c}"), F.col("met").alias(f"met_{c}"))
     pairs = pairs.join(need("a"), ["a", "scheme"]).join(need("b"), ["b", "scheme"])
     pairs = cut(pairs.where(F.col("shared") + F.least("met_a", "met_b") >= F.least("need_a", "need_b")).select("a", "b").distinct(), "pairs")
-    crowded = cells.where(F.col("members") > LEAF).join(needs.where("met >= need").select("node", "scheme"), ["node", "scheme"], "left_semi")
+    crowded = cells.where(F.col("members") > LEAF).join(needs.where("met >= floor").select("node", "scheme"), ["node", "scheme"], "left_semi")
     crowded = cut(crowded.select("node", "cell").distinct(), "crowd")
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(crowded.select("node"))
     verifier = _Verifier(docs, text, wanted, k, link)
