@@ -171,17 +171,24 @@ def cut(df: DataFrame, what: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_counted(df: DataFrame, what: str = "cut") -> tuple[DataFrame, int]:
+    """cut(), and the number of rows, counted while writing."""
+    seen = Observation()
+    out = cut(df.observe(seen, F.count(F.lit(1)).alias("rows")), what)
+    return out, seen.get["rows"] or 0
+
+
 def cut_marked(df: DataFrame, columns: list[str], what: str = "cut") -> tuple[DataFrame, tuple]:
     """cut(), and (rows, xor of their hashes) as counted while writing."""
     seen = Observation()
     marked = df.observe(seen, F.count(F.lit(1)).alias("rows"), F.bit_xor(F.xxhash64(*columns)).alias("mark"))
     out = cut(marked, what)
     got = seen.get
-    return out, (got["rows"], got["mark"])
+    return out, (got["rows"] or 0, got["mark"])
 
 
 def drop_cut(df: DataFrame) -> None:
-    """Delete the files of a frame made by cut() that no later step reads."""
+    """Delete the files of a frame made by cut() that no later step reads; other files stay."""
     spark = df.sparkSession
     for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
         if "/tidemark/" in name:

@@ -1,54 +1,68 @@
 """Operator 6: exact Jaccard metric-space join on word shingles.
 
 Two sets link when 100 * |A and B| >= link * |A or B| (85 unless said otherwise), so
-their symmetric difference has at most (100 - link) / link of the smaller set's elements.  Documents at distance 1 from
-every document pivot would all stand in every pivot's window, so the first level
-takes *part pivots*: the shingle universe is dealt by hash into m parts (m by size
-class, and each set also stands in the next class where its window of partner
-sizes reaches into that class).  A set lies in the cell of its non-empty parts'
-contents.  A pair that links differs in at most K parts, K from the bound above, so
-of its first K + need parts, in one order for all sets, at least ``need`` (n // SHARE + 1)
-are cells that both lie in; this is the window in which boundary documents
-are replicated, and no pair is lost.
-
-Small cells are compared directly.  Cells over LEAF members are crossed by common
-passages; a pair needs them only if all parts that it must share, ``need`` of its smaller
-set, are crowded, so only documents with as many crowded parts as the smallest set they
-can link with needs stay there.  They form
-regions, which are joined recursively around document pivots: a pivot's distance
-to every member is taken, members within the threshold join its component, and
-the next, PIVOT_GROWTH times as many, pivots come from the members outside the region's
-largest component, until every one of those has been compared with all members of
-other components.
-
-Equal sets are one node throughout; every link between different sets is checked
-on the sets themselves.
+their symmetric difference has at most (100 - link) / link of the smaller set's elements.
+
+Level one.  Whole documents can't be pivots of all documents: unrelated documents are
+at distance 1 from every pivot and would stand in every pivot's window.  So level one
+deals the shingle universe by hash into m parts (m by size class; a set also stands in
+the next class where its window of partner sizes reaches into that class).  A set lies
+in the cell of each of its non-empty parts' contents.  A pair that links differs in at
+most K parts, so of its first K + need parts, in one order for all sets, at least
+``need`` (n // SHARE + 1) are cells that both lie in.  A set of fewer than K + need
+parts is *short*: such sets are counted while the cells are written, and if there are
+any they are joined with all others by prefixes of their shingles.  Cells of up to LEAF
+members are compared directly, after pairs that share too few cells are left out.
+
+Regions.  A pair that shares no small cell shares ``need`` crowded ones, so documents
+with that many crowded parts (as many as the least partner needs) go on.  Each crowded
+cell, but for the most crowded ones that a pair can do without, has a pivot: its member
+with the fewest parts of its own, which is the nearest to what the cell has in common.
+The cells of one pivot are its region; a document stands in the region of every pivot
+of its cells, so that each linked pair meets.  In a region documents are held by their
+difference D from the pivot, and by their signed distance from where a link with the
+pivot begins, s = (100 + link) |D| - (100 - link) n.  Two documents link exactly if
+s(a) + s(b) <= 2 (100 + link) |D(a) and D(b)|.  So all that link without common
+differences link with the document of least s: one edge each joins them.
+
+Windows.  Any other link needs common differences: the region is joined once more, on
+the differences in place of the sets, rarest first.  A document stands at as many of
+its rarest differences as the bound lets the partner lack, and in the bands of s, the
+distance from the pivot, which the triangle inequality leaves for a partner whose first
+common difference is that one; only pairs of different components are compared.
+
+Equal sets are one node throughout (64 bits; a second hash tells sets of equal nodes
+apart, which then get nodes of their own).  Every link between different sets is checked
+on their 64-bit shingle hashes.
 
 Edge cases: a null or wordless text has an empty set and links with nothing; up to
 three words are one shingle; repeated rows and equal texts share a node; a null
-doc_id counts only where its component has no other; no rows give no rows.
+doc_id counts only where its component has no other; no rows give no rows; other
+columns stay out.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import GOLDEN, cut, cut_marked, list_array, mix64, table, text_chunks, windows
-from .components import ONE_PARTITION, components
+from ._common import GOLDEN, cut, cut_counted, drop_cut, list_array, mix64, table, text_chunks, windows
+from .components import components
 
 SHINGLE = 4
 LINK, OF = 85, 100
 LEAF = 32
 #: Node lists up to this long are broadcast to pick the sets to verify; longer ones are joined by shuffle.
 BROADCAST_NODES = 1_000_000
-FIRST_PIVOTS, PIVOT_GROWTH = 16, 8
-SET_TYPE = "struct<n:bigint,node:bigint,shingles:array<bigint>>"
-PART_TYPE = "struct<n:bigint,node:bigint,parts:array<bigint>>"
+#: Values in all pivots' sets up to which they are broadcast to their regions; more are joined by shuffle.
+BROADCAST_VALUES = 2_000_000
+NODE_TYPE = "struct<n:bigint,node:bigint,twin:bigint>"
+SET_TYPE = "struct<n:bigint,node:bigint,twin:bigint,shingles:array<bigint>>"
+PART_TYPE = "struct<n:bigint,node:bigint,twin:bigint,parts:array<bigint>,short:boolean>"
 #: A linked pair shares one cell, and one more for each so many shingles.
-SHARE = 24
+SHARE = 32
 
 
 def _chunk_sets(w, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -76,8 +90,11 @@ def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return total[at[1:]] - total[at[:-1]]
 
 
-def _nodes(shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    return mix64(_sums(mix64(shingles + GOLDEN), counts) + counts.astype(np.uint64) * GOLDEN).view(np.int64)
+def _nodes(shingles: np.ndarray, counts: np.ndarray) -> list[pa.Array]:
+    """Number of shingles, node and second hash of each set."""
+    extra = counts.astype(np.uint64) * GOLDEN
+    node, twin = (mix64(_sums(mix64(shingles * odd + GOLDEN), counts) + extra).view(np.int64) for odd in (np.uint64(1), np.uint64(0x9FB21C651E98DF25)))
+    return [pa.array(counts), pa.array(node), pa.array(twin)]
 
 
 def _batch(text: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -88,24 +105,23 @@ def _batch(text: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sets(text: Column, k: int = SHINGLE) -> Column:
-    """struct(n, node, shingles): a text's shingle set; node is the same for equal sets."""
+    """struct(n, node, twin, shingles): a text's shingle set; node and twin are the same for equal sets."""
 
     def of(t: pa.Array) -> pa.Array:
         shingles, counts = _batch(t, k)
-        return pa.StructArray.from_arrays([pa.array(counts), pa.array(_nodes(shingles, counts)), list_array(shingles.view(np.int64), counts)], names=["n", "node", "shingles"])
+        return pa.StructArray.from_arrays([*_nodes(shingles, counts), list_array(shingles.view(np.int64), counts)], names=["n", "node", "twin", "shingles"])
 
     return F.arrow_udf(of, SET_TYPE)(text)
 
 
 def nodes(text: Column, k: int = SHINGLE) -> Column:
-    """struct(n, node) of a text."""
+    """struct(n, node, twin) of a text."""
 
     def of(t: pa.Array) -> pa.Array:
-        found = [(c, _nodes(s, c)) for s, c in (_chunk_sets(w, k) for _, _, w in text_chunks(t, lower=True))]
-        counts, node = (np.concatenate([x[i] for x in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
-        return pa.StructArray.from_arrays([pa.array(counts), pa.array(node)], names=["n", "node"])
+        found = [pa.StructArray.from_arrays(_nodes(s, c), names=["n", "node", "twin"]) for s, c in (_chunk_sets(w, k) for _, _, w in text_chunks(t, lower=True))]
+        return pa.concat_arrays(found) if found else pa.array([], pa.struct([(c, pa.int64()) for c in ("n", "node", "twin")]))
 
-    return F.arrow_udf(of, "struct<n:bigint,node:bigint>")(text)
+    return F.arrow_udf(of, NODE_TYPE)(text)
 
 
 def _schemes(n: np.ndarray, link: int) -> tuple[np.ndarray, np.ndarray]:
@@ -140,15 +156,16 @@ def _parts_of(shingles: np.ndarray, counts: np.ndarray, scheme: np.ndarray, eigh
 
 
 def parts(text: Column, k: int = SHINGLE, link: int = LINK) -> Column:
-    """struct(n, node, parts): a text's cells, of which a linked set shares n // SHARE + 1 or more."""
+    """struct(n, node, twin, parts, short): a text's cells, of which a linked set shares n // SHARE + 1 or more, and whether it has too few for that."""
     eighths = _eighths(link)
 
     def of_chunk(shingles: np.ndarray, counts: np.ndarray) -> pa.Array:
         own, more = _schemes(counts, link)
-        differ = counts * (OF - link) // link
-        length = differ + counts // SHARE + 1
+        length = counts * (OF - link) // link + counts // SHARE + 1
         first, n_first = _parts_of(shingles, counts, own, eighths)
         second, n_second = _parts_of(shingles[np.repeat(more, counts)], counts[more], own[more] + 1, eighths)
+        short = n_first < length
+        short[more] |= n_second < length[more]
         at, at_second = np.concatenate([[0], np.cumsum(n_first)]), np.concatenate([[0], np.cumsum(n_second)])
         keys, lengths, j = [], np.zeros(len(counts), dtype=np.int64), 0
         for i in range(len(counts)):
@@ -159,7 +176,7 @@ def parts(text: Column, k: int = SHINGLE, link: int = LINK) -> Column:
             keys += mine
             lengths[i] = sum(map(len, mine))
         keys = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-        return pa.StructArray.from_arrays([pa.array(counts), pa.array(_nodes(shingles, counts)), list_array(keys.view(np.int64), lengths)], names=["n", "node", "parts"])
+        return pa.StructArray.from_arrays([*_nodes(shingles, counts), list_array(keys.view(np.int64), lengths), pa.array(short & (counts > 0))], names=["n", "node", "twin", "parts", "short"])
 
     def of(t: pa.Array) -> pa.Array:
         chunks = [of_chunk(*_chunk_sets(w, k)) for _, _, w in text_chunks(t, lower=True)]
@@ -168,96 +185,146 @@ def parts(text: Column, k: int = SHINGLE, link: int = LINK) -> Column:
     return F.arrow_udf(of, PART_TYPE)(text)
 
 
+class _Nodes:
+    """Rows of docs once for each different set, and the nodes of all rows."""
+
+    def __init__(self, docs: DataFrame, doc_id: str, text: str, k: int):
+        self.docs, self.doc_id, self.text = docs, doc_id, text
+        raw = cut(docs.select(docs[doc_id].alias("doc_id"), nodes(docs[text], k).alias("x")).select("doc_id", "x.*"), "nodes")
+        self.clash, self.clashes = cut_counted(raw.where("n > 0").groupBy("node").agg(F.min("twin").alias("lo"), F.max("twin").alias("hi")).where("lo <> hi").select(F.col("node").alias("clash")), "clash")
+        self.light = self.apart(raw)
+        self.first = self.light.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows"))
+        copies = self.light.join(self.first.where("rows > 1"), "node").where(~F.col("doc_id").eqNullSafe(F.col("first"))).select(F.col("doc_id").alias("copy_id"), F.col("node").alias("copy_node")).distinct()
+        copies, n = cut_counted(copies, "copies")
+        self.copies = F.broadcast(copies) if n <= BROADCAST_NODES else copies
+
+    def apart(self, df: DataFrame) -> DataFrame:
+        """df with nodes of their own for different sets of one hash."""
+        if self.clashes:
+            clash = F.broadcast(self.clash) if self.clashes <= BROADCAST_NODES else self.clash
+            df = df.join(clash, F.col("node") == F.col("clash"), "left").withColumn("node", F.when(F.col("clash").isNotNull(), F.xxhash64("node", "twin")).otherwise(F.col("node"))).drop("clash")
+        return df.drop("twin")
+
+    def once(self, of: Column) -> DataFrame:
+        """of, a struct with n and node, for the rows of docs but those whose set a row of lesser doc_id has."""
+        rows = self.docs.select(self.docs[self.doc_id].alias("doc_id"), of.alias("x")).select("doc_id", "x.*").where("n > 0")
+        return self.apart(rows).join(self.copies, (F.col("node") == F.col("copy_node")) & F.col("doc_id").eqNullSafe(F.col("copy_id")), "left_anti").drop("doc_id")
+
+
 class _Verifier:
-    """The sets of the nodes that stand in any cell with others, and the exact test on pairs of them."""
+    """The sets of the nodes that have candidates, and the exact test on pairs of them."""
 
-    def __init__(self, docs: DataFrame, text: str, wanted: DataFrame, k: int, link: int):
+    def __init__(self, held: _Nodes, wanted: DataFrame, k: int, link: int):
         self.link = link
-        wanted = cut(wanted.select("node").distinct(), "wanted")
-        few = wanted.count() <= BROADCAST_NODES
-        found = docs.select(sets(docs[text], k).alias("s")).select("s.*").join(F.broadcast(wanted) if few else wanted, "node", "left_semi")
+        wanted, n = cut_counted(wanted.select("node").distinct(), "wanted")
+        found = held.once(sets(held.docs[held.text], k)).join(F.broadcast(wanted) if n <= BROADCAST_NODES else wanted, "node", "left_semi")
         self.sets = cut(found.groupBy("node").agg(F.first("n").alias("n"), F.first("shingles").alias("s")), "sets")
+        drop_cut(wanted)
 
-    def distances(self, pairs: DataFrame) -> DataFrame:
-        """(a, b) -> (a, b, common, either): sizes of intersection and union."""
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that link."""
         a = self.sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"))
         b = self.sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"))
         near = (F.col("na") * OF >= F.col("nb") * self.link) & (F.col("nb") * OF >= F.col("na") * self.link)
         both = pairs.join(a, "a").join(b, "b").where(near).withColumn("common", F.size(F.array_intersect("sa", "sb")).cast("long"))
-        return both.select("a", "b", "common", (F.col("na") + F.col("nb") - F.col("common")).alias("either"))
-
-    def links(self, pairs: DataFrame) -> DataFrame:
-        return cut(self.distances(pairs).where(F.col("common") * OF >= F.col("either") * self.link).select("a", "b"), "links")
-
-
-def _join_regions(verifier: _Verifier, links: DataFrame, crowded: DataFrame) -> DataFrame:
-    """(node, comp) by the links found among small cells and those within crowded regions.
-
-    crowded: (node, cell) of the documents that crowded cells must be searched for.
-    """
-    least = crowded.groupBy("cell").agg(F.min("node").alias("a"))
-    region = components(crowded.join(least, "cell").select("a", F.col("node").alias("b")))
-    members, (size, _) = cut_marked(region.withColumnRenamed("comp", "region"), ["node"], "regions")
-    few = lambda df: df.coalesce(1) if size <= ONE_PARTITION else df
-    count, done, comps = FIRST_PIVOTS, None, components(links)
-    while size:
-        held = comps.join(members.select("node"), "node", "left_semi") if size > ONE_PARTITION else comps.join(F.broadcast(members.select("node")), "node", "left_semi")
-        now = few(members).join(few(held), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        now = few(cut(now, "members"))
-        by_comp = now.groupBy("region", "comp").agg(F.count("*").alias("size"))
-        largest = by_comp.groupBy("region").agg(F.max(F.struct("size", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
-        outside = now.join(largest, "region").where(F.col("comp") != F.col("top.comp"))
-        outside = outside.join(few(done), "node", "left_anti") if done is not None else outside
-        rank = F.row_number().over(Window.partitionBy("region").orderBy(F.xxhash64("node"), "node"))
-        ranked = outside.withColumn("rank", rank).where(F.col("rank") <= count)
-        pivots, (some, _) = cut_marked(ranked.select(F.col("node").alias("a"), "region", F.col("comp").alias("pivot_comp")), ["a"], "pivots")
-        if not some:
-            return comps
-        pairs = few(pivots).join(now, "region").where((F.col("node") != F.col("a")) & (F.col("comp") != F.col("pivot_comp"))).select("a", F.col("node").alias("b"))
-        found = verifier.links(pairs)
-        comps = components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(found))
-        own = pivots.select(F.col("a").alias("node"))
-        done = own if done is None else done.unionByName(own)
-        count *= PIVOT_GROWTH
-    return comps
+        return cut(both.where(F.col("common") * OF >= (F.col("na") + F.col("nb") - F.col("common")) * self.link).select("a", "b"), "links")
+
+
+def _regions(verifier: _Verifier, members: DataFrame) -> DataFrame:
+    """(r, node, n, d, s): the members (r, node) of each region with their differences from its pivot r and signed distances."""
+    link = verifier.link
+    pivots = cut(members.select(F.col("r").alias("node")).distinct().join(verifier.sets, "node").select(F.col("node").alias("p"), F.col("s").alias("ps")), "pivots")
+    values = pivots.agg(F.sum(F.size("ps"))).first()[0] or 0
+    both = members.join(verifier.sets, "node").join(F.broadcast(pivots) if values <= BROADCAST_VALUES else pivots, F.col("r") == F.col("p"))
+    held = both.select("r", "node", "n", F.size("ps").alias("nr"), F.concat(F.array_except("s", "ps"), F.array_except("ps", "s")).alias("d"))
+    return cut(held.withColumn("s", (OF + link) * F.size("d").cast("long") - (OF - link) * F.col("n")), "regions")
+
+
+def _stars(regions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each region's member of least s, as (r, at, low); and edges (a, b) of all that link with it without common differences."""
+    centre = cut(regions.groupBy("r").agg(F.min(F.struct("s", "node")).alias("c")).select("r", F.col("c.node").alias("at"), F.col("c.s").alias("low")), "centres")
+    edges = regions.select("r", "node", "s").join(centre, "r").where((F.col("s") + F.col("low") <= 0) & (F.col("node") != F.col("at"))).select(F.col("at").alias("a"), F.col("node").alias("b"))
+    return centre, edges
+
+
+def _windows(regions: DataFrame, centre: DataFrame, comps: DataFrame, link: int) -> DataFrame:
+    """(a, b): pairs of one region, of different components, that can link by common differences."""
+    q = OF + link
+    own = regions.select("r", "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    own = own.join(own.groupBy("r").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("r"), "r", "left_semi")
+    own = cut(own.join(centre.select("r", "low"), "r"), "open")
+    rows = cut(regions.where(F.size("d") > 0).join(own, ["r", "node"]).withColumn("nd", F.size("d")), "differences")
+    flat = rows.select("r", "node", F.explode("d").alias("e"))
+    shared = flat.groupBy("r", "e").agg(F.count("*").alias("df")).where("df > 1")
+    # differences that no other member has come first and only count
+    ranked = flat.join(shared, ["r", "e"]).groupBy("r", "node").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("es"))
+    ranked = cut(rows.drop("d").join(ranked, ["r", "node"]), "ranked")
+    at = ranked.withColumn("alone", F.col("nd") - F.size("es")).select("*", F.posexplode("es").alias("i", "x")).withColumn("left", (F.col("nd") - F.col("alone") - F.col("i")).cast("long"))
+    # left: differences from this one on, the most that may be common
+    at = at.withColumn("most", 2 * q * F.col("left") - F.col("s"))
+    width = F.greatest(F.lit(1), (OF - link) * F.col("nr"))
+    near = at.where(F.col("left") * q >= F.greatest(F.col("s"), F.lit(1))).withColumn("least", F.greatest(F.col("s"), 1 - F.col("s"))).where("most >= least")
+    near = near.withColumn("band", F.explode(F.sequence(F.floor(F.col("least") / width), F.floor(F.col("most") / width))))
+    far = at.where(F.col("left") * (2 * q) >= F.greatest(F.col("low") + F.col("s"), F.lit(1))).withColumn("band", F.floor(F.col("s") / width))
+    one = lambda df, t: df.select("r", F.col("x.e").alias("e"), "band", *[F.col(c).alias(c + t) for c in ("node", "n", "s", "most", "comp")])
+    met = (F.col("s_a") <= F.col("s_b")) & (F.col("s_b") <= F.col("most_a")) & (F.col("s_a") <= F.col("most_b")) & (F.col("s_a") + F.col("s_b") > 0) & (F.col("comp_a") != F.col("comp_b"))
+    size = (F.col("n_a") * OF >= F.col("n_b") * link) & (F.col("n_b") * OF >= F.col("n_a") * link)
+    both = one(near, "_a").join(one(far, "_b"), ["r", "e", "band"]).where(met & size)
+    return both.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+
+
+def _short_pairs(held: _Nodes, k: int, link: int) -> DataFrame:
+    """(a, b): short sets with all sets that share one of the first shingles, n - ceil(n * link / 100) + 1 of each in one order."""
+    prefix = lambda c: F.slice(F.array_sort(c), F.lit(1), (F.col("n") - F.ceil(F.col("n") * link / OF) + 1).cast("int"))
+    short = held.once(parts(held.docs[held.text], k, link)).where("short").select("node").distinct()
+    every = held.once(sets(held.docs[held.text], k)).select("node", F.explode(prefix(F.col("shingles"))).alias("e"))
+    own = every.join(short, "node", "left_semi").select(F.col("node").alias("a"), "e")
+    return own.join(every.withColumnRenamed("node", "b"), "e").where("a <> b").select("a", "b").distinct()
 
 
 def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE, link: int = LINK) -> DataFrame:
     """(doc_id, node, n_shingles, component_id), a row for each row of docs."""
-    light = cut(docs.select(docs[doc_id].alias("doc_id"), nodes(docs[text], k).alias("x")).select("doc_id", "x.*"), "nodes")
-    # equal sets are dealt once: the rows of all but the least doc_id of each are left out
-    first = light.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows"))
-    copies = light.join(first.where("rows > 1"), "node").where(~F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", F.col("node").alias("node")).distinct()
-    copies = cut(copies, "copies")
-    heavy = docs.select(docs[doc_id].alias("doc_id"), parts(docs[text], k, link).alias("x")).select("doc_id", "x.*").where("n > 0")
-    few = copies.count() <= BROADCAST_NODES
-    own = copies.select(F.col("doc_id").alias("copy_id"), F.col("node").alias("copy_node"))
-    heavy = heavy.join(F.broadcast(own) if few else own, (F.col("node") == F.col("copy_node")) & F.col("doc_id").eqNullSafe(F.col("copy_id")), "left_anti")
+    held = _Nodes(docs, doc_id, text, k)
+    light, seen = held.light, Observation()
+    heavy = held.once(parts(docs[text], k, link)).observe(seen, F.count_if("short").alias("short"))
     by = Window.partitionBy("part")
     cells = heavy.select("node", F.explode("parts").alias("part"))
     cells = cells.withColumns({"members": F.count("*").over(by), "least": F.min("node").over(by), "most": F.max("node").over(by), "all": F.bit_xor(F.xxhash64("node")).over(by)})
-    cells = cells.where("members > 1").withColumn("scheme", F.col("part").bitwiseAND(63).cast("int"))
+    cells = cells.where("least <> most").withColumn("scheme", F.col("part").bitwiseAND(63).cast("int"))
     # parts with the same members are one cell
     cells = cut(cells.groupBy("scheme", F.xxhash64("members", "least", "most", "all", "scheme").alias("cell"), "members", "node").agg(F.countDistinct("part").alias("parts")), "cells")
+    n_short = seen.get["short"] or 0
     met = cells.where(F.col("members") > LEAF).groupBy("node", "scheme").agg(F.sum("parts").alias("met"))
-    # need: cells shared with a partner that is no smaller; floor: with the smallest one
-    smallest = F.ceil(F.col("n") * link / OF)
-    sizes = light.where("n > 0").select("node", (F.floor(F.col("n") / SHARE) + 1).alias("need"), (F.floor(smallest / SHARE) + 1).alias("floor")).distinct()
-    needs = cells.select("node", "scheme").distinct().join(sizes, "node").join(met, ["node", "scheme"], "left")
-    needs = cut(needs.withColumn("met", F.coalesce("met", F.lit(0))), "needs")
+    # need: cells shared with a partner that is no smaller; floor: with the smallest one; lack: of its cells those of few members
+    smallest, size = F.ceil(F.col("n") * link / OF), F.floor(F.col("n") * (OF - link) / link)
+    sizes = light.where("n > 0").select("node", (F.floor(F.col("n") / SHARE) + 1).alias("need"), (F.floor(smallest / SHARE) + 1).alias("floor"), size.alias("differ")).distinct()
+    needs = cells.select("node", "scheme").distinct().join(sizes, "node").join(met, ["node", "scheme"], "left").withColumn("met", F.coalesce("met", F.lit(0)))
+    needs = cut(needs.withColumn("lack", F.col("differ") + F.col("need") - F.col("met")), "needs")
     small = cells.where(F.col("members") <= LEAF).select("cell", "scheme", "node", "parts")
     a, b = small.select("cell", "scheme", F.col("node").alias("a"), "parts"), small.select("cell", F.col("node").alias("b"))
     pairs = a.join(b, "cell").where("a < b").groupBy("a", "b", "scheme").agg(F.sum("parts").alias("shared"))
     need = lambda c: needs.select(F.col("node").alias(c), "scheme", F.col("need").alias(f"need_{c}"), F.col("met").alias(f"met_{c}"))
     pairs = pairs.join(need("a"), ["a", "scheme"]).join(need("b"), ["b", "scheme"])
-    pairs = cut(pairs.where(F.col("shared") + F.least("met_a", "met_b") >= F.least("need_a", "need_b")).select("a", "b").distinct(), "pairs")
-    crowded = cells.where(F.col("members") > LEAF).join(needs.where("met >= floor").select("node", "scheme"), ["node", "scheme"], "left_semi")
-    crowded = cut(crowded.select("node", "cell").distinct(), "crowd")
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(crowded.select("node"))
-    verifier = _Verifier(docs, text, wanted, k, link)
-    comps = _join_regions(verifier, verifier.links(pairs), crowded)
-    labelled = first.select("node", "first").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    best = labelled.where(F.col("comp").isNotNull()).groupBy("comp").agg(F.min("first").alias("component_id"))
+    pairs = pairs.where(F.col("shared") + F.least("met_a", "met_b") >= F.least("need_a", "need_b")).select("a", "b")
+    pairs = cut((pairs.unionByName(_short_pairs(held, k, link)) if n_short else pairs).distinct(), "pairs")
+    crowded = cells.where(F.col("members") > LEAF).join(needs.where("met >= floor").select("node", "scheme", "floor", "lack"), ["node", "scheme"])
+    # the most crowded cells go: a pair shares ``floor`` parts, the rarest of which stays
+    over = Window.partitionBy("node", "scheme").orderBy(F.desc("members"), F.desc("cell"))
+    crowded = cut(crowded.withColumn("upto", F.sum("parts").over(over)).where("upto >= floor").select("node", "cell", "lack"), "crowd")
+    pivot = crowded.groupBy("cell").agg(F.min(F.struct("lack", "node")).alias("p"))
+    members = cut(crowded.join(pivot, "cell").select(F.col("p.node").alias("r"), "node").distinct(), "members")
+    for done in (cells, needs):
+        drop_cut(done)
+    verifier = _Verifier(held, pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(members.select("node")), k, link)
+    regions = _regions(verifier, members)
+    centre, edges = _stars(regions)
+    comps = components(edges.unionByName(verifier.links(pairs)))
+    more = verifier.links(cut(_windows(regions, centre, comps, link), "candidates"))
+    comps = components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(more))
+    for done in (regions, verifier.sets, pairs, members, crowded):
+        drop_cut(done)
+    labelled = held.first.select("node", "first").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    best = labelled.groupBy("comp").agg(F.min("first").alias("component_id"))
     ids = labelled.join(best, "comp").select("node", "component_id")
     full = light.where("n > 0").join(ids, "node")
     empty = light.where("n = 0").withColumn("component_id", F.col("doc_id"))
@@ -272,7 +339,7 @@ def keep_one(docs: DataFrame, k: int = 5, link: int = 80) -> DataFrame:
     rows = docs.select(F.struct(*[docs[c] for c in columns]).alias("row"), docs["doc_id"].alias("id"), nodes(docs["text"], k).alias("x"))
     empty = rows.where(F.col("x.n") == 0).select("row.*")
     full = rows.where(F.col("x.n") > 0).join(stays, F.col("id").eqNullSafe(F.col("d")) & (F.col("x.node") == F.col("nd")))
-    one = full.withColumn("copy", F.row_number().over(Window.partitionBy("d", "nd").orderBy(F.lit(1)))).where("copy = 1")
+    one = full.withColumn("copy", F.row_number().over(Window.partitionBy("d", "nd").orderBy(F.xxhash64("row"), F.to_json("row")))).where("copy = 1")
     return one.select("row.*").unionByName(empty)
 
 
