@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +19,9 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text handled at once inside a task; a longer document is handled alone.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 500_000
+#: Rows of an Arrow batch at most.
+BATCH_ROWS = 1000
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -146,6 +148,14 @@ def list_array(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
 
+def batch_udf(of: Callable, kind: str) -> Callable:
+    """arrow_udf over batches of at most BATCH_ROWS rows, as texts may be long; sets the session's batch size where it is larger."""
+    conf, key = SparkSession.active().conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return F.arrow_udf(of, kind)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -167,7 +177,7 @@ def cut(df: DataFrame, what: str = "cut") -> DataFrame:
     """df written to the shared folder as Parquet and read back: lineage ends here, and lost executors cost nothing before it."""
     spark = df.sparkSession
     path = fresh_path(spark, what)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

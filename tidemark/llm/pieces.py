@@ -17,7 +17,8 @@ Decoding joins the pieces' bytes and is exact: a literal U+2581 and characters
 outside the vocabulary are spelt as byte pieces, and the added first space goes.
 
 Edge cases: null and empty texts have no pieces (null decodes to empty); texts of
-any length are encoded whole; equal texts are encoded alike; other columns stay.
+any length are encoded whole; equal texts are encoded alike; repeated rows give
+repeated rows; other columns stay out; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import GOLDEN, mix64, table
+from ._common import GOLDEN, batch_udf, mix64, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
@@ -40,7 +41,7 @@ STREAMS = None
 SEED = 20_240_607
 LONG = 96
 #: Characters of text handled at once; a longer text is handled alone.
-CHUNK_CHARS = 6_000_000
+CHUNK_CHARS = 500_000
 _NONE = np.int32(2**31 - 1)
 _MASK = (1 << 64) - 1
 RESULT = "struct<ids:array<int>,lossless:boolean>"
@@ -354,7 +355,7 @@ def encode(text: Column, spark: SparkSession, model: str = MODEL, dropout: float
         offsets = np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int32)
         return pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids), pa.int32())), pa.array(same, pa.bool_())], names=["ids", "lossless"])
 
-    return F.arrow_udf(of, RESULT)(text)
+    return batch_udf(of, RESULT)(text)
 
 
 def decode(ids: Column, spark: SparkSession, model: str = MODEL) -> Column:
@@ -365,11 +366,11 @@ def decode(ids: Column, spark: SparkSession, model: str = MODEL) -> Column:
         p = load(held.value)
         return pa.array([p.decode(np.array(x or [], dtype=np.int64)).decode("utf-8", "replace") for x in column.to_pylist()], pa.string())
 
-    return F.arrow_udf(of, "string")(ids)
+    return batch_udf(of, "string")(ids)
 
 
 def encoded(docs: DataFrame, model: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, streams: int | None = STREAMS) -> DataFrame:
-    """(doc_id, n_pieces, ids_sha256, lossless, ids) of documents."""
+    """(doc_id, n_pieces, lossless, ids) of documents."""
     x = docs.select("doc_id", encode(docs["text"], docs.sparkSession, model, dropout, seed, streams).alias("x"))
     return x.select("doc_id", F.size("x.ids").cast("long").alias("n_pieces"), "x.lossless", "x.ids")
 

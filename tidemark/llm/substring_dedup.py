@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import GOLDEN, cut, list_array, mix64, table, text_chunks, windows
+from ._common import GOLDEN, batch_udf, cut, list_array, mix64, table, text_chunks, windows
 
 WINDOW = 20
 PREFIX = 8
@@ -80,7 +80,7 @@ def sequences(text: Column) -> Column:
         node = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.uint64)
         return pa.StructArray.from_arrays([pa.array(n.astype(np.int64)), pa.array(node.view(np.int64))], names=["n", "node"])
 
-    return F.arrow_udf(of, "struct<n:bigint,node:bigint>")(text)
+    return batch_udf(of, "struct<n:bigint,node:bigint>")(text)
 
 
 def anchors(text: Column, window: int, prefix: int) -> Column:
@@ -99,7 +99,7 @@ def anchors(text: Column, window: int, prefix: int) -> Column:
             return pa.array([], pa.struct([("node", pa.int64()), ("prefixes", pa.list_(pa.int64()))]))
         return pa.StructArray.from_arrays([pa.array(np.concatenate(nodes).view(np.int64)), list_array(np.concatenate(found).view(np.int64), np.concatenate(counts))], names=["node", "prefixes"])
 
-    return F.arrow_udf(of, "struct<node:bigint,prefixes:array<bigint>>")(text)
+    return batch_udf(of, "struct<node:bigint,prefixes:array<bigint>>")(text)
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -140,7 +140,7 @@ def paths(text: Column, prefixes: Column, window: int, prefix: int) -> Column:
         rows = pa.StructArray.from_arrays([pa.array(np.concatenate(h1).view(np.int64)), pa.array(np.concatenate(h2).view(np.int64)), pa.array(np.concatenate(pos).astype(np.int32))], names=["h1", "h2", "pos"])
         return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int32)), rows)
 
-    return F.arrow_udf(of, "array<struct<h1:bigint,h2:bigint,pos:int>>")(text, prefixes)
+    return batch_udf(of, "array<struct<h1:bigint,h2:bigint,pos:int>>")(text, prefixes)
 
 
 RESULT = "struct<n_words:bigint,n_removed:bigint,kept:string,kept_sha256:string>"
@@ -181,7 +181,7 @@ def removed(text: Column, copy: Column, prefixes: Column, firsts: Column, window
                 digest.append(hashlib.sha256(out).hexdigest())
         return pa.StructArray.from_arrays([pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string()), pa.array(digest, pa.string())], names=["n_words", "n_removed", "kept", "kept_sha256"])
 
-    return F.arrow_udf(of, RESULT)(text, copy, prefixes, firsts)
+    return batch_udf(of, RESULT)(text, copy, prefixes, firsts)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, with_text: bool = True) -> DataFrame:
