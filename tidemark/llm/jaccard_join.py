@@ -7,23 +7,23 @@ Level one.  Whole documents can't be pivots of all documents: unrelated document
 at distance 1 from every pivot and would stand in every pivot's window.  So level one
 deals the shingle universe by hash into m parts (m by size class; a set also stands in
 the next class where its window of partner sizes reaches into that class).  A set lies
-in the cell of each of its non-empty parts' contents.  A pair that links differs in at
-most K parts, so of its first K + need parts, in one order for all sets, at least
-``need`` (n // SHARE + 1) are cells that both lie in.  A set of fewer than K + need
-parts is *short*: such sets are counted while the cells are written, and if there are
-any they are joined with all others by prefixes of their shingles.  Cells of up to LEAF
-members are compared directly, after pairs that share too few cells are left out.
+in the cell of each of its P non-empty parts' contents.  A pair that links differs in at
+most K parts, K from the bound above, so it shares ``need`` = P - K cells or more.  A set
+for which that leaves none is *short*: short sets lie in a cell of their own, and if
+there are any they are joined with all others by prefixes of their shingles.  Cells of
+up to LEAF members are compared directly, after pairs that share too few cells are left
+out.
 
 Regions.  A pair that shares no small cell shares ``need`` crowded ones, so documents
-with that many crowded parts (as many as the least partner needs) go on.  Each crowded
-cell, but for the most crowded ones that a pair can do without, has a pivot: its member
-with the fewest parts of its own, which is the nearest to what the cell has in common.
-The cells of one pivot are its region; a document stands in the region of every pivot
-of its cells, so that each linked pair meets.  In a region documents are held by their
-difference D from the pivot, and by their signed distance from where a link with the
-pivot begins, s = (100 + link) |D| - (100 - link) n.  Two documents link exactly if
-s(a) + s(b) <= 2 (100 + link) |D(a) and D(b)|.  So all that link without common
-differences link with the document of least s: one edge each joins them.
+with that many crowded parts go on.  Each crowded cell, but for the most crowded ones
+that a pair can do without, has a pivot: its member with the fewest parts of its own,
+which is the nearest to what the cell has in common.  The cells of one pivot are its
+region, to which those of pivots that lie in one of its cells are added; a document stands
+in the region of every pivot of its cells, so that each linked pair meets.  In a region documents are held by their difference D from the pivot, and by
+their signed distance from where a link with the pivot begins, s = (100 + link) |D| -
+(100 - link) n.  Two documents link exactly if s(a) + s(b) <= 2 (100 + link) |D(a) and
+D(b)|.  So all that link without common differences link with the document of least s:
+one edge each joins them.
 
 Windows.  Any other link needs common differences: the region is joined once more, on
 the differences in place of the sets, rarest first.  A document stands at as many of
@@ -45,10 +45,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import GOLDEN, cut, cut_counted, drop_cut, list_array, mix64, table, text_chunks, windows
+from ._common import GOLDEN, batch_udf, cut, cut_counted, drop_cut, list_array, mix64, table, text_chunks, windows
 from .components import components
 
 SHINGLE = 4
@@ -60,9 +60,9 @@ BROADCAST_NODES = 1_000_000
 BROADCAST_VALUES = 2_000_000
 NODE_TYPE = "struct<n:bigint,node:bigint,twin:bigint>"
 SET_TYPE = "struct<n:bigint,node:bigint,twin:bigint,shingles:array<bigint>>"
-PART_TYPE = "struct<n:bigint,node:bigint,twin:bigint,parts:array<bigint>,short:boolean>"
-#: A linked pair shares one cell, and one more for each so many shingles.
-SHARE = 32
+PART_TYPE = "struct<n:bigint,node:bigint,twin:bigint,classes:array<struct<need:int,parts:array<bigint>>>>"
+#: The cell of all short sets; its low bits are no size class.
+SHORT = 63
 
 
 def _chunk_sets(w, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,7 +111,7 @@ def sets(text: Column, k: int = SHINGLE) -> Column:
         shingles, counts = _batch(t, k)
         return pa.StructArray.from_arrays([*_nodes(shingles, counts), list_array(shingles.view(np.int64), counts)], names=["n", "node", "twin", "shingles"])
 
-    return F.arrow_udf(of, SET_TYPE)(text)
+    return batch_udf(of, SET_TYPE)(text)
 
 
 def nodes(text: Column, k: int = SHINGLE) -> Column:
@@ -121,7 +121,7 @@ def nodes(text: Column, k: int = SHINGLE) -> Column:
         found = [pa.StructArray.from_arrays(_nodes(s, c), names=["n", "node", "twin"]) for s, c in (_chunk_sets(w, k) for _, _, w in text_chunks(t, lower=True))]
         return pa.concat_arrays(found) if found else pa.array([], pa.struct([(c, pa.int64()) for c in ("n", "node", "twin")]))
 
-    return F.arrow_udf(of, NODE_TYPE)(text)
+    return batch_udf(of, NODE_TYPE)(text)
 
 
 def _schemes(n: np.ndarray, link: int) -> tuple[np.ndarray, np.ndarray]:
@@ -156,33 +156,34 @@ def _parts_of(shingles: np.ndarray, counts: np.ndarray, scheme: np.ndarray, eigh
 
 
 def parts(text: Column, k: int = SHINGLE, link: int = LINK) -> Column:
-    """struct(n, node, twin, parts, short): a text's cells, of which a linked set shares n // SHARE + 1 or more, and whether it has too few for that."""
+    """struct(n, node, twin, classes): a text's cells in its size class and perhaps the next, and how many of them a linked set shares; the cell SHORT if that is none."""
     eighths = _eighths(link)
 
     def of_chunk(shingles: np.ndarray, counts: np.ndarray) -> pa.Array:
         own, more = _schemes(counts, link)
-        length = counts * (OF - link) // link + counts // SHARE + 1
-        first, n_first = _parts_of(shingles, counts, own, eighths)
-        second, n_second = _parts_of(shingles[np.repeat(more, counts)], counts[more], own[more] + 1, eighths)
-        short = n_first < length
-        short[more] |= n_second < length[more]
-        at, at_second = np.concatenate([[0], np.cumsum(n_first)]), np.concatenate([[0], np.cumsum(n_second)])
-        keys, lengths, j = [], np.zeros(len(counts), dtype=np.int64), 0
-        for i in range(len(counts)):
-            mine = [np.sort(first[at[i] : at[i + 1]])[: length[i]]]
-            if more[i]:
-                mine.append(np.sort(second[at_second[j] : at_second[j + 1]])[: length[i]])
-                j += 1
-            keys += mine
-            lengths[i] = sum(map(len, mine))
-        keys = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-        return pa.StructArray.from_arrays([*_nodes(shingles, counts), list_array(keys.view(np.int64), lengths), pa.array(short & (counts > 0))], names=["n", "node", "twin", "parts", "short"])
+        some = counts > 0
+        which = np.concatenate([np.flatnonzero(some), np.flatnonzero(some & more)])
+        scheme = np.concatenate([own[some], own[some & more] + 1])
+        order = np.argsort(which, kind="stable")
+        which, scheme = which[order], scheme[order]
+        at = np.cumsum(counts) - counts
+        size = counts[which]
+        rows = np.arange(int(size.sum())) + np.repeat(at[which] - (np.cumsum(size) - size), size)
+        keys, lengths = _parts_of(shingles[rows], size, scheme, eighths)
+        need = lengths - size * (OF - link) // link
+        short = need < 1
+        ends = np.cumsum(lengths)
+        keys = np.insert(keys, ends[short], np.uint64(SHORT))
+        lists = list_array(keys.view(np.int64), lengths + short)
+        both = pa.StructArray.from_arrays([pa.array(np.maximum(need, 1), pa.int32()), lists], names=["need", "parts"])
+        bounds = np.searchsorted(which, np.arange(len(counts) + 1))
+        return pa.StructArray.from_arrays([*_nodes(shingles, counts), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), both)], names=["n", "node", "twin", "classes"])
 
     def of(t: pa.Array) -> pa.Array:
         chunks = [of_chunk(*_chunk_sets(w, k)) for _, _, w in text_chunks(t, lower=True)]
         return pa.concat_arrays(chunks) if chunks else of_chunk(np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
-    return F.arrow_udf(of, PART_TYPE)(text)
+    return batch_udf(of, PART_TYPE)(text)
 
 
 class _Nodes:
@@ -254,18 +255,20 @@ def _windows(regions: DataFrame, centre: DataFrame, comps: DataFrame, link: int)
     own = own.join(own.groupBy("r").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("r"), "r", "left_semi")
     own = cut(own.join(centre.select("r", "low"), "r"), "open")
     rows = cut(regions.where(F.size("d") > 0).join(own, ["r", "node"]).withColumn("nd", F.size("d")), "differences")
-    flat = rows.select("r", "node", F.explode("d").alias("e"))
-    shared = flat.groupBy("r", "e").agg(F.count("*").alias("df")).where("df > 1")
-    # differences that no other member has come first and only count
+    flat = rows.select("r", "node", "comp", F.explode("d").alias("e"))
+    shared = flat.groupBy("r", "e").agg(F.count("*").alias("df"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").drop("x", "y")
+    # differences that no member of another component has come first and only count
     ranked = flat.join(shared, ["r", "e"]).groupBy("r", "node").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("es"))
     ranked = cut(rows.drop("d").join(ranked, ["r", "node"]), "ranked")
-    at = ranked.withColumn("alone", F.col("nd") - F.size("es")).select("*", F.posexplode("es").alias("i", "x")).withColumn("left", (F.col("nd") - F.col("alone") - F.col("i")).cast("long"))
+    # the last ones, as many as any partner must share but for one, can't be the first that is shared
+    ahead = F.size("es") + 1 - F.ceil(F.greatest(F.col("low") + F.col("s"), F.lit(1)) / (2 * q)).cast("int")
+    at = ranked.withColumn("alone", F.col("nd") - F.size("es")).select("*", F.posexplode(F.slice("es", F.lit(1), F.greatest(ahead, F.lit(0)))).alias("i", "x")).withColumn("left", (F.col("nd") - F.col("alone") - F.col("i")).cast("long"))
     # left: differences from this one on, the most that may be common
     at = at.withColumn("most", 2 * q * F.col("left") - F.col("s"))
     width = F.greatest(F.lit(1), (OF - link) * F.col("nr"))
     near = at.where(F.col("left") * q >= F.greatest(F.col("s"), F.lit(1))).withColumn("least", F.greatest(F.col("s"), 1 - F.col("s"))).where("most >= least")
     near = near.withColumn("band", F.explode(F.sequence(F.floor(F.col("least") / width), F.floor(F.col("most") / width))))
-    far = at.where(F.col("left") * (2 * q) >= F.greatest(F.col("low") + F.col("s"), F.lit(1))).withColumn("band", F.floor(F.col("s") / width))
+    far = at.withColumn("band", F.floor(F.col("s") / width))
     one = lambda df, t: df.select("r", F.col("x.e").alias("e"), "band", *[F.col(c).alias(c + t) for c in ("node", "n", "s", "most", "comp")])
     met = (F.col("s_a") <= F.col("s_b")) & (F.col("s_b") <= F.col("most_a")) & (F.col("s_a") <= F.col("most_b")) & (F.col("s_a") + F.col("s_b") > 0) & (F.col("comp_a") != F.col("comp_b"))
     size = (F.col("n_a") * OF >= F.col("n_b") * link) & (F.col("n_b") * OF >= F.col("n_a") * link)
@@ -273,47 +276,45 @@ def _windows(regions: DataFrame, centre: DataFrame, comps: DataFrame, link: int)
     return both.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
-def _short_pairs(held: _Nodes, k: int, link: int) -> DataFrame:
-    """(a, b): short sets with all sets that share one of the first shingles, n - ceil(n * link / 100) + 1 of each in one order."""
+def _short_pairs(held: _Nodes, short: DataFrame, k: int, link: int) -> DataFrame:
+    """(a, b): the short sets, by node, with all sets that share one of the first shingles, n - ceil(n * link / 100) + 1 of each in one order."""
     prefix = lambda c: F.slice(F.array_sort(c), F.lit(1), (F.col("n") - F.ceil(F.col("n") * link / OF) + 1).cast("int"))
-    short = held.once(parts(held.docs[held.text], k, link)).where("short").select("node").distinct()
     every = held.once(sets(held.docs[held.text], k)).select("node", F.explode(prefix(F.col("shingles"))).alias("e"))
     own = every.join(short, "node", "left_semi").select(F.col("node").alias("a"), "e")
     return own.join(every.withColumnRenamed("node", "b"), "e").where("a <> b").select("a", "b").distinct()
 
 
-def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE, link: int = LINK) -> DataFrame:
-    """(doc_id, node, n_shingles, component_id), a row for each row of docs."""
-    held = _Nodes(docs, doc_id, text, k)
-    light, seen = held.light, Observation()
-    heavy = held.once(parts(docs[text], k, link)).observe(seen, F.count_if("short").alias("short"))
+def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE, link: int = LINK, held: _Nodes | None = None) -> DataFrame:
+    """(doc_id, node, n_shingles, component_id), a row for each row of docs; held: their nodes, if known."""
+    held = held or _Nodes(docs, doc_id, text, k)
+    light = held.light
+    heavy = held.once(parts(docs[text], k, link))
     by = Window.partitionBy("part")
-    cells = heavy.select("node", F.explode("parts").alias("part"))
+    cells = heavy.select("node", F.explode("classes").alias("c")).select("node", "c.need", F.explode("c.parts").alias("part"))
     cells = cells.withColumns({"members": F.count("*").over(by), "least": F.min("node").over(by), "most": F.max("node").over(by), "all": F.bit_xor(F.xxhash64("node")).over(by)})
-    cells = cells.where("least <> most").withColumn("scheme", F.col("part").bitwiseAND(63).cast("int"))
+    cells = cells.where((F.col("least") != F.col("most")) | (F.col("part") == SHORT)).withColumn("scheme", F.col("part").bitwiseAND(63).cast("int"))
     # parts with the same members are one cell
-    cells = cut(cells.groupBy("scheme", F.xxhash64("members", "least", "most", "all", "scheme").alias("cell"), "members", "node").agg(F.countDistinct("part").alias("parts")), "cells")
-    n_short = seen.get["short"] or 0
-    met = cells.where(F.col("members") > LEAF).groupBy("node", "scheme").agg(F.sum("parts").alias("met"))
-    # need: cells shared with a partner that is no smaller; floor: with the smallest one; lack: of its cells those of few members
-    smallest, size = F.ceil(F.col("n") * link / OF), F.floor(F.col("n") * (OF - link) / link)
-    sizes = light.where("n > 0").select("node", (F.floor(F.col("n") / SHARE) + 1).alias("need"), (F.floor(smallest / SHARE) + 1).alias("floor"), size.alias("differ")).distinct()
-    needs = cells.select("node", "scheme").distinct().join(sizes, "node").join(met, ["node", "scheme"], "left").withColumn("met", F.coalesce("met", F.lit(0)))
-    needs = cut(needs.withColumn("lack", F.col("differ") + F.col("need") - F.col("met")), "needs")
-    small = cells.where(F.col("members") <= LEAF).select("cell", "scheme", "node", "parts")
-    a, b = small.select("cell", "scheme", F.col("node").alias("a"), "parts"), small.select("cell", F.col("node").alias("b"))
-    pairs = a.join(b, "cell").where("a < b").groupBy("a", "b", "scheme").agg(F.sum("parts").alias("shared"))
-    need = lambda c: needs.select(F.col("node").alias(c), "scheme", F.col("need").alias(f"need_{c}"), F.col("met").alias(f"met_{c}"))
-    pairs = pairs.join(need("a"), ["a", "scheme"]).join(need("b"), ["b", "scheme"])
-    pairs = pairs.where(F.col("shared") + F.least("met_a", "met_b") >= F.least("need_a", "need_b")).select("a", "b")
-    pairs = cut((pairs.unionByName(_short_pairs(held, k, link)) if n_short else pairs).distinct(), "pairs")
-    crowded = cells.where(F.col("members") > LEAF).join(needs.where("met >= floor").select("node", "scheme", "floor", "lack"), ["node", "scheme"])
-    # the most crowded cells go: a pair shares ``floor`` parts, the rarest of which stays
+    every = cut(cells.groupBy("scheme", F.xxhash64("members", "least", "most", "all", "scheme").alias("cell"), "members", "node", "need").agg(F.countDistinct("part").alias("parts")), "cells")
+    cells, short = every.where(F.col("scheme") != SHORT), every.where(F.col("scheme") == SHORT).select("node")
+    # met: parts in crowded cells; lack: by how many these are fewer than what a linked set shares at least
+    met = F.coalesce(F.sum(F.when(F.col("members") > LEAF, F.col("parts"))), F.lit(0))
+    needs = cut(cells.groupBy("node", "scheme", "need").agg(met.alias("met"), F.sum("parts").alias("shared")).where("shared >= need").drop("shared"), "needs")
+    small = cells.where(F.col("members") <= LEAF).join(needs, ["node", "scheme", "need"]).select("cell", "scheme", "node", "parts", "need", "met")
+    a, b = small.withColumnsRenamed({"node": "a", "need": "need_a", "met": "met_a"}), small.select("cell", *[F.col(c).alias(f"{c}_b") for c in ("need", "met")], F.col("node").alias("b"))
+    pairs = a.join(b, "cell").where("a < b").groupBy("a", "b", "scheme", "need_a", "need_b", "met_a", "met_b").agg(F.sum("parts").alias("shared"))
+    pairs = pairs.where(F.col("shared") + F.least("met_a", "met_b") >= F.greatest("need_a", "need_b")).select("a", "b")
+    pairs = cut((pairs if short.isEmpty() else pairs.unionByName(_short_pairs(held, short, k, link))).distinct(), "pairs")
+    crowded = cells.where(F.col("members") > LEAF).join(needs.where("met >= need"), ["node", "scheme", "need"])
+    # the most crowded cells go: a pair shares ``need`` parts, the rarest of which stays
     over = Window.partitionBy("node", "scheme").orderBy(F.desc("members"), F.desc("cell"))
-    crowded = cut(crowded.withColumn("upto", F.sum("parts").over(over)).where("upto >= floor").select("node", "cell", "lack"), "crowd")
+    crowded = cut(crowded.withColumn("upto", F.sum("parts").over(over)).where("upto >= need").select("node", "cell", (F.col("need") - F.col("met")).alias("lack")), "crowd")
     pivot = crowded.groupBy("cell").agg(F.min(F.struct("lack", "node")).alias("p"))
+    # a pivot hands its cells to the best pivot of its own cells, if that is another, and that one does so once more
+    held_by = cut(crowded.join(pivot, "cell").groupBy("node").agg(F.min("p").alias("up")).where("up.node <> node").select(F.col("node").alias("low"), "up"), "pivots")
+    for _ in range(2):
+        pivot = pivot.join(held_by, F.col("p.node") == F.col("low"), "left").select("cell", F.coalesce("up", "p").alias("p"))
     members = cut(crowded.join(pivot, "cell").select(F.col("p.node").alias("r"), "node").distinct(), "members")
-    for done in (cells, needs):
+    for done in (every, needs):
         drop_cut(done)
     verifier = _Verifier(held, pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(members.select("node")), k, link)
     regions = _regions(verifier, members)
@@ -334,13 +335,19 @@ def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def keep_one(docs: DataFrame, k: int = 5, link: int = 80) -> DataFrame:
     """The rows of docs without those that link to a row that stays: of each component the least doc_id, one row of it."""
     columns = docs.columns
-    linked = cut(link_components(docs, k=k, link=link), "components")
-    stays = linked.where("n_shingles > 0").where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("d"), F.col("node").alias("nd")).distinct()
-    rows = docs.select(F.struct(*[docs[c] for c in columns]).alias("row"), docs["doc_id"].alias("id"), nodes(docs["text"], k).alias("x"))
-    empty = rows.where(F.col("x.n") == 0).select("row.*")
-    full = rows.where(F.col("x.n") > 0).join(stays, F.col("id").eqNullSafe(F.col("d")) & (F.col("x.node") == F.col("nd")))
-    one = full.withColumn("copy", F.row_number().over(Window.partitionBy("d", "nd").orderBy(F.xxhash64("row"), F.to_json("row")))).where("copy = 1")
-    return one.select("row.*").unionByName(empty)
+    held = _Nodes(docs, "doc_id", "text", k)
+    linked = link_components(docs, k=k, link=link, held=held)
+    stays = linked.where("n_shingles > 0").where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("d"), F.col("node").alias("nd")).agg(F.count("*").alias("rows"))
+    stays, n = cut_counted(stays, "stays")
+    rows = docs.select(F.struct(*[docs[c] for c in columns]).alias("row"), docs["doc_id"].alias("id"), nodes(docs["text"], k).alias("x")).select("row", "id", "x.*")
+    same = F.col("id").eqNullSafe(F.col("d")) & (F.col("node") == F.col("nd"))
+    marked = held.apart(rows).join(F.broadcast(stays) if n <= BROADCAST_NODES else stays, same, "left")
+    out = marked.where("n = 0 or rows = 1").select("row.*")
+    if stays.where("rows > 1").isEmpty():
+        return out
+    # repeated rows of one doc_id and set: the first as text stays
+    again = marked.where("n > 0 and rows > 1").withColumn("copy", F.row_number().over(Window.partitionBy("d", "nd").orderBy(F.to_json("row"))))
+    return out.unionByName(again.where("copy = 1").select("row.*"))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
