@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .quality_rules import FENCE, MEASURES, MIN_GROUP
+from .quality_rules import FENCE, MEASURES, PRIOR, QUANTILES, SCALE, SIZES
 
 _WORD = "'[^\\x20\\x09-\\x0D]+'"
 _LOWER = "translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -43,26 +43,46 @@ SELECT w.doc_id, CAST(coalesce(n, 0) AS BIGINT) n_shingles, m component_id FROM
 """
 
 
+def _merged(keys: str, above: str, on: str) -> str:
+    """Sketches by keys, merged with those of the table above at the weight of PRIOR documents."""
+    own = f"SELECT {keys}measure, bucket, low, CAST(sum(n) AS BIGINT) * {SCALE} w FROM sk GROUP BY {keys}measure, bucket, low"
+    if not above:
+        return own
+    share = f"SELECT *, {PRIOR} * CAST(floor(w * {SCALE}.0::DOUBLE / sum(w) OVER (PARTITION BY {on}measure)) AS BIGINT) v FROM {above}"
+    groups = ", ".join(f"g.{k}" for k in keys.replace(" ", "").split(",") if k)
+    same = "".join(f" AND g.{k} IS NOT DISTINCT FROM p.{k}" for k in on.replace(" ", "").split(",") if k)
+    return f"SELECT {keys}measure, bucket, low, CAST(sum(w) AS BIGINT) w FROM ({own} UNION ALL SELECT {groups}, g.measure, p.bucket, p.low, p.v FROM (SELECT DISTINCT {keys}measure FROM sk) g JOIN ({share}) p ON g.measure = p.measure{same}) GROUP BY {keys}measure, bucket, low"
+
+
 def _op1() -> str:
     value = lambda k: f"CASE WHEN {MEASURES[k][1]} > 0 THEN CAST(trunc(1000.0::DOUBLE * {MEASURES[k][0]} / {MEASURES[k][1]}) AS BIGINT) ELSE 0 END"
-    quartiles = lambda keys: f"SELECT {keys}measure, max(total) docs, " + ", ".join(f"min(CASE WHEN upto * 4 >= total * {q} THEN low END) q{q}" for q in (1, 2, 3)) + f" FROM (SELECT *, sum(n) OVER (PARTITION BY {keys}measure ORDER BY bucket) upto, sum(n) OVER (PARTITION BY {keys}measure) total FROM (SELECT {keys}measure, bucket, min(low) low, sum(n) n FROM sk GROUP BY {keys}measure, bucket)) GROUP BY {keys}measure"
-    least = "CASE measure " + " ".join(f"WHEN '{k}' THEN {m[2]}" for k, m in MEASURES.items()) + " END"
-    ok = " AND ".join(f"{value(k)} <= {k}.mid + ({k}.high - {k}.mid) * wider" + (f" AND {value(k)} >= {k}.mid + ({k}.low - {k}.mid) * wider" if m[3] else "") for k, m in MEASURES.items())
-    joins = " ".join(f"LEFT JOIN f {k} ON {k}.measure = '{k}' AND {k}.lang IS NOT DISTINCT FROM b.lang AND {k}.source IS NOT DISTINCT FROM b.source" for k in MEASURES)
+    values = [(k, value(k)) for k in MEASURES] + [(k, k) for k in SIZES]
+    quantile = lambda q: f"CAST(min(CASE WHEN upto * 100 >= total * {q} THEN low END) AS DOUBLE)"
+
+    def ok(k: str) -> str:
+        _, den, event, lower = MEASURES[k]
+        size = f"greatest(1.0::DOUBLE, t.{den}_50)"
+        reach = f"{FENCE} * greatest(t.{k}_75 - t.{k}_25, {1000 * event}.0::DOUBLE / {size}" + ("" if lower else f", t.{k}_90 - t.{k}_50") + ")"
+        wider = f"sqrt(greatest(1.0::DOUBLE, {size} / greatest({den}, 1)))"
+        high = f"{value(k)} <= t.{k}_50 + (t.{k}_75 + {reach} - t.{k}_50) * {wider}"
+        return high + (f" AND {value(k)} >= t.{k}_50 + (t.{k}_25 - {reach} - t.{k}_50) * {wider}" if lower else "")
+
+    picks = ", ".join(f"max(CASE WHEN measure = '{k}' THEN q{q} END) {k}_{q}" for k in (*MEASURES, *SIZES) for q in QUANTILES)
+    failed = "(n_words < 10 OR 100 * n_repeat_words > 20 * n_words)"
     return f"""
 WITH w AS (SELECT doc_id, lang, source, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), {_WORD}) w FROM documents),
 l AS (SELECT doc_id, count(*) n_lines, count(*) - count(DISTINCT x) n_dup_lines FROM (SELECT doc_id, unnest(string_split(t, chr(10))) x FROM w) WHERE regexp_matches(x, {_WORD}) GROUP BY 1),
 g AS (SELECT doc_id, s, count(*) OVER (PARTITION BY doc_id, g) c FROM (SELECT doc_id, s, array_to_string(w[s : s + 4], ' ') g FROM (SELECT doc_id, w, unnest(range(1, CAST(greatest(len(w) - 3, 1) AS BIGINT))) s FROM w))),
 r AS (SELECT doc_id, count(DISTINCT i) n FROM (SELECT doc_id, unnest(range(s, s + 5)) i FROM g WHERE c > 1) GROUP BY 1),
-b AS (SELECT w.doc_id, lang, source, CAST(len(w) AS BIGINT) n_words, CAST(length(array_to_string(w, '')) AS BIGINT) word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) n_symbols, CAST(coalesce(n_dup_lines, 0) AS BIGINT) n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) n_repeat_words, coalesce(n_lines, 0) n_lines, sqrt(greatest(1.0::DOUBLE, 100.0::DOUBLE / greatest(len(w), 1))) wider FROM w LEFT JOIN l ON l.doc_id = w.doc_id LEFT JOIN r ON r.doc_id = w.doc_id),
-v AS ({" UNION ALL ".join(f"SELECT lang, source, '{k}' measure, {value(k)} v FROM b WHERE n_words > 0" for k in MEASURES)}),
+b AS (SELECT w.doc_id, lang, source, CAST(len(w) AS BIGINT) n_words, CAST(length(array_to_string(w, '')) AS BIGINT) word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) n_symbols, CAST(coalesce(n_dup_lines, 0) AS BIGINT) n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) n_repeat_words, coalesce(n_lines, 0) n_lines FROM w LEFT JOIN l ON l.doc_id = w.doc_id LEFT JOIN r ON r.doc_id = w.doc_id),
+v AS ({" UNION ALL ".join(f"SELECT lang, source, '{k}' measure, {x} v FROM b WHERE NOT {failed}" for k, x in values)}),
 bu AS (SELECT *, CASE WHEN v < 64 THEN 0 ELSE length(bin(v)) - 6 END sh FROM v),
 sk AS (SELECT lang, source, measure, sh * 32 + (v >> sh) bucket, min((v >> sh) << sh) low, count(*) n FROM bu GROUP BY 1, 2, 3, 4),
-q3 AS ({quartiles("lang, source, ")}), q2 AS ({quartiles("lang, ")}), q1 AS ({quartiles("")}),
-ch AS (SELECT q3.lang, q3.source, q3.measure, {", ".join(f"CASE WHEN q3.docs >= {MIN_GROUP} THEN q3.q{i} WHEN q2.docs >= {MIN_GROUP} THEN q2.q{i} ELSE q1.q{i} END q{i}" for i in (1, 2, 3))} FROM q3 JOIN q2 ON q2.measure = q3.measure AND q2.lang IS NOT DISTINCT FROM q3.lang JOIN q1 ON q1.measure = q3.measure),
-f AS (SELECT lang, source, measure, q2 mid, q1 - greatest({FENCE} * (q3 - q1), {least}) low, q3 + greatest({FENCE} * (q3 - q1), {least}) high FROM ch)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words base_failed, NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND coalesce({ok}, true) kept
-FROM b {joins}
+m1 AS ({_merged("", "", "")}), m2 AS ({_merged("lang, ", "m1", "")}), m3 AS ({_merged("lang, source, ", "m2", "lang, ")}),
+q AS (SELECT lang, source, measure, {", ".join(f"{quantile(q)} q{q}" for q in QUANTILES)} FROM (SELECT *, sum(w) OVER (PARTITION BY lang, source, measure ORDER BY bucket) upto, sum(w) OVER (PARTITION BY lang, source, measure) total FROM m3) GROUP BY 1, 2, 3),
+t AS (SELECT lang, source, {picks} FROM q GROUP BY 1, 2)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {failed} base_failed, NOT {failed} AND coalesce({" AND ".join(map(ok, MEASURES))}, true) kept
+FROM b LEFT JOIN t ON t.lang IS NOT DISTINCT FROM b.lang AND t.source IS NOT DISTINCT FROM b.source
 """
 
 

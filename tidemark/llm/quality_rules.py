@@ -6,10 +6,19 @@ each doubling: 3 % relative error).  Sketches merge by adding counts, so the
 per-partition partial counts, the sketch of a (lang, source) group, of a language
 and of the whole corpus are all sums of the same rows, whatever the partitioning.
 
-Edge cases: a null or empty text has no words and zero measures, is base_failed
-and is not counted in any sketch; null lang or source is a group of its own;
-groups of under ``min_group`` documents use their language's fences, small
-languages the corpus's; repeated rows are judged alike; no rows give no rows.
+A language's sketch is merged with the corpus's at the weight of ``prior`` documents,
+a group's with its language's, so a group's own documents count the more the more
+there are, without a step.  A fence stands FENCE spreads outside the quartiles; the
+spread is read from the merged sketch: the interquartile range, for measures that have
+an upper fence only also what lies between median and nine tenths, and at least what
+one event (a character, a symbol, a line, a five-word window met twice) makes of the
+group's median text.  Texts shorter than that median vary more; their fences widen with
+the square root of the ratio.
+
+Edge cases: a null or empty text has no words and zero measures and is base_failed;
+texts that are base_failed are not counted in any sketch; null lang or source is a
+group of its own; repeated rows are judged alike and each counts; columns named like
+the measures or thresholds don't clash (rows travel packed); no rows give no rows.
 """
 
 from __future__ import annotations
@@ -18,23 +27,30 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import GOLDEN, cut, mix64, per_text, table, text_chunks, windows
+from ._common import GOLDEN, batch_udf, cut, mix64, per_text, table, text_chunks, windows
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MEASURE_TYPE = "struct<n_words:bigint,word_chars:bigint,n_symbols:bigint,n_dup_lines:bigint,n_repeat_words:bigint,n_lines:bigint>"
-#: measure -> (numerator, denominator, least distance of a fence from the median in thousandths, has a lower fence)
+#: measure -> (numerator, denominator, what one event adds to the numerator, has a lower fence)
 MEASURES = {
-    "word_len": ("word_chars", "n_words", 1200, True),
-    "symbols": ("n_symbols", "n_words", 100, False),
-    "dup_lines": ("n_dup_lines", "n_lines", 300, False),
-    "repeats": ("n_repeat_words", "n_words", 250, False),
+    "word_len": ("word_chars", "n_words", 1, True),
+    "symbols": ("n_symbols", "n_words", 1, False),
+    "dup_lines": ("n_dup_lines", "n_lines", 1, False),
+    "repeats": ("n_repeat_words", "n_words", 10, False),
 }
-#: A fence stands this many interquartile ranges outside the quartiles.
+#: Denominators, whose medians are read from sketches of their own.
+SIZES = ("n_words", "n_lines")
+#: A fence stands this many spreads outside the quartiles.
 FENCE = 4
-MIN_GROUP = 100
+#: Documents for which the sketch above counts when it is merged with a group's.
+PRIOR = 100
+#: Parts into which a document's weight is divided, so that merged sketches are sums of integers.
+SCALE = 10_000
+#: Quantiles, in hundredths, that are read from a merged sketch.
+QUANTILES = (25, 50, 75, 90)
 #: Threshold tables up to this many groups are broadcast; larger ones are joined by shuffle.
 BROADCAST_GROUPS = 20_000
 
@@ -88,7 +104,7 @@ def _measure(text: pa.Array) -> pa.Array:
 
 def measures(docs: DataFrame, text: str = "text") -> Column:
     """The base measures of a text column, as one struct."""
-    return F.arrow_udf(_measure, MEASURE_TYPE)(docs[text])
+    return batch_udf(_measure, MEASURE_TYPE)(docs[text])
 
 
 def base_failed(m: Column) -> Column:
@@ -112,45 +128,52 @@ def _bucket_floor(b: Column) -> Column:
 
 
 def sketches(measured: DataFrame, lang: str = "lang", source: str = "source", m: str = "m") -> DataFrame:
-    """(lang, source, measure, bucket, n): the mergeable sketch of each group's texts with words."""
-    pairs = F.array(*[F.struct(F.lit(k).alias("measure"), _bucket(_value(F.col(m), k)).alias("bucket")) for k in MEASURES])
-    rows = measured.where(F.col(m)["n_words"] > 0).select(F.col(lang).alias("lang"), F.col(source).alias("source"), F.explode(pairs).alias("p"))
+    """(lang, source, measure, bucket, n): the mergeable sketch of each group's texts that pass the base rules."""
+    values = [(k, _value(F.col(m), k)) for k in MEASURES] + [(k, F.col(m)[k]) for k in SIZES]
+    pairs = F.array(*[F.struct(F.lit(k).alias("measure"), _bucket(v).alias("bucket")) for k, v in values])
+    rows = measured.where(~base_failed(F.col(m))).select(F.col(lang).alias("lang"), F.col(source).alias("source"), F.explode(pairs).alias("p"))
     return rows.groupBy("lang", "source", "p.measure", "p.bucket").agg(F.count("*").alias("n"))
 
 
-def _quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """Quartiles of each sketch: the floor of the bucket in which the rank falls."""
-    from pyspark.sql import Window
+def _merged(sketch: DataFrame, keys: list[str], above: DataFrame | None, prior: int) -> DataFrame:
+    """(keys, measure, bucket, w): sketches of the groups by keys, merged with those above, whose keys are all but the last."""
+    own = sketch.groupBy(*keys, "measure", "bucket").agg((F.sum("n") * SCALE).alias("w"))
+    if above is None:
+        return own
+    held = [c for c in above.columns if c not in ("measure", "bucket", "w")]
+    total = F.sum("w").over(Window.partitionBy(*held, "measure"))
+    share = above.select(*[F.col(c).alias(f"p_{c}") for c in held], F.col("measure").alias("p_measure"), "bucket", (prior * F.floor(F.col("w") * F.lit(float(SCALE)) / total)).alias("w"))
+    groups = own.select(*keys, "measure").distinct()
+    same = reduce(lambda c, k: c & F.col(k).eqNullSafe(F.col(f"p_{k}")), held, F.col("measure") == F.col("p_measure"))
+    return own.unionByName(groups.join(share, same).select(*own.columns)).groupBy(*keys, "measure", "bucket").agg(F.sum("w").alias("w"))
 
-    merged = sketch.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
-    by = Window.partitionBy(*keys, "measure")
-    ranked = merged.withColumn("upto", F.sum("n").over(by.orderBy("bucket"))).withColumn("total", F.sum("n").over(by))
-    quantile = lambda q: F.min(F.when(F.col("upto") * 4 >= F.col("total") * q, _bucket_floor(F.col("bucket"))))
-    return ranked.groupBy(*keys, "measure").agg(F.max("total").alias("docs"), *[quantile(q).alias(f"q{q}") for q in (1, 2, 3)])
 
+def thresholds(sketch: DataFrame, prior: int = PRIOR) -> DataFrame:
+    """One row a (lang, source): mid, low and high of each measure in thousandths, and the median of its denominator."""
+    corpus = _merged(sketch, [], None, prior)
+    group = _merged(sketch, ["lang", "source"], _merged(sketch, ["lang"], corpus, prior), prior)
+    by = Window.partitionBy("lang", "source", "measure")
+    ranked = group.withColumn("upto", F.sum("w").over(by.orderBy("bucket"))).withColumn("total", F.sum("w").over(by))
+    quantile = lambda q: F.min(F.when(F.col("upto") * 100 >= F.col("total") * q, _bucket_floor(F.col("bucket")))).cast("double")
+    read = ranked.groupBy("lang", "source", "measure").agg(F.struct(*[quantile(q).alias(f"q{q}") for q in QUANTILES]).alias("q"))
+    wide = read.groupBy("lang", "source").agg(*[F.first(F.when(F.col("measure") == k, F.col("q")), ignorenulls=True).alias(k) for k in (*MEASURES, *SIZES)])
 
-def thresholds(sketch: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
-    """One row a (lang, source): the number of documents behind its fences and median, low and high of each measure, in thousandths."""
-    group, lang, corpus = (_quartiles(sketch, k) for k in (["lang", "source"], ["lang"], []))
-    lang = lang.select(F.col("lang").alias("l"), F.col("measure").alias("lm"), *[F.col(c).alias(f"l_{c}") for c in ("docs", "q1", "q2", "q3")])
-    corpus = corpus.select(F.col("measure").alias("cm"), *[F.col(c).alias(f"c_{c}") for c in ("docs", "q1", "q2", "q3")])
-    both = group.join(lang, F.col("lang").eqNullSafe(F.col("l")) & (F.col("measure") == F.col("lm"))).join(corpus, F.col("measure") == F.col("cm"))
-    pick = lambda c: F.when(F.col("docs") >= min_group, F.col(c)).when(F.col("l_docs") >= min_group, F.col(f"l_{c}")).otherwise(F.col(f"c_{c}"))
-    chosen = both.select("lang", "source", "measure", *[pick(c).alias(c) for c in ("docs", "q1", "q2", "q3")])
-    least = reduce(lambda c, k: c.when(F.col("measure") == k, MEASURES[k][2]), MEASURES, F.when(F.lit(False), 0))
-    reach = F.greatest(FENCE * (F.col("q3") - F.col("q1")), least)
-    fenced = chosen.select("lang", "source", "measure", "docs", F.struct(F.col("q2").alias("mid"), (F.col("q1") - reach).alias("low"), (F.col("q3") + reach).alias("high")).alias("f"))
-    firsts = [F.first(F.when(F.col("measure") == k, F.col("f")), ignorenulls=True).alias(f"t_{k}") for k in MEASURES]
-    return fenced.groupBy(F.col("lang").alias("t_lang"), F.col("source").alias("t_source")).agg(F.min("docs").alias("t_docs"), *firsts)
+    def fences(k: str) -> Column:
+        _, den, event, lower = MEASURES[k]
+        size = F.greatest(F.lit(1.0), F.col(den)["q50"])
+        spreads = [F.col(k)["q75"] - F.col(k)["q25"], F.lit(1000.0 * event) / size] + ([] if lower else [F.col(k)["q90"] - F.col(k)["q50"]])
+        reach = FENCE * F.greatest(*spreads)
+        return F.struct(F.col(k)["q50"].alias("mid"), (F.col(k)["q25"] - reach).alias("low"), (F.col(k)["q75"] + reach).alias("high"), size.alias("size")).alias(f"t_{k}")
+
+    return wide.select(F.col("lang").alias("t_lang"), F.col("source").alias("t_source"), *[fences(k) for k in MEASURES])
 
 
 def _within(m: Column) -> Column:
-    """Whether every measure lies within its group's fences, which widen for texts of few words."""
-    # texts of n words vary as 1 / sqrt(n): fences are as drawn from 100 words on
-    wider = F.sqrt(F.greatest(F.lit(1.0), F.lit(100.0) / F.greatest(m["n_words"], F.lit(1))))
+    """Whether every measure lies within its group's fences."""
     out = F.lit(True)
-    for k, (_, _, _, lower) in MEASURES.items():
+    for k, (_, den, _, lower) in MEASURES.items():
         t, v = F.col(f"t_{k}"), _value(m, k)
+        wider = F.sqrt(F.greatest(F.lit(1.0), t["size"] / F.greatest(m[den], F.lit(1))))
         out = out & (v <= t["mid"] + (t["high"] - t["mid"]) * wider)
         if lower:
             out = out & (v >= t["mid"] + (t["low"] - t["mid"]) * wider)
@@ -167,14 +190,14 @@ def judge(measured: DataFrame, limits: DataFrame, lang: str = "lang", source: st
     joined = measured.join(_small(limits), F.col(lang).eqNullSafe(F.col("t_lang")) & F.col(source).eqNullSafe(F.col("t_source")), "left")
     failed = base_failed(F.col(m))
     kept = ~failed & F.coalesce(_within(F.col(m)), F.lit(True))
-    return joined.withColumns({"base_failed": failed, "kept": kept}).drop("t_lang", "t_source", "t_docs", *[f"t_{k}" for k in MEASURES])
+    return joined.withColumns({"base_failed": failed, "kept": kept}).drop("t_lang", "t_source", *[f"t_{k}" for k in MEASURES])
 
 
 def quality_filter(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """The rows of docs that the rules keep, columns as they were."""
     columns = docs.columns
-    light = docs.select(F.col(lang).alias("lang"), F.col(source).alias("source"), measures(docs, text).alias("m"))
-    limits = thresholds(sketches(light))
+    light = docs.select(docs[lang].alias("lang"), docs[source].alias("source"), measures(docs, text).alias("m"))
+    limits = thresholds(cut(sketches(light), "sketches"))
     whole = docs.select(F.struct(*[docs[c] for c in columns]).alias("row"), docs[lang].alias("lang"), docs[source].alias("source"), measures(docs, text).alias("m"))
     return judge(whole, limits).where("kept").select("row.*")
 
@@ -182,5 +205,5 @@ def quality_filter(docs: DataFrame, text: str = "text", lang: str = "lang", sour
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     measured = cut(docs.select("doc_id", "lang", "source", measures(docs).alias("m")), "measures")
-    judged = judge(measured, thresholds(sketches(measured)))
+    judged = judge(measured, thresholds(cut(sketches(measured), "sketches")))
     return judged.select("doc_id", *[F.col("m")[c].alias(c) for c in BASE], "base_failed", "kept")
