@@ -3,13 +3,17 @@
 Benchmark windows of 13 normalised words (shorter items are one window) become a
 broadcast hash set.  Each document's words are hashed once; hashes of 13-word
 windows come from sums of powers of two (1, 2, 4, 8 words), not from 13 words
-each.  Windows whose hash is in the set are gathered by document with the words
-that the set holds, and the words themselves are compared before a hit counts.
+each.  Windows whose hash is in the set are gathered by document, as (place, length,
+hash); for the few documents that have any, the words themselves are compared with the
+set's before a hit counts, and only then do the items that hold a window come in.
+Texts are not shuffled while the gathered places stay within BROADCAST_HITS.
 
 Edge cases: null and wordless texts have no words and no hits; benchmark items
 that are null or wordless are no window; repeated document rows each get their
 own, equal, result; a document word inside any occurrence counts once; an empty
-benchmark leaves every document clean; other columns pass through untouched.
+benchmark leaves every document clean; other columns pass through untouched, but for
+those named w, hits, item_ids, n_words, n_hit or contaminated, which are replaced in
+what find_hits and judged return (remove_contaminated keeps them).
 """
 
 from __future__ import annotations
@@ -17,11 +21,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import table
+from ._common import cut, drop_cut, table
 
 WINDOW = 13
 #: One row a distinct benchmark window; more than this many rows are joined by shuffle, not broadcast.
 BROADCAST_WINDOWS = 500_000
+#: Gathered places up to this many are broadcast to their documents; more are joined by shuffle.
+BROADCAST_HITS = 500_000
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]++"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -73,26 +79,38 @@ def _lengths(items: DataFrame, text: str) -> list[int]:
     return sorted({r["k"] for r in found} or {WINDOW}, reverse=True)
 
 
+def _small(places: DataFrame) -> DataFrame:
+    """places, marked for broadcast where the hits in all its rows are few."""
+    return F.broadcast(places) if (places.agg(F.sum(F.size("hits"))).first()[0] or 0) <= BROADCAST_HITS else places
+
+
 def find_hits(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """docs with columns w (its words) and hits (array of pos, k, gram, items), verified against the words."""
+    """docs with columns w (its words), hits (array of pos, k; verified; null if none) and item_ids (sorted strings)."""
+    columns = [c for c in docs.columns if c not in ("w", "hits", "item_ids")]
+    packed = docs.select(docs[doc_id].alias("id"), F.xxhash64(docs[text]).alias("th"), docs[text].alias("text"), F.struct(*[docs[c] for c in columns]).alias("row"))
     lengths = _lengths(items, item_text)
-    grams = benchmark_windows(items, lengths, item_id, item_text)
+    grams = cut(benchmark_windows(items, lengths, item_id, item_text), "windows")
     few = grams.count() <= BROADCAST_WINDOWS
+    small = lambda df: F.broadcast(df) if few else df
+    scan = _hash_windows(packed.select("id", "th", words(F.col("text")).alias("w")), "w", lengths).select("id", "th", *[f"h{k}" for k in lengths])
     # outer: for the inner kind Spark infers a filter on the array and repeats the whole chain of hashes in it
-    scan = docs.select(F.col(doc_id).alias("d"), F.xxhash64(text).alias("th"), words(F.col(text)).alias("w"))
-    scan = _hash_windows(scan, "w", lengths).select("d", "th", *[f"h{k}" for k in lengths])
     if len(lengths) == 1:
-        flat = scan.select("d", "th", F.posexplode_outer(f"h{lengths[0]}").alias("pos", "h")).withColumn("k", F.lit(lengths[0]))
+        flat = scan.select("id", "th", F.posexplode_outer(f"h{lengths[0]}").alias("pos", "h")).withColumn("k", F.lit(lengths[0]))
     else:
         tag = lambda k: F.transform(f"h{k}", lambda h, i: F.struct(i.alias("pos"), h.alias("h"), F.lit(k).alias("k")))
-        tagged = [tag(k) for k in lengths]
-        flat = scan.select("d", "th", F.explode_outer(F.concat(*tagged)).alias("x")).select("d", "th", "x.*")
-    found = flat.join(F.broadcast(grams) if few else grams, ["h", "k"])
-    by_doc = found.groupBy("d", "th").agg(F.collect_set(F.struct("pos", "k", "gram", "items")).alias("hits"))
-    joined = docs.join(by_doc, docs[doc_id].eqNullSafe(F.col("d")) & (F.xxhash64(docs[text]) == F.col("th")), "left").drop("d", "th")
-    joined = joined.withColumn("w", words(F.col(text)))
-    right = lambda x: F.slice(F.col("w"), x["pos"] + 1, x["k"]) == x["gram"]
-    return joined.withColumn("hits", F.when(F.col("hits").isNull(), F.col("hits")).otherwise(F.filter("hits", right)))
+        flat = scan.select("id", "th", F.explode_outer(F.concat(*[tag(k) for k in lengths])).alias("x")).select("id", "th", "x.*")
+    met = flat.join(small(grams.select("h", "k").distinct()), ["h", "k"], "left_semi")
+    met = cut(met.groupBy("id", "th").agg(F.collect_set(F.struct("pos", "k", "h")).alias("hits")), "met")
+    same = lambda at: packed["id"].eqNullSafe(at["d"]) & (packed["th"] == at["dh"])
+    at = _small(met.select(F.col("id").alias("d"), F.col("th").alias("dh"), "hits"))
+    own = packed.select("id", "th", "text").join(at, same(at)).dropDuplicates(["id", "th"]).select("id", "th", words(F.col("text")).alias("w"), "hits")
+    own = own.select("id", "th", "w", F.explode("hits").alias("x")).select("id", "th", "x.*", F.slice("w", F.col("x.pos") + 1, F.col("x.k")).alias("gram"))
+    names = F.array_sort(F.array_distinct(F.transform(F.flatten(F.collect_set("items")), lambda i: i.cast("string"))))
+    good = own.join(small(grams), ["h", "k", "gram"]).groupBy("id", "th").agg(F.collect_set(F.struct("pos", "k")).alias("hits"), names.alias("item_ids"))
+    good = cut(good.select(F.col("id").alias("d"), F.col("th").alias("dh"), "hits", "item_ids"), "hits")
+    drop_cut(met)
+    at = _small(good)
+    return packed.join(at, same(at), "left").select("row.*", words(F.col("text")).alias("w"), "hits", F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"))
 
 
 def hit_positions(hits: Column) -> Column:
@@ -102,9 +120,8 @@ def hit_positions(hits: Column) -> Column:
 
 
 def judged(found: DataFrame) -> DataFrame:
-    """Adds n_words, n_hit, item_ids (as sorted strings) and contaminated to what find_hits gives."""
-    items = F.array_sort(F.array_distinct(F.transform(F.flatten(F.transform("hits", lambda x: x["items"])), lambda i: i.cast("string"))))
-    out = found.withColumns({"n_words": F.size("w").cast("long"), "n_hit": F.size(hit_positions(F.col("hits"))).cast("long"), "item_ids": F.coalesce(items, F.array().cast("array<string>"))})
+    """Adds n_words, n_hit and contaminated to what find_hits gives."""
+    out = found.withColumns({"n_words": F.size("w").cast("long"), "n_hit": F.size(hit_positions(F.col("hits"))).cast("long")})
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.lit(20) * F.col("n_hit") >= F.col("n_words")))
 
 
