@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import GOLDEN, mix64, table
+from ._common import GOLDEN, batch_udf, mix64, table
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3, 4)
@@ -125,9 +125,10 @@ def train(rows: DataFrame) -> dict[str, np.ndarray]:
 
 
 def _sum_by(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    total = np.zeros((len(values) + 1, values.shape[1]))
-    np.cumsum(values, axis=0, out=total[1:])
-    return total[bounds[1:]] - total[bounds[:-1]]
+    total, some = np.zeros((len(bounds) - 1, values.shape[1])), np.diff(bounds) > 0
+    if some.any():
+        total[some] = np.add.reduceat(values, bounds[:-1][some], axis=0)
+    return total
 
 
 def _fit(like: np.ndarray, counts: np.ndarray, bounds: np.ndarray, open_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -201,7 +202,7 @@ def predict(text: Column, spark: SparkSession, model: dict[str, np.ndarray]) ->
         kind = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("langs", pa.list_(pa.string())), ("shares", pa.list_(pa.float64()))])
         return pa.array(out, kind)
 
-    return F.arrow_udf(of, PREDICTION)(text)
+    return batch_udf(of, PREDICTION)(text)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

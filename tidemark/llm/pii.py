@@ -12,7 +12,8 @@ the end of each group that follows, so upper-case words behind it don't hide it.
 
 Edge cases: a null or empty text has no spans; offsets are code points, end
 exclusive; spans may overlap across kinds; equal starts are ordered by kind;
-masking joins overlapping spans under the first kind.  Other columns pass through.
+masking joins overlapping spans under the first kind.  Other columns pass through,
+whatever their names, but for one named spans, which is replaced; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -117,20 +118,21 @@ def _scored(text: Column, kind: str, rank: int) -> Column:
 
 
 def find_spans(docs: DataFrame, text: str = "text", kinds: tuple[str, ...] = tuple(KINDS)) -> DataFrame:
-    """docs with column spans: array of (start, rank, kind, end, score), by start and then kind."""
-    whole = F.coalesce(F.col(text), F.lit(""))
-    matches = {}
+    """docs with column spans: array of (start, rank, kind, end, score), by start and then kind; a column spans of docs is replaced."""
+    columns = [c for c in docs.columns if c != "spans"]
+    out = docs.select(F.coalesce(docs[text], F.lit("")).alias("whole"), F.struct(*[docs[c] for c in columns]).alias("row"))
+    whole, matches = F.col("whole"), {}
     for k in kinds:
         pattern, needs, _, _ = KINDS[k]
         every = F.regexp_extract_all(whole, F.lit(pattern), F.lit(int(k in HEADS)))
         matches[f"m_{k}"] = F.when(F.contains(whole, F.lit(needs)), every) if needs else every
-    out = docs.withColumns(matches)
+    out = out.withColumns(matches)
     some = lambda k: F.exists(f"m_{k}", lambda m: _valid(k, m))
     empty = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int,score:double>>")
     spans = [F.when(some(k), _scored(whole, k, rank)).otherwise(empty) for rank, k in enumerate(kinds)]
     keep = lambda x: x["kind"].isin(*BASE_KINDS) | (x["score"] >= ACCEPT)
     out = out.withColumns({f"s_{k}": s for k, s in zip(kinds, spans, strict=True)})
-    return out.withColumn("spans", F.array_sort(F.filter(F.concat(*[F.col(f"s_{k}") for k in kinds]), keep))).drop(*matches, *[f"s_{k}" for k in kinds])
+    return out.select("row.*", F.array_sort(F.filter(F.concat(*[F.col(f"s_{k}") for k in kinds]), keep)).alias("spans"))
 
 
 def masked(text: Column, spans: Column) -> Column:

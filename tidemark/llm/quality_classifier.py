@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import GOLDEN, list_array, mix64, table, text_chunks
+from ._common import GOLDEN, batch_udf, list_array, mix64, table, text_chunks
 
 BITS = 20
 DIM = 1 << BITS
@@ -72,7 +72,7 @@ def features(text: Column) -> Column:
         found, counts = _features(column)
         return list_array(found.astype(np.int32), counts)
 
-    return F.arrow_udf(of, "array<int>")(text)
+    return batch_udf(of, "array<int>")(text)
 
 
 def ftrl(rows: list[tuple[np.ndarray, int]], epochs: int) -> np.ndarray:
@@ -136,12 +136,14 @@ def score(text: Column, spark: SparkSession, weights: np.ndarray) -> Column:
     def of(column: pa.Array) -> pa.Array:
         w = held.value
         found, counts = _features(column)
-        total = np.concatenate([[0.0], np.cumsum(w[found])])
-        at = np.concatenate([[0], np.cumsum(counts)])
-        dot = (total[at[1:]] - total[at[:-1]]) * SCALE / np.sqrt(np.maximum(counts, 1)) + w[DIM]
+        # summed text by text, so that a score doesn't depend on the texts beside it
+        total, some = np.zeros(len(counts)), counts > 0
+        if some.any():
+            total[some] = np.add.reduceat(w[found], (np.cumsum(counts) - counts)[some])
+        dot = total * SCALE / np.sqrt(np.maximum(counts, 1)) + w[DIM]
         return pa.array(1.0 / (1.0 + np.exp(-np.clip(dot, -30, 30))))
 
-    return F.arrow_udf(of, "double")(text)
+    return batch_udf(of, "double")(text)
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
