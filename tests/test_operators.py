@@ -40,14 +40,17 @@ def test_hysteresis_branches_and_nulls(spark):
     path = [0.0, 0.6, 1.2, None, 0.7, 0.4, -0.6, -1.0, -0.7, None, -0.4, 1.0, -1.0]
     df = spark.createDataFrame(list(enumerate(path)), "t int, x double")
     got = [r["state"] for r in series.hysteresis(df, [], "t", "x", 1.0, 0.5).orderBy("t").collect()]
-    assert got == [0, 0, 1, 1, 1, 0, 0, -1, -1, -1, 0, 1, -1]
+    assert got == [0, 0, 1, None, 1, 0, 0, -1, -1, None, 0, 1, -1]
 
 
 def test_signals_score_all_outcomes(spark):
     s = spark.createDataFrame([(10,), (30,), (58,)], "t long")
     e = spark.createDataFrame([(12,), (45,)], "t long")
     assert rows(joins.score_signals(s, e, [], 6, 60), "t", "outcome") == [(10, "TP"), (30, "FA"), (58, "CENSORED")]
-    assert rows(joins.missed_events(s, e, [], 6), "t") == [(45,)]
+    assert rows(joins.missed_events(s, e, [], 6, 0, 60), "t") == [(45,)]
+    # an event whose window begins before the data, one after them
+    more = e.unionByName(spark.createDataFrame([(3,), (99,)], "t long"))
+    assert rows(joins.missed_events(s, more, [], 6, 0, 60), "t") == [(45,)] and rows(joins.missed_events(s, more, [], 6, -5, 99), "t") == [(3,), (45,), (99,)]
 
 
 def test_asof_takes_equal_times_only_where_exact(spark):
@@ -80,3 +83,65 @@ def test_mode_and_holes(spark):
     assert rows(states.mode(df, ["u"], "s", ["b", "a", "c"]), "u", "s") == [(1, "b"), (2, "c")]
     t = spark.createDataFrame([(1,), (4,)], "t long").withColumn("k", F.lit("x"))
     assert rows(quality.holes(t, ["k"]), "t") == [(2,), (3,)]
+
+
+def test_quadrants_and_shapes_by_hand(spark):
+    cases = [(1.0, -1.0, "I"), (1.0, 1.0, "II"), (-1.0, -1.0, "III"), (-1.0, 1.0, "IV"), (0.1, 1.0, "CENTER"), (1.0, 0.1, "CENTER"), (None, 1.0, "ANOMALY"), (0.0, None, "ANOMALY")]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(cases)], "i int, a double, b double")
+    state = lambda **k: [r["s"] for r in df.select("i", states.quadrant(F.col("a"), F.col("b"), 0.5, 0.5, **k).alias("s")).orderBy("i").collect()]
+    assert state() == [c[2] for c in cases]
+    assert state(both=True)[4:6] == ["II", "II"]
+    assert state(shape=F.when(F.col("i") == 0, "I").when(F.col("i") == 1, "III")) == ["I", "CENTER", "CENTER", "CENTER", "CENTER", "CENTER", "ANOMALY", "ANOMALY"]
+    moves = [(-0.1, -0.5, "I"), (-0.5, -0.1, "II"), (0.5, 0.1, "III"), (0.1, 0.5, "IV"), (0.1, 0.3, "PARALLEL"), (0.1, 0.4, "IV"), (-0.5, 0.3, "II"), (None, 0.1, None)]
+    got = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(moves)], "i int, a double, b double").select("i", states.curve_shape(F.col("a"), F.col("b"), 0.25).alias("s")).orderBy("i").collect()
+    assert [r["s"] for r in got] == [m[2] for m in moves]
+
+
+def test_coherence_counts_named_states_only(spark):
+    pairs = [("I", "I"), ("I", "II"), ("II", "II"), ("CENTER", "I"), ("I", "PARALLEL"), (None, "I")]
+    got = states.coherence(spark.createDataFrame(pairs, "a string, b string"), "a", "b").first()
+    assert got["n"] == 3 and got["observed"] == pytest.approx(2 / 3) and got["expected"] == pytest.approx((2 * 1 + 1 * 2) / 9) and got["lift"] == pytest.approx(1.5)
+    assert states.coherence(spark.createDataFrame(pairs[3:], "a string, b string"), "a", "b").first()[:2] == (0, None)
+
+
+def test_reversal_delays_by_hand(spark):
+    # base holds 1 on days 0..2, lets go on 3 and 4, turns on 5; test lets go on 4 only; the third run has no reversal
+    base = [1, 1, 1, 0, None, -1, 0, -1, 1, 1]
+    test = [0, 1, 1, 1, 0, 1, -1, -1, -1, 1]
+    days = [f"2020-01-{d:02d}" for d in (1, 2, 3, 6, 7, 8, 9, 10, 13, 14)]
+    df = spark.createDataFrame(list(zip(days, base, test)), "day string, b int, t int").withColumn("day", F.to_date("day"))
+    got = series.reversal_delays(df, [], "day", "b", "t").orderBy("start").collect()
+    # run 1: last held by base on the 3rd (next day the 6th), by test on the 6th (next the 7th); first lost by base on the 6th, by test on the 7th
+    # run 2: base last on the 10th, test too; base lost on the 9th, test not before the turn on the 13th
+    assert [(str(r["start"]), r["sign"], r["last_delay"], r["first_delay"]) for r in got] == [("2020-01-01", 1, 1, 1), ("2020-01-08", -1, 0, 4)]
+
+
+def test_youden_by_hand(spark):
+    df = spark.createDataFrame([(1.0, 1), (2.0, 1), (3.0, 0), (4.0, 1), (5.0, 0), (None, 1)], "s double, y int")
+    got = stats.youden(df, [], "s", "y").first()
+    assert got["threshold"] == 2.5 and got["j"] == pytest.approx(2 / 3)
+    assert tuple(stats.youden(spark.createDataFrame([(7.0, 1), (7.0, 0)], "s double, y int"), [], "s", "y").first()) == (7.0, 0.0)
+    assert stats.youden(df.where("y = 1"), [], "s", "y").count() == 0
+
+
+def test_extrema_by_hand(spark):
+    path = {0: 1.0, 1: 3.0, 2: 3.0, 3: 0.0, 4: 0.0, 7: 2.0, 8: 2.0, 9: 2.0, 10: 2.0, 11: 2.0, 12: 5.0, 13: 1.0}
+    df = spark.createDataFrame(list(path.items()), "t long, v double")
+    # of the window of 12 four months are there, of that of 13 three
+    assert rows(series.extrema(df, [], 2), "t") == [(1,), (12,)]
+    assert rows(series.extrema(df, [], 2, kind="min"), "t") == [(3,), (10,)]
+
+
+def test_lenient_dates_of_annual_and_serial_cells(spark):
+    from tidemark.functions import scalars
+
+    df = spark.createDataFrame([("2020",), ("43831",), ("Feb-68",), ("31-Dec-1999",), (" 7/4/1999 ",)], "x string")
+    one = lambda **k: [str(r[0]) for r in df.select(scalars.lenient_date(F.col("x"), **k)).collect()]
+    assert one() == ["None", "None", "1968-02-01", "1999-12-31", "1999-07-04"]
+    assert one(annual=True)[:2] == ["2020-01-01", "None"] and one(serial=True)[1] == "2020-01-01"
+
+
+def test_exact_permutation_by_hand(spark):
+    got = stats.exact_permutation(spark.createDataFrame([(1, 1.0, True), (2, 2.0, False), (3, 6.0, True), (4, 3.0, False)], "u int, v double, one boolean"), 2, "u", "v", "one").first()
+    # sums of two: 3 7 4 8 5 9 of 12; differences -3 1 -2 2 -1 3, observed 1
+    assert tuple(got) == (1.0, 6, 1.0)

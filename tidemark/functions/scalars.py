@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 #: Texts that stand for a missing number.
 SENTINELS = ("", ".", "-", "NA", "N/A", "ND", "NaN", "nan", "null", "*", "..", "n.a.")
-#: Accepted date masks, tried in this order.
-DATE_MASKS = ("yyyy-MM-dd", "yyyy/MM/dd", "MM/dd/yyyy", "dd-MM-yyyy", "dd.MM.yyyy", "dd MMM yyyy", "MMM d, yyyy", "yyyyMMdd")
+#: Accepted date masks, tried in this order; Y stands for four digits of a year, y for two, m and d for one or two, b for a month's name.
+DATE_MASKS = ("Y-m-d", "m/d/Y", "d-b-Y", "d b Y", "Y-m", "b-y", "Ymd", "d/m/Y", "m/d/y", "Y:m:d", "Y:m")
+#: Names of the months.
+MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+_FIELDS = {"Y": r"(\d{4})", "y": r"(\d{2})", "m": r"(\d{1,2})", "d": r"(\d{1,2})", "b": r"([A-Za-z]{3})"}
 
 
 def lenient_double(text: Column) -> Column:
@@ -23,17 +26,35 @@ def excel_date(serial: Column) -> Column:
     return F.when((days > 1) & (days < 200_000), F.date_add(F.lit("1899-12-30").cast("date"), F.floor(days).cast("int")))
 
 
-def lenient_date(text: Column, annual: bool = False) -> Column:
-    """A date in any accepted mask, YYYYQn, YYYYMnn, YYYYMM, a spreadsheet serial, or YYYY where annual; else null."""
+def _masked(s: Column, mask: str) -> Column:
+    """The date of a text under one mask, null if it isn't one."""
+    packed = mask == "Ymd"
+    pattern = r"^(\d{4})(\d{2})(\d{2})$" if packed else "^" + "".join(_FIELDS.get(c, c) for c in mask) + "$"
+    fields = [c for c in mask if c in _FIELDS]
+    part = {c: F.regexp_extract(s, pattern, i + 1) for i, c in enumerate(fields)}
+    year = part["Y"] if "Y" in part else part["y"].try_cast("int") + F.when(part["y"].try_cast("int") < 69, 2000).otherwise(1900)
+    if mask == "b-y":  # a month so far ahead belongs to the century before
+        year = year - F.when(year > F.year(F.current_date()) + 5, 100).otherwise(0)
+    month = F.nullif(F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(part["b"])), F.lit(0)) if "b" in part else part["m"]
+    text = F.concat(year.cast("string"), F.lit("-"), month.cast("string"), F.lit("-"), part["d"] if "d" in part else F.lit("1"))
+    return F.when(s.rlike(pattern), F.try_to_date(text, "yyyy-M-d"))
+
+
+def lenient_date(text: Column, annual: bool = False, serial: bool = False) -> Column:
+    """A date in any accepted mask, YYYYQn, YYYYMnn, YYYYMM, YYYY where annual, a spreadsheet serial where the text was a number (serial); else null.
+
+    Six digits are always year and month.
+    """
     s = F.trim(text)
     part = lambda pattern, group: F.regexp_extract(s, pattern, group).try_cast("int")
     day = lambda y, m: F.when(m.between(1, 12), F.make_date(y, m, F.lit(1)))
-    quarter, month, packed = r"^(\d{4})[-:]?Q([1-4])$", r"^(\d{4})[-:]?M(\d{1,2})$", r"^((?:19|20)\d{2})(\d{2})$"
-    choices = [F.when(s.rlike(quarter), day(part(quarter, 1), part(quarter, 2) * 3 - 2)), F.when(s.rlike(month), day(part(month, 1), part(month, 2))), F.when(s.rlike(packed), day(part(packed, 1), part(packed, 2)))]
-    choices += [F.try_to_date(s, mask) for mask in DATE_MASKS]
+    quarter, month, packed = r"^(\d{4})[-/]?[Qq]([1-4])$", r"^(\d{4})[Mm](\d{2})$", r"^(\d{4})(\d{2})$"
+    choices = [_masked(s, m) for m in DATE_MASKS]
+    choices += [F.when(s.rlike(quarter), day(part(quarter, 1), part(quarter, 2) * 3 - 2)), F.when(s.rlike(month), day(part(month, 1), part(month, 2))), F.when(s.rlike(packed), day(part(packed, 1), part(packed, 2)))]
     if annual:
         choices.append(F.when(s.rlike(r"^\d{4}$"), F.make_date(s.try_cast("int"), F.lit(1), F.lit(1))))
-    choices.append(F.when(s.rlike(r"^\d{4,6}(\.\d+)?$"), excel_date(s)))
+    if serial:
+        choices.append(F.when(s.rlike(r"^\d{1,6}(\.\d+)?$"), excel_date(s)))
     return F.coalesce(*choices)
 
 

@@ -53,10 +53,10 @@ def score_signals(signals: DataFrame, events: DataFrame, keys: list[str], width:
     return first.withColumn("outcome", outcome)
 
 
-def missed_events(signals: DataFrame, events: DataFrame, keys: list[str], width: int, t: str = "t") -> DataFrame:
-    """Events without a signal in the width months before them."""
+def missed_events(signals: DataFrame, events: DataFrame, keys: list[str], width: int, start: int, end: int, t: str = "t") -> DataFrame:
+    """Events in start .. end without a signal in the width months before them; those whose window begins before start are left out."""
     s = signals.select(*keys, F.explode(F.sequence(F.col(t) + 1, F.col(t) + width)).alias(t)).distinct()
-    return events.join(s, [*keys, t], "left_anti")
+    return events.where(F.col(t).between(start + width, end)).join(s, [*keys, t], "left_anti")
 
 
 def nearest_followers(leads: DataFrame, follows: DataFrame, keys: list[str], low: int, high: int, t: str = "t") -> DataFrame:

@@ -84,10 +84,11 @@ def rolling_mad(df: DataFrame, keys: list[str], day: str, v: str, days: int, at_
     return held.withColumn("mad", F.when(F.size("held") >= at_least, F.nullif(mad, F.lit(0.0)))).drop("held")
 
 
-def extrema(df: DataFrame, keys: list[str], half: int, t: str = "t", v: str = "v") -> DataFrame:
-    """Local maxima over t - half .. t + half with all months present; of a plateau, the first, then none within half."""
+def extrema(df: DataFrame, keys: list[str], half: int, t: str = "t", v: str = "v", kind: str = "max") -> DataFrame:
+    """Local maxima (kind "min": minima) among the months present in t - half .. t + half, half + 2 of them at least, not all alike; of a plateau, the first, then none within half."""
     w = over(keys, t).rangeBetween(-half, half)
-    found = df.where(F.col(v).isNotNull()).withColumns({"top": F.max(v).over(w), "n": F.count(v).over(w)}).where((F.col(v) == F.col("top")) & (F.col("n") == 2 * half + 1))
+    x = F.col(v) if kind == "max" else -F.col(v)
+    found = df.where(F.col(v).isNotNull()).withColumns({"top": F.max(x).over(w), "low": F.min(x).over(w), "n": F.count(v).over(w)}).where((x == F.col("top")) & (x > F.col("low")) & (F.col("n") >= half + 2))
     # a greedy pass in time order; a key's extrema are few
     times = found.groupBy(*keys).agg(F.array_sort(F.collect_list(t)).alias("ts"))
     kept = F.aggregate("ts", F.array().cast("array<bigint>"), lambda a, x: F.when((F.size(a) == 0) | (x - F.try_element_at(a, F.lit(-1)) > half), F.array_append(a, x)).otherwise(a))
@@ -143,7 +144,7 @@ def rolling_volatility(df: DataFrame, keys: list[str], rows: int, t: str = "t",
 
 
 def hysteresis(df: DataFrame, keys: list[str], t: str, x: str, high: Column | float, low: Column | float) -> DataFrame:
-    """Column state in -1, 0, 1 with memory: entered at |x| >= high, left at |x| < low; a null x keeps the state.
+    """Column state in -1, 0, 1 with memory: entered at |x| >= high, left at |x| < low; a null x has a null state and keeps the memory.
 
     Two latches: one set at x >= high and reset at x < low, one mirrored; state is their difference.
     """
@@ -152,16 +153,30 @@ def hysteresis(df: DataFrame, keys: list[str], t: str, x: str, high: Column | fl
     up = F.when(F.col(x) >= hi, 1).when(F.col(x) < lo, 0)
     down = F.when(F.col(x) <= -hi, 1).when(F.col(x) > -lo, 0)
     latch = lambda c: F.coalesce(F.last(c, ignorenulls=True).over(w), F.lit(0))
-    return df.withColumn("state", (latch(up) - latch(down)).cast("int"))
+    return df.withColumn("state", F.when(F.col(x).isNotNull(), (latch(up) - latch(down)).cast("int")))
 
 
 def reversal_delays(df: DataFrame, keys: list[str], day: str, base: str, test: str) -> DataFrame:
-    """For each run of one base sign: days from its first day until the test sign first agrees; null if it never does."""
-    rows = df.where(F.col(base) != 0)
+    """(keys, start, sign, last_delay, first_delay): by how many days test gives up a sign later than base, for each reversal of base.
+
+    An episode is a run of base of one sign, null and 0 left out; each but a key's last
+    ends in a reversal.  last_delay counts from the day after base last holds the sign to
+    the day after test last holds it before the reversal; first_delay from the first day
+    within the episode, after its start, on which base doesn't hold it to the first on
+    which test doesn't, the day of the reversal standing for none.
+    """
     w = over(keys, day)
-    marked = rows.withColumn("new", F.when(F.lag(base).over(w) == F.col(base), 0).otherwise(1)).withColumn("run", F.sum("new").over(w))
-    out = marked.groupBy(*keys, "run").agg(F.min(day).alias("start"), F.first(base).alias("sign"), F.min(F.when(F.col(test) == F.col(base), F.col(day))).alias("met"))
-    return out.withColumn("delay", F.datediff("met", "start")).drop("met", "run")
+    signed = F.when(F.col(base) != 0, F.col(base))
+    before = F.last(signed, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    rows = df.withColumns({"new": F.when(signed.isNotNull() & ~signed.eqNullSafe(before), 1).otherwise(0), "next_day": F.lead(day).over(w), "i": F.row_number().over(w)})
+    rows = rows.withColumn("episode", F.sum("new").over(w)).where("episode > 0")
+    own = Window.partitionBy(*keys, "episode").orderBy("i")
+    rows = rows.withColumn("sign", F.first(base).over(own)).withColumn("later", F.row_number().over(own) > 1)
+    holds, tests = F.col(base).eqNullSafe(F.col("sign")), F.col(test).eqNullSafe(F.col("sign"))
+    after = lambda c: F.max(F.when(c, F.struct("i", "next_day")))["next_day"]
+    lost = lambda c: F.min(F.when(F.col("later") & ~c, F.col(day)))
+    out = rows.groupBy(*keys, "episode").agg(F.min(day).alias("start"), F.first("sign").alias("sign"), after(holds).alias("b"), after(holds | tests).alias("t"), lost(holds).alias("lb"), lost(tests).alias("lt"), after(F.lit(True)).alias("turn")).where("turn is not null")
+    return out.select(*keys, "start", "sign", F.datediff("t", "b").alias("last_delay"), F.datediff(F.coalesce("lt", "turn"), F.coalesce("lb", "turn")).alias("first_delay"))
 
 
 def splice(longer: DataFrame, shorter: DataFrame, t: str = "t", v: str = "v") -> DataFrame:

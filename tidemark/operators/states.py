@@ -29,18 +29,26 @@ def axis(parts: DataFrame, keys: list[str], part: str, c: str, weights: DataFram
     return rows.groupBy(*keys).agg(share.alias("share"), F.when(share >= cutoff, F.sum(F.col("weight") * F.col(c)) / F.sum("weight")).alias("score"))
 
 
-def quadrant(a: Column, b: Column, theta_a: Column | float, theta_b: Column | float, veto: Column | None = None) -> Column:
-    """CENTER where both scores are small, else the quadrant I..IV of their signs; ANOMALY where vetoed; null without both."""
-    small = (F.abs(a) < theta_a) & (F.abs(b) < theta_b)
-    named = F.when((a >= 0) & (b >= 0), "I").when((a < 0) & (b >= 0), "II").when((a < 0) & (b < 0), "III").otherwise("IV")
-    out = F.when(a.isNull() | b.isNull(), None).when(small, "CENTER")
-    return (out.when(veto, "ANOMALY") if veto is not None else out).otherwise(named)
+#: Names of the sign pairs (a positive, b positive).
+QUADRANTS = {(True, False): "I", (True, True): "II", (False, False): "III", (False, True): "IV"}
+
+
+def quadrant(a: Column, b: Column, theta_a: Column | float, theta_b: Column | float, shape: Column | None = None, both: bool = False, names: dict = QUADRANTS) -> Column:
+    """State of two scores: ANOMALY without both, CENTER where either is small (both: where both are), else named by their signs.
+
+    shape: a reading that must agree with the name; where it is null or another, the state is CENTER.
+    """
+    small_a, small_b = F.abs(a) < theta_a, F.abs(b) < theta_b
+    named = F.when(a > 0, F.when(b > 0, names[True, True]).otherwise(names[True, False])).otherwise(F.when(b > 0, names[False, True]).otherwise(names[False, False]))
+    out = F.when(a.isNull() | b.isNull(), "ANOMALY").when(small_a & small_b if both else small_a | small_b, "CENTER")
+    return (out.when(~shape.eqNullSafe(named), "CENTER") if shape is not None else out).otherwise(named)
 
 
 def curve_shape(short: Column, long: Column, parallel: float) -> Column:
-    """Shape of a pair of moves: PARALLEL within a tolerance, TWIST on opposite signs, else by which moves more and which way."""
-    steeper = long > short
-    return F.when(F.abs(long - short) <= parallel, "PARALLEL").when(F.signum(long) * F.signum(short) < 0, "TWIST").when(steeper & (long > 0), "I").when(steeper, "II").when(long > 0, "IV").otherwise("III")
+    """Shape of a curve's move: PARALLEL under a tolerance, else falling and flatter I, falling and steeper II, rising and flatter III, rising and steeper IV; null without both."""
+    rising, flatter = (short + long) / 2 > 0, long < short
+    named = F.when(~rising & flatter, "I").when(~rising & (long > short), "II").when(rising & flatter, "III").otherwise("IV")
+    return F.when(short.isNull() | long.isNull(), None).when(F.abs(long - short) < parallel, "PARALLEL").otherwise(named)
 
 
 def theta_grid(scores: DataFrame, a: str, b: str, qs: list[float], target: float) -> DataFrame:
@@ -53,15 +61,15 @@ def theta_grid(scores: DataFrame, a: str, b: str, qs: list[float], target: float
     return cells.withColumn("chosen", rank == 1)
 
 
-def coherence(df: DataFrame, a: str, b: str) -> DataFrame:
-    """(observed, expected, lift): share of rows on which two state columns agree, against independence."""
-    both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+def coherence(df: DataFrame, a: str, b: str, names: tuple[str, ...] = tuple(QUADRANTS.values())) -> DataFrame:
+    """(n, observed, expected, lift): share of the rows with two named states on which they agree, against independence; null without such rows."""
+    both = df.where(F.col(a).isin(*names) & F.col(b).isin(*names))
     n = both.agg(F.count("*").alias("n"), F.avg((F.col(a) == F.col(b)).cast("double")).alias("observed"))
     pa = both.groupBy(F.col(a).alias("s")).agg(F.count("*").alias("na"))
     pb = both.groupBy(F.col(b).alias("s")).agg(F.count("*").alias("nb"))
     product = pa.join(pb, "s").agg(F.sum(F.col("na") * F.col("nb")).alias("p"))
-    out = n.join(F.broadcast(product)).withColumn("expected", F.coalesce("p", F.lit(0)) / (F.col("n") * F.col("n")))
-    return out.select("observed", "expected", (F.col("observed") / F.nullif(F.col("expected"), F.lit(0.0))).alias("lift"))
+    out = n.join(F.broadcast(product)).withColumn("expected", F.when(F.col("n") > 0, F.coalesce("p", F.lit(0)) / (F.col("n") * F.col("n"))))
+    return out.select("n", "observed", "expected", (F.col("observed") / F.nullif(F.col("expected"), F.lit(0.0))).alias("lift"))
 
 
 def standardised(df: DataFrame, panel: str, low: int, high: int, at_least: int = 24, t: str = "t", v: str = "v") -> DataFrame:

@@ -110,12 +110,14 @@ def auc(df: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:
 
 
 def youden(df: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:
-    """Threshold of greatest tpr - fpr for score >= threshold, over midpoints of neighbouring scores; the least on ties."""
-    by = df.groupBy(*keys, F.col(score).alias("s")).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col(label) == 0, 1).otherwise(0)).alias("q"))
+    """Threshold of greatest tpr - fpr for score <= threshold, over midpoints of neighbouring scores (a single score is its own); the least on ties; no row without both classes."""
+    known = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
+    by = known.groupBy(*keys, F.col(score).alias("s")).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col(label) == 0, 1).otherwise(0)).alias("q"))
     below = over(keys, "s").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
-    rows = by.withColumns({"next": F.lead("s").over(over(keys, "s")), "bp": F.sum("p").over(below), "bq": F.sum("q").over(below), "tp": F.sum("p").over(whole), "tq": F.sum("q").over(whole)}).where("next is not null and tp > 0 and tq > 0")
-    rows = rows.withColumns({"threshold": (F.col("s") + F.col("next")) / 2, "j": F.round((F.col("tp") - F.col("bp")) / F.col("tp") - (F.col("tq") - F.col("bq")) / F.col("tq"), 12)})
+    rows = by.withColumns({"next": F.lead("s").over(over(keys, "s")), "bp": F.sum("p").over(below), "bq": F.sum("q").over(below), "tp": F.sum("p").over(whole), "tq": F.sum("q").over(whole), "scores": F.count("*").over(whole)})
+    rows = rows.where("(next is not null or scores = 1) and tp > 0 and tq > 0")
+    rows = rows.withColumns({"threshold": (F.col("s") + F.coalesce("next", "s")) / 2, "j": F.round(F.col("bp") / F.col("tp") - F.col("bq") / F.col("tq"), 12)})
     rank = F.row_number().over(over(keys, F.desc("j"), F.asc("threshold")))
     return rows.withColumn("rank", rank).where("rank = 1").select(*keys, "threshold", "j")
 
@@ -205,17 +207,22 @@ def tail_share(draws: DataFrame, value: str, observed: Column | float, two_sided
     return draws.agg(((1 + F.sum(F.when(out, 1).otherwise(0))) / (1 + F.count("*"))).alias("p"))
 
 
-def exact_permutation(values: DataFrame, k: int, unit: str, v: str, label: str) -> DataFrame:
-    """(observed, labellings, p): all choices of k of the units (fewer than 20) as class 1; difference of class means, two-sided."""
-    n = values.count()
-    rows = values.withColumn("bit", F.row_number().over(Window.orderBy(unit)) - 1).select("bit", F.col(v).alias("v"), F.col(label).cast("int").alias("own"))
-    masks = values.sparkSession.range(1 << n).where(F.bit_count("id") == k)
-    dealt = masks.join(F.broadcast(rows)).withColumn("one", F.expr("(id >> cast(bit as int)) & 1"))
-    diff = lambda c: F.avg(F.when(c == 1, F.col("v"))) - F.avg(F.when(c == 0, F.col("v")))
-    stats = dealt.groupBy("id").agg(diff(F.col("one")).alias("d"))
-    seen = rows.agg(diff(F.col("own")).alias("observed"))
-    both = stats.join(F.broadcast(seen))
-    return both.groupBy("observed").agg(F.count("*").alias("labellings"), F.avg(F.when(F.abs("d") >= F.abs(F.col("observed")) - 1e-12, 1.0).otherwise(0.0)).alias("p"))
+def exact_permutation(df: DataFrame, k: int, unit: str, v: str, one: str) -> DataFrame:
+    """(observed, labellings, p) of the difference in means over all ways to pick k of the units, which are few: each way is a row.
+
+    Picks grow by one unit at a time, each later in order than the last, so k of n units
+    make n over k rows and no more; p counts differences as large but for 1e-9.
+    """
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct(F.col(unit).alias("u"), F.col(v).cast("double").alias("x")))), lambda z: z["x"])
+    held = df.agg(ordered.alias("xs"), (F.avg(F.when(F.col(one), F.col(v))) - F.avg(F.when(~F.col(one), F.col(v)))).alias("observed"))  # one row
+    picks = held.select("xs", "observed", F.lit(-1).alias("at"), F.lit(0.0).alias("total"))
+    for left in range(k, 0, -1):
+        later = F.filter(F.sequence(F.lit(0), F.size("xs") - left), lambda i: i > F.col("at"))
+        picks = picks.select("xs", "observed", "total", F.explode(later).alias("at")).withColumn("total", F.col("total") + F.get("xs", F.col("at")))
+    whole = F.aggregate("xs", F.lit(0.0), lambda a, x: a + x)
+    diff = F.col("total") / k - (whole - F.col("total")) / F.nullif(F.size("xs") - k, F.lit(0))
+    hit = F.when(F.abs(diff) >= F.abs(F.col("observed")) - 1e-9, 1.0).otherwise(0.0)
+    return picks.repartition(F.col("at")).groupBy("observed").agg(F.count("*").alias("labellings"), F.avg(hit).alias("p"))
 
 
 def holm(df: DataFrame, keys: list[str], p: str, name: str, m: int | None = None) -> DataFrame:

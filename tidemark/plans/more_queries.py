@@ -57,7 +57,8 @@ def _axes(spark, d):
     return z.where("k = 'BUILDING'").select("t", F.col("z").alias("a")).join(z.where("k = 'MACHINERY'").select("t", F.col("z").alias("b")), "t")
 
 
-_QUAD = "CASE WHEN abs(a) < {x} AND abs(b) < {y} THEN 'CENTER' WHEN a >= 0 AND b >= 0 THEN 'I' WHEN a < 0 AND b >= 0 THEN 'II' WHEN a < 0 AND b < 0 THEN 'III' ELSE 'IV' END"
+_QUAD = "CASE WHEN a IS NULL OR b IS NULL THEN 'ANOMALY' WHEN abs(a) < {x} OR abs(b) < {y} THEN 'CENTER' WHEN a > 0 AND b <= 0 THEN 'I' WHEN a > 0 THEN 'II' WHEN b <= 0 THEN 'III' ELSE 'IV' END"
+_SHAPE = "CASE WHEN abs(b - a) < 0.3 THEN 'PARALLEL' WHEN (a + b) / 2 <= 0 AND b < a THEN 'I' WHEN (a + b) / 2 <= 0 AND b > a THEN 'II' WHEN (a + b) / 2 > 0 AND b < a THEN 'III' ELSE 'IV' END"
 
 
 @q([MK, _Z, _AX], "SELECT t, " + _QUAD.format(x="0.5", y="0.6") + " s FROM ax", t="bigint", s="string")
@@ -65,7 +66,7 @@ def quadrant_states(spark, d):
     return _axes(spark, d).withColumn("s", C.quadrant(F.col("a"), F.col("b"), 0.5, 0.6))
 
 
-@q([MK, _Z, _AX], "SELECT t, CASE WHEN abs(b - a) <= 0.3 THEN 'PARALLEL' WHEN sign(a) * sign(b) < 0 THEN 'TWIST' WHEN b > a AND b > 0 THEN 'I' WHEN b > a THEN 'II' WHEN b > 0 THEN 'IV' ELSE 'III' END s FROM ax", t="bigint", s="string")
+@q([MK, _Z, _AX], "SELECT t, " + _SHAPE + " s FROM ax", t="bigint", s="string")
 def curve_shapes(spark, d):
     return _axes(spark, d).withColumn("s", C.curve_shape(F.col("a"), F.col("b"), 0.3))
 
@@ -78,10 +79,10 @@ def theta_grid_calibration(spark, d):
     return C.theta_grid(_axes(spark, d), "a", "b", _QS, 0.2)
 
 
-@q([MK, _Z, _AX, "s AS (SELECT t, " + _QUAD.format(x="0.5", y="0.6") + " a, " + _QUAD.format(x="0.8", y="0.8") + " b FROM ax)"], "SELECT o observed, e expected, o / nullif(e, 0) lift FROM (SELECT avg(CASE WHEN a = b THEN 1.0 ELSE 0.0 END) o FROM s), (SELECT sum(x.n * y.n) / ((SELECT count(*) FROM s) * (SELECT count(*) FROM s)) e FROM (SELECT a k, count(*) n FROM s GROUP BY 1) x JOIN (SELECT b k, count(*) n FROM s GROUP BY 1) y USING (k))", observed="double", expected="double", lift="double")
+@q([MK, _Z, _AX, "s AS (SELECT * FROM (SELECT " + _QUAD.format(x="0.2", y="0.2") + " qa, " + _SHAPE + " sb FROM ax) WHERE qa IN ('I', 'II', 'III', 'IV') AND sb IN ('I', 'II', 'III', 'IV'))"], "SELECT n, o observed, CASE WHEN n > 0 THEN e / (n * n) END expected, o / nullif(e / (n * n), 0) lift FROM (SELECT count(*) n, avg(CASE WHEN qa = sb THEN 1.0 ELSE 0.0 END) o FROM s), (SELECT coalesce(CAST(sum(x.n * y.n) AS DOUBLE), 0) e FROM (SELECT qa k, count(*) n FROM s GROUP BY 1) x JOIN (SELECT sb k, count(*) n FROM s GROUP BY 1) y USING (k))", n="bigint", observed="double", expected="double", lift="double")
 def coherence_lift(spark, d):
     x = _axes(spark, d)
-    return C.coherence(x.select(C.quadrant(F.col("a"), F.col("b"), 0.5, 0.6).alias("a"), C.quadrant(F.col("a"), F.col("b"), 0.8, 0.8).alias("b")), "a", "b")
+    return C.coherence(x.select(C.quadrant(F.col("a"), F.col("b"), 0.2, 0.2).alias("qa"), C.curve_shape(F.col("a"), F.col("b"), 0.3).alias("sb")), "qa", "sb")
 
 
 _LATE = "zl AS (SELECT * FROM z WHERE NOT (k = 'FURNITURE' AND t < 23960))"

@@ -37,7 +37,7 @@ def q(ctes, body: str, **kinds: str):
 # --- scalars -------------------------------------------------------------
 
 _RAW = ["1,234.5", " . ", "NA", "-", "12", "abc", "", "-7.25", "1e3"]
-_DATES = ["2020-03-01", "03/15/2021", "2019Q3", "2018M7", "201711", "43831", "junk", "15.02.2016", "20140506"]
+_DATES = [("2020-03-01", "2020-03-01"), ("03/15/2021", "2021-03-15"), ("15-Mar-2020", "2020-03-15"), ("15 mar 2020", "2020-03-15"), ("2020-03", "2020-03-01"), ("Mar-99", "1999-03-01"), ("Mar-07", "2007-03-01"), ("20140506", "2014-05-06"), ("15/03/2020", "2020-03-15"), ("03/15/20", "2020-03-15"), ("2020:03:01", "2020-03-01"), ("2020:03", "2020-03-01"), ("2019Q3", "2019-07-01"), ("2020/Q1", "2020-01-01"), ("2018M07", "2018-07-01"), ("201712", "2017-12-01"), ("190013", None), ("43831", None), ("2020", None), ("2021-02-30", None), ("15.02.2016", None), ("junk", None), ("", None)]
 
 
 @q("", "SELECT x, TRY_CAST(CASE WHEN c IN ('', '.', '-', 'NA') THEN NULL ELSE c END AS DOUBLE) v FROM (SELECT x, replace(trim(x), ',', '') c FROM (VALUES " + ", ".join(f"('{x}')" for x in _RAW) + ") z(x))", x="string", v="double")
@@ -45,9 +45,9 @@ def lenient_cast(spark, d):
     return spark.createDataFrame([(x,) for x in _RAW], "x string").withColumn("v", S.lenient_double(F.col("x")))
 
 
-@q("", "SELECT * FROM (VALUES ('2020-03-01', DATE '2020-03-01'), ('03/15/2021', DATE '2021-03-15'), ('2019Q3', DATE '2019-07-01'), ('2018M7', DATE '2018-07-01'), ('201711', DATE '2017-11-01'), ('43831', DATE '2020-01-01'), ('junk', NULL), ('15.02.2016', DATE '2016-02-15'), ('20140506', DATE '2014-05-06')) z(x, v)", x="string", v="date")
+@q("", "SELECT * FROM (VALUES " + ", ".join(f"('{x}', CAST({'NULL' if v is None else repr(v)} AS DATE))" for x, v in _DATES) + ") z(x, v)", x="string", v="date")
 def lenient_date(spark, d):
-    return spark.createDataFrame([(x,) for x in _DATES], "x string").withColumn("v", S.lenient_date(F.col("x")))
+    return spark.createDataFrame([(x,) for x, _ in _DATES], "x string").withColumn("v", S.lenient_date(F.col("x")))
 
 
 @q("", "SELECT s, CAST(TIMESTAMP '1970-01-01' + to_seconds(s) AS DATE) v, make_date(CAST(floor(x) AS INT), CAST(round((x - floor(x)) * 100) AS INT), 1) w FROM (VALUES (-86400, 1871.1), (0, 1999.12), (1600000000, 2020.05)) z(s, x)", s="bigint", v="date", w="date")
@@ -135,7 +135,7 @@ def rolling_mad_speed(spark, d):
     return scaled.withColumn("speed", S.norm_speed(F.col("change"), F.col("mad")))
 
 
-@q([MK, "c AS (SELECT k, t, row_number() OVER (PARTITION BY k ORDER BY t) rn FROM (SELECT k, t, v, max(v) OVER w mx, count(*) OVER w n FROM mk WINDOW w AS (PARTITION BY k ORDER BY t RANGE BETWEEN 4 PRECEDING AND 4 FOLLOWING)) WHERE v = mx AND n = 9)"], "WITH RECURSIVE g AS (SELECT k, t, rn, t kept FROM c WHERE rn = 1 UNION ALL SELECT c.k, c.t, c.rn, CASE WHEN c.t - g.kept > 4 THEN c.t ELSE g.kept END FROM g JOIN c ON c.k = g.k AND c.rn = g.rn + 1) SELECT DISTINCT k, kept t FROM g", k="string", t="bigint")
+@q([MK, "c AS (SELECT k, t, row_number() OVER (PARTITION BY k ORDER BY t) rn FROM (SELECT k, t, v, max(v) OVER w mx, min(v) OVER w mi, count(*) OVER w n FROM mk WINDOW w AS (PARTITION BY k ORDER BY t RANGE BETWEEN 4 PRECEDING AND 4 FOLLOWING)) WHERE v = mx AND v > mi AND n >= 6)"], "WITH RECURSIVE g AS (SELECT k, t, rn, t kept FROM c WHERE rn = 1 UNION ALL SELECT c.k, c.t, c.rn, CASE WHEN c.t - g.kept > 4 THEN c.t ELSE g.kept END FROM g JOIN c ON c.k = g.k AND c.rn = g.rn + 1) SELECT DISTINCT k, kept t FROM g", k="string", t="bigint")
 def local_maxima(spark, d):
     return W.extrema(mk(spark, d), ["k"], 4)
 
@@ -183,16 +183,19 @@ def average_ranks(spark, d):
     return x.withColumn("rk", W.average_rank("b", ["k"]))
 
 
-@q("", "SELECT u, i, s FROM (SELECT user_id u, event_id i, CAST(coalesce(last_value(CASE WHEN x >= 1 THEN 1 WHEN x < 0.5 THEN 0 END IGNORE NULLS) OVER w, 0) - coalesce(last_value(CASE WHEN x <= -1 THEN 1 WHEN x > -0.5 THEN 0 END IGNORE NULLS) OVER w, 0) AS INT) s FROM (SELECT *, CASE WHEN event_type = 'error' THEN NULL ELSE (value - 50) / 25 END x FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))", u="bigint", i="bigint", s="int")
+@q("", "SELECT u, i, CASE WHEN x IS NOT NULL THEN s END s FROM (SELECT user_id u, event_id i, x, CAST(coalesce(last_value(CASE WHEN x >= 1 THEN 1 WHEN x < 0.5 THEN 0 END IGNORE NULLS) OVER w, 0) - coalesce(last_value(CASE WHEN x <= -1 THEN 1 WHEN x > -0.5 THEN 0 END IGNORE NULLS) OVER w, 0) AS INT) s FROM (SELECT *, CASE WHEN event_type = 'error' THEN NULL ELSE (value - 50) / 25 END x FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))", u="bigint", i="bigint", s="int")
 def hysteresis_states(spark, d):
     e = read(spark, d, "events").select(F.col("user_id").alias("u"), F.col("event_id").alias("i"), F.struct("ts", "event_id").alias("o"), F.when(F.col("event_type") != "error", (F.col("value") - 50) / 25).alias("x"))
     return W.hysteresis(e, ["u"], "o", "x", 1.0, 0.5).withColumnRenamed("state", "s")
 
 
-@q([_ST, "e AS (SELECT *, CAST(sign(coalesce(lag(s) OVER (PARTITION BY u ORDER BY day), 0)) AS INT) test FROM st WHERE true)"], "SELECT u, a, sign, CAST(met - a AS BIGINT) delay FROM (SELECT u, min(day) a, any_value(s) sign, min(CASE WHEN test = s THEN day END) met FROM (SELECT *, sum(new) OVER (PARTITION BY u ORDER BY day) run FROM (SELECT *, CASE WHEN lag(s) OVER (PARTITION BY u ORDER BY day) = s THEN 0 ELSE 1 END new FROM e WHERE s <> 0)) GROUP BY u, run)", u="bigint", a="date", sign="int", delay="bigint")
+_REV = ["e AS (SELECT *, lag(s, 2) OVER w test, lead(day) OVER w nd, row_number() OVER w i, CASE WHEN s <> 0 THEN s END sg FROM st WINDOW w AS (PARTITION BY u ORDER BY day))", "f AS (SELECT *, sum(CASE WHEN sg IS NOT NULL AND sg IS DISTINCT FROM pv THEN 1 ELSE 0 END) OVER (PARTITION BY u ORDER BY day) ep FROM (SELECT *, last_value(sg IGNORE NULLS) OVER (PARTITION BY u ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) pv FROM e))", "g AS (SELECT *, first_value(s) OVER (PARTITION BY u, ep ORDER BY day) v, row_number() OVER (PARTITION BY u, ep ORDER BY day) > 1 later FROM f WHERE ep > 0)", "h AS (SELECT u, ep, min(day) a, any_value(v) sign, max(CASE WHEN s = v THEN i END) ie, max(i) il FROM g GROUP BY 1, 2)", "r AS (SELECT h.u, h.a, h.sign, (SELECT nd FROM g WHERE g.u = h.u AND g.i = ie) base_end, (SELECT nd FROM g WHERE g.u = h.u AND g.i = il) turn, (SELECT max_by(nd, i) FROM g WHERE g.u = h.u AND g.ep = h.ep AND i > ie AND test = h.sign) test_end, (SELECT min(day) FROM g WHERE g.u = h.u AND g.ep = h.ep AND later AND s IS DISTINCT FROM h.sign) base_lost, (SELECT min(day) FROM g WHERE g.u = h.u AND g.ep = h.ep AND later AND test IS DISTINCT FROM h.sign) test_lost FROM h)"]
+
+
+@q([_ST, *_REV], "SELECT u, a, sign, coalesce(test_end, base_end) - base_end last_delay, coalesce(test_lost, turn) - coalesce(base_lost, turn) first_delay FROM r WHERE turn IS NOT NULL", u="bigint", a="date", sign="int", last_delay="bigint", first_delay="bigint")
 def reversal_delays(spark, d):
     x = _states(spark, d)
-    x = x.withColumn("test", F.coalesce(F.lag("s").over(W.over(["u"], "day")), F.lit(0)))
+    x = x.withColumn("test", F.lag("s", 2).over(W.over(["u"], "day")))
     return W.reversal_delays(x, ["u"], "day", "s", "test").withColumnRenamed("start", "a")
 
 
@@ -227,7 +230,7 @@ def asof_published(spark, d):
     return J.asof(days, published, [], "day", "v")
 
 
-_SIG = ["sg AS (SELECT DISTINCT user_id u, CAST(date_diff('hour', TIMESTAMP '2020-01-01', ts) AS BIGINT) t FROM events WHERE event_type = 'error')", "ev AS (SELECT DISTINCT user_id u, CAST(date_diff('hour', TIMESTAMP '2020-01-01', ts) AS BIGINT) t FROM events WHERE event_type = 'purchase')", "e AS (SELECT max(t) mx FROM (SELECT t FROM sg UNION ALL SELECT t FROM ev))"]
+_SIG = ["sg AS (SELECT DISTINCT user_id u, CAST(date_diff('hour', TIMESTAMP '2020-01-01', ts) AS BIGINT) t FROM events WHERE event_type = 'error')", "ev AS (SELECT DISTINCT user_id u, CAST(date_diff('hour', TIMESTAMP '2020-01-01', ts) AS BIGINT) t FROM events WHERE event_type = 'purchase')", "e AS (SELECT min(t) mn, max(t) mx FROM (SELECT t FROM sg UNION ALL SELECT t FROM ev))"]
 
 
 def _hours(spark, d, kind):
@@ -242,9 +245,11 @@ def forward_window_score(spark, d):
     return J.score_signals(s, e, ["u"], 48, end or 0).withColumnRenamed("event", "ev")
 
 
-@q(_SIG, "SELECT u, t FROM ev x WHERE NOT EXISTS (SELECT 1 FROM sg s WHERE s.u = x.u AND s.t BETWEEN x.t - 48 AND x.t - 1)", u="bigint", t="bigint")
+@q(_SIG, "SELECT u, t FROM ev x, e WHERE t <= mx AND t - 48 >= mn AND NOT EXISTS (SELECT 1 FROM sg s WHERE s.u = x.u AND s.t BETWEEN x.t - 48 AND x.t - 1)", u="bigint", t="bigint")
 def missed_events(spark, d):
-    return J.missed_events(_hours(spark, d, "error"), _hours(spark, d, "purchase"), ["u"], 48)
+    s, e = _hours(spark, d, "error"), _hours(spark, d, "purchase")
+    whole = s.unionByName(e).agg(F.min("t").alias("a"), F.max("t").alias("b")).first()
+    return J.missed_events(s, e, ["u"], 48, whole["a"] or 0, whole["b"] or 0)
 
 
 @q(_SIG, "SELECT u, lead, follow, lag FROM (SELECT *, row_number() OVER (PARTITION BY u, follow ORDER BY lag, lead) rk FROM (SELECT s.u, s.t lead, min(x.t) follow, min(x.t) - s.t lag FROM sg s JOIN ev x ON x.u = s.u AND x.t - s.t BETWEEN 0 AND 36 GROUP BY 1, 2)) WHERE rk = 1", u="bigint", lead="bigint", follow="bigint", lag="bigint")
@@ -333,7 +338,7 @@ def auc_by_ranks(spark, d):
     return T.auc(_labelled(spark, d), ["k"], "s", "y").where("auc is not null")
 
 
-@q([_LAB, "c AS (SELECT k, s, sum(sum(CASE WHEN y = 1 THEN 1 ELSE 0 END)) OVER w bp, sum(sum(CASE WHEN y = 0 THEN 1 ELSE 0 END)) OVER w bq, lead(s) OVER (PARTITION BY k ORDER BY s) nx FROM dl GROUP BY k, s WINDOW w AS (PARTITION BY k ORDER BY s ROWS UNBOUNDED PRECEDING))", "z AS (SELECT k, sum(CASE WHEN y = 1 THEN 1 ELSE 0 END) tp, sum(CASE WHEN y = 0 THEN 1 ELSE 0 END) tq FROM dl GROUP BY k)"], "SELECT k, (s + nx) / 2 threshold, round(CAST(tp - bp AS DOUBLE) / tp - CAST(tq - bq AS DOUBLE) / tq, 12) j FROM c JOIN z USING (k) WHERE nx IS NOT NULL AND tp > 0 AND tq > 0 QUALIFY row_number() OVER (PARTITION BY k ORDER BY round(CAST(tp - bp AS DOUBLE) / tp - CAST(tq - bq AS DOUBLE) / tq, 12) DESC, (s + nx) / 2) = 1", k="string", threshold="double", j="double")
+@q([_LAB, "sc AS (SELECT DISTINCT k, s FROM dl)", "th AS (SELECT k, (s + nx) / 2.0 t FROM (SELECT k, s, lead(s) OVER (PARTITION BY k ORDER BY s) nx, count(*) OVER (PARTITION BY k) n FROM (SELECT k, CAST(s AS DOUBLE) s FROM sc)) WHERE nx IS NOT NULL UNION ALL SELECT k, max(s) FROM sc GROUP BY k HAVING count(*) = 1)", "js AS (SELECT th.k, t, round(CAST(sum(CASE WHEN y = 1 AND s <= t THEN 1 ELSE 0 END) AS DOUBLE) / sum(CASE WHEN y = 1 THEN 1 ELSE 0 END) - CAST(sum(CASE WHEN y = 0 AND s <= t THEN 1 ELSE 0 END) AS DOUBLE) / sum(CASE WHEN y = 0 THEN 1 ELSE 0 END), 12) j FROM th JOIN dl ON dl.k = th.k GROUP BY 1, 2 HAVING sum(CASE WHEN y = 1 THEN 1 ELSE 0 END) > 0 AND sum(CASE WHEN y = 0 THEN 1 ELSE 0 END) > 0)"], "SELECT k, t threshold, j FROM js QUALIFY row_number() OVER (PARTITION BY k ORDER BY j DESC, t) = 1", k="string", threshold="double", j="double")
 def youden_threshold(spark, d):
     return T.youden(_labelled(spark, d), ["k"], "s", "y")
 
@@ -413,12 +418,12 @@ def cluster_bootstrap(spark, d):
     return T.cluster_bootstrap(c, 100, "cl", "o", "s", "c")
 
 
-_PV = ["va AS (SELECT n_nationkey u, avg(c_acctbal) v, n_regionkey = 1 one FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_nationkey < 12 GROUP BY ALL)", "nu AS (SELECT row_number() OVER (ORDER BY u) - 1 b, v, one FROM va)", "ms AS (SELECT id FROM generate_series(0, CAST(power(2, (SELECT count(*) FROM va)) AS BIGINT) - 1) g(id) WHERE bit_count(id) = (SELECT count(*) FROM va WHERE one))", "st AS (SELECT id, avg(v) FILTER ((id >> b) & 1 = 1) - avg(v) FILTER ((id >> b) & 1 = 0) d FROM ms, nu GROUP BY id)"]
+_PV = ["va AS (SELECT n_nationkey u, avg(c_acctbal) v, n_regionkey = 1 one FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL)", "nu AS (SELECT row_number() OVER (ORDER BY u) b, CAST(v AS DOUBLE) v, one FROM va)", "n AS (SELECT count(*) n, count(*) FILTER (one) k, sum(v) s FROM nu)", "pk(b, i, t) AS (SELECT b, 1, v FROM nu UNION ALL SELECT nu.b, i + 1, t + nu.v FROM pk JOIN nu ON nu.b > pk.b, n WHERE i < n.k)", "st AS (SELECT t / k - (s - t) / (n - k) d FROM pk, n WHERE i = k)"]
 
 
-@q(_PV, "SELECT observed, count(*) labellings, avg(CASE WHEN abs(d) >= abs(observed) - 1e-12 THEN 1.0 ELSE 0.0 END) p FROM st, (SELECT avg(v) FILTER (one) - avg(v) FILTER (NOT one) observed FROM nu) GROUP BY observed", observed="double", labellings="bigint", p="double")
+@q(["RECURSIVE " + _PV[0], *_PV[1:]], "SELECT observed, count(*) labellings, avg(CASE WHEN abs(d) >= abs(observed) - 1e-9 THEN 1.0 ELSE 0.0 END) p FROM st, (SELECT avg(v) FILTER (one) - avg(v) FILTER (NOT one) observed FROM nu) GROUP BY observed", observed="double", labellings="bigint", p="double")
 def permutation_exact(spark, d):
-    c = read(spark, d, "customer").join(read(spark, d, "nation").where("n_nationkey < 12"), F.col("c_nationkey") == F.col("n_nationkey"))
+    c = read(spark, d, "customer").join(read(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     v = c.groupBy(F.col("n_nationkey").alias("u"), (F.col("n_regionkey") == 1).alias("one")).agg(F.avg("c_acctbal").alias("v"))
     return T.exact_permutation(v, v.where("one").count(), "u", "v", "one")
 

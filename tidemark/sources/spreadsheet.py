@@ -64,13 +64,13 @@ def melt(raw: DataFrame, sheet: str, header_row: int, date_col: int = 0) -> Data
     """(series_id, obs_date, value) of a sheet with a header row and a date column; rows whose date doesn't parse are left out."""
     own = raw.where(F.col("sheet") == sheet)
     head = own.where(F.col("row_no") == header_row).select("path", F.posexplode("cells").alias("at", "series_id")).where(F.length(F.trim("series_id")) > 0).where(F.col("at") != date_col)
-    body = own.where(F.col("row_no") > header_row).select("path", lenient_date(F.get("cells", F.lit(date_col))).alias("obs_date"), F.posexplode("cells").alias("at", "raw")).where("obs_date is not null")
+    body = own.where(F.col("row_no") > header_row).select("path", lenient_date(F.get("cells", F.lit(date_col)), serial=True).alias("obs_date"), F.posexplode("cells").alias("at", "raw")).where("obs_date is not null")
     return body.join(F.broadcast(head), ["path", "at"]).select("series_id", "obs_date", lenient_double(F.col("raw")).alias("value"))
 
 
 def transposed(raw: DataFrame, sheet: str, header_row: int, name_col: int = 0) -> DataFrame:
     """As melt(), of a sheet with dates in columns and one row a series."""
     own = raw.where(F.col("sheet") == sheet)
-    head = own.where(F.col("row_no") == header_row).select("path", F.posexplode("cells").alias("at", "d")).select("path", "at", lenient_date(F.col("d")).alias("obs_date")).where("obs_date is not null")
+    head = own.where(F.col("row_no") == header_row).select("path", F.posexplode("cells").alias("at", "d")).select("path", "at", lenient_date(F.col("d"), serial=True).alias("obs_date")).where("obs_date is not null")
     body = own.where(F.col("row_no") > header_row).select("path", F.get("cells", F.lit(name_col)).alias("series_id"), F.posexplode("cells").alias("at", "raw"))
     return body.join(F.broadcast(head), ["path", "at"]).select("series_id", "obs_date", lenient_double(F.col("raw")).alias("value"))
