@@ -8,6 +8,7 @@ bytes, so byte runs and code point runs are the same words.  Word hashes are
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -164,7 +165,9 @@ def shared_dir(spark: SparkSession) -> str:
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get().rstrip("/")
-    own = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    own = "file://" + tempfile.mkdtemp(prefix="spark-shared-")  # one machine, as in tests
     spark.sparkContext.setCheckpointDir(own)
     return own
 
