@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import components, decontaminate, jaccard_join, pii, quality_classifier, quality_rules, sharding
+from tidemark.llm import components, decontaminate, jaccard_join, pii, quality_classifier, quality_rules, sharding, substring_dedup
 
 WORDS = ["".join(random.Random(i).choice("abcdefghijklmnop") for _ in range(2 + i % 7)) for i in range(2000)]
 
@@ -198,3 +198,41 @@ def test_personal_data_of_clashing_columns(spark):
     got = pii.find_spans(docs).first()
     assert (got["m_ip"], got["s_email"], got["row"]) == (1, 2, 3) and [s["kind"] for s in got["spans"]] == ["email"]
     assert hashlib.sha256(pii.mask_personal_data(docs).first()["text"].encode()).hexdigest() == hashlib.sha256(b"mail [EMAIL]").hexdigest()
+
+
+def _kept_by_hand(rows, window):
+    """doc_id -> (words, removed, digest, removed spans), text by text in the order of doc_id."""
+    seen, out = set(), {}
+    for doc_id, text in sorted(rows):
+        words = (text or "").split()
+        drop = [False] * len(words)
+        for at in range(len(words) - window + 1):
+            key = tuple(words[at : at + window])
+            if key in seen:
+                drop[at : at + window] = [True] * window
+            seen.add(key)
+        spans = [k for k in range(len(words) + 1) if (drop[k - 1] if k else False) != (drop[k] if k < len(words) else False)]
+        digest = hashlib.sha256(" ".join(w for w, d in zip(words, drop, strict=True) if not d).encode()).hexdigest()
+        out[doc_id] = (len(words), sum(drop), digest, list(zip(spans[::2], spans[1::2], strict=True)))
+    return out
+
+
+@pytest.mark.parametrize(("window", "leaves"), [(20, 20_000), (20, 3), (20, 1), (13, 5)])
+def test_repeats_are_those_found_by_hand_whatever_the_length_of_prefixes(spark, window, leaves):
+    draw = random.Random(5)
+    vocabulary = [f"w{k}" for k in range(60)]
+    passages = [[draw.choice(vocabulary) for _ in range(60)] for _ in range(6)]
+    rows = [(500, None), (501, ""), (503, "a " * 100), (504, "b c " * 40)]
+    for doc_id in range(120):
+        words = []
+        for _ in range(draw.randrange(1, 5)):
+            at = draw.randrange(40)
+            words += draw.choice(passages)[at : at + draw.randrange(5, 60)] + draw.choices(vocabulary, k=draw.randrange(9))
+        rows.append((doc_id, " ".join(words)))
+    rows.append((502, rows[7][1]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = substring_dedup.remove_repeats(docs.unionByName(docs), window=window, leaves=leaves).collect()
+    want = _kept_by_hand(rows, window)
+    assert len(got) == 2 * len(want)
+    for r in got:
+        assert (r["n_words"], r["n_removed"], r["kept_sha256"], [tuple(s) for s in r["spans"]]) == want[r["doc_id"]]
