@@ -61,13 +61,14 @@ class Words:
     """The words of a run of texts, as arrays.
 
     raw: bytes; at: byte offset of each text, with the end; first: index of each
-    text's first word, with the total; start, end: byte range of each word.
+    text's first word, with the total; start, end: byte range of each word.  outside:
+    which bytes are in no word.
     """
 
-    def __init__(self, raw: np.ndarray, at: np.ndarray):
+    def __init__(self, raw: np.ndarray, at: np.ndarray, outside: np.ndarray = SPACE):
         self.raw, self.at = raw, at
         n = len(raw)
-        inside = ~SPACE[raw]
+        inside = ~outside[raw]
         edge = np.zeros(n + 1, dtype=bool)
         edge[at] = True
         before = np.empty(n, dtype=bool)
@@ -123,7 +124,7 @@ def per_text(flags: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.diff(total[bounds])
 
 
-def text_chunks(column: pa.Array | pa.ChunkedArray, lower: bool = False) -> Iterator[tuple[int, int, Words]]:
+def text_chunks(column: pa.Array | pa.ChunkedArray, lower: bool = False, outside: np.ndarray = SPACE) -> Iterator[tuple[int, int, Words]]:
     """(first row, end row, Words) over a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -139,7 +140,7 @@ def text_chunks(column: pa.Array | pa.ChunkedArray, lower: bool = False) -> Iter
         j = max(i + 1, int(np.searchsorted(at, at[i] + CHUNK_BYTES, "right")) - 1)
         j = min(j, n)
         part = raw[at[i] : at[j]]
-        yield i, j, Words(LOWER[part] if lower else part, at[i : j + 1] - at[i])
+        yield i, j, Words(LOWER[part] if lower else part, at[i : j + 1] - at[i], outside)
         i = j
 
 
@@ -150,13 +151,18 @@ def list_array(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
 
 
 def batch_udf(of: Callable, kind: str) -> Callable:
-    """arrow_udf over batches of at most BATCH_ROWS rows, as texts may be long; sets the session's batch size where it is larger."""
-    conf, key = SparkSession.active().conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
-        conf.set(key, str(BATCH_ROWS))
+    """arrow_udf over batches of at most BATCH_ROWS rows, as texts may be long."""
+    batch_rows(SparkSession.active())
     return F.arrow_udf(of, kind)
 
 
+def batch_rows(spark: SparkSession) -> None:
+    """Set the session's Arrow batches to BATCH_ROWS rows, where they are larger."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

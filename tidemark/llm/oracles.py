@@ -86,4 +86,15 @@ FROM b LEFT JOIN t ON t.lang IS NOT DISTINCT FROM b.lang AND t.source IS NOT DIS
 """
 
 
-ORACLES = {"op1_quality_rules": _op1(), "op6_jaccard_join": OP6, "op9_decontamination": OP9, "op10_substring_dedup": OP10}
+_TERMS = "regexp_extract_all(" + _LOWER.format(t="coalesce(text, '')") + ", '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+OP13 = f"""
+WITH d AS (SELECT doc_id, {_TERMS} w FROM documents),
+s AS (SELECT CAST(count(*) AS BIGINT) docs, CAST(sum(len(w)) AS BIGINT) terms FROM d WHERE len(w) > 0),
+f AS (SELECT doc_id, t, n, CAST(count(*) AS BIGINT) tf FROM (SELECT doc_id, CAST(len(w) AS BIGINT) n, unnest(w) t FROM d) GROUP BY 1, 2, 3),
+w AS (SELECT t, CAST(floor(1000.0::DOUBLE * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) w FROM f, s GROUP BY t),
+q AS (SELECT item_id, t, CAST(count(*) AS BIGINT) c FROM (SELECT item_id, unnest({_TERMS}) t FROM benchmark) GROUP BY 1, 2),
+r AS (SELECT item_id, doc_id, CAST(sum(c * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // terms)))) AS BIGINT) score FROM q JOIN w USING (t) JOIN f USING (t), s GROUP BY 1, 2)
+SELECT item_id, CAST(rank AS INTEGER) rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) rank FROM r WHERE score > 0) WHERE rank <= 10
+"""
+
+ORACLES = {"op1_quality_rules": _op1(), "op6_jaccard_join": OP6, "op9_decontamination": OP9, "op10_substring_dedup": OP10, "op13_lexical_search": OP13}
