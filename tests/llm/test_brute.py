@@ -110,18 +110,48 @@ def test_sets_of_one_hash_stay_apart(spark, monkeypatch):
     assert ids(jaccard_join.link_components(frame(spark, texts))) == {0: 0, 1: 0, 2: 2, 3: 3}
 
 
+def measured(spark, groups, num):
+    """Rows of groups (source, value of num, documents), otherwise alike."""
+    usual = dict(n_words=400, word_chars=2000, n_symbols=4, n_dup_lines=1, n_repeat_words=8, n_lines=40)
+    rows = [("en", s, usual | {num: v + i % 7}) for s, v, k in groups for i in range(k)]
+    return spark.createDataFrame(rows, f"lang string, source string, m {quality_rules.MEASURE_TYPE}")
+
+
 @pytest.mark.parametrize("measure", list(quality_rules.MEASURES))
 def test_a_groups_fence_moves_with_its_distribution(spark, measure):
-    num, den, _, _ = quality_rules.MEASURES[measure]
+    num, _ = quality_rules.MEASURES[measure]
 
     def fence(value, n):
-        rows = [("en", s, dict(n_words=400, word_chars=2000, n_symbols=4, n_dup_lines=1, n_repeat_words=8, n_lines=40) | {num: v + i % 7}) for s, v, k in (("a", value, n), ("b", 0, 300)) for i in range(k)]
-        df = spark.createDataFrame(rows, f"lang string, source string, m {quality_rules.MEASURE_TYPE}")
-        return {r["t_source"]: r[f"t_{measure}"] for r in quality_rules.thresholds(quality_rules.sketches(df)).collect()}["a"]
+        limits = quality_rules.thresholds(measured(spark, [("a", value, n), ("b", 3, 300)], num))
+        return {r["t_source"]: r[f"t_{measure}"] for r in limits.collect()}["a"]
 
     # the farther the group lies, the farther its fence; the more documents it has, the more they count
     assert fence(20, 300)["high"] < fence(60, 300)["high"]
-    assert fence(60, 20)["mid"] < fence(60, 90)["mid"] <= fence(60, 300)["mid"]
+    if measure == "word_len":
+        assert fence(60, 20)["mid"] < fence(60, 90)["mid"] <= fence(60, 300)["mid"]
+
+
+@pytest.mark.parametrize("measure", list(quality_rules.COUNTS))
+def test_each_count_rejects_what_its_group_does_not_have(spark, measure):
+    num, den = quality_rules.MEASURES[measure]
+    value = {"n_words": 70, "n_lines": 30}[den]
+    groups = [("a", 2, 300), ("b", value, 300), ("a", value, 1)]
+    df = measured(spark, groups, num)
+    kept = quality_rules.judge(df, quality_rules.thresholds(df)).groupBy("source").agg(F.sum((~F.col("kept")).cast("int")).alias("n"), F.max(F.when(~F.col("kept"), F.col("m")[num])).alias("m")).collect()
+    assert {r["source"]: (r["n"], r["m"]) for r in kept} == {"a": (1, value), "b": (0, None)}
+
+
+def test_what_goes_with_odd_word_lengths_is_a_mark(spark):
+    # symbols are usual in neither group of texts; those of odd word length have them, and so one of usual word length goes too
+    base = dict(n_words=400, word_chars=2000, n_symbols=0, n_dup_lines=0, n_repeat_words=0, n_lines=40)
+    rows = [base | {"word_chars": 1960 + i % 80} for i in range(400)] + [base | {"word_chars": 3900, "n_symbols": 40 + i % 9} for i in range(25)]
+    rows += [base | {"n_symbols": 45}] * 14 + [base | {"n_dup_lines": 2}] * 20 + [base | {"word_chars": 3900, "n_symbols": 44, "n_dup_lines": 2}]
+    df = spark.createDataFrame([("en", "a", r) for r in rows], f"lang string, source string, m {quality_rules.MEASURE_TYPE}")
+    limits = quality_rules.thresholds(df)
+    fence = limits.collect()[0]
+    assert fence["t_symbols"]["marks"] and not fence["t_dup_lines"]["marks"]  # lines are repeated as often within
+    lost = quality_rules.judge(df, limits).where("not kept").groupBy("m.word_chars", F.col("m.n_symbols") > 0).count().collect()
+    assert sorted((r[0], r[1], r[2]) for r in lost) == [(2000, True, 14), (3900, True, 26)]
 
 
 def test_the_repeats_rule_alone_rejects(spark):

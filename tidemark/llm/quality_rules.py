@@ -8,12 +8,21 @@ and of the whole corpus are all sums of the same rows, whatever the partitioning
 
 A language's sketch is merged with the corpus's at the weight of ``prior`` documents,
 a group's with its language's, so a group's own documents count the more the more
-there are, without a step.  A fence stands FENCE spreads outside the quartiles; the
-spread is read from the merged sketch: the interquartile range, for measures that have
-an upper fence only also what lies between median and nine tenths, and at least what
-one event (a character, a symbol, a line, a five-word window met twice) makes of the
-group's median text.  Texts shorter than that median vary more; their fences widen with
-the square root of the ratio.
+there are, without a step.
+
+Word length has a spread in any corpus: its fences stand FENCE interquartile ranges
+outside the quartiles.  Texts shorter than their group's median vary more; their
+fences widen with the square root of the ratio.
+
+Symbols, repeated lines and repeated words are absent from most texts, so their
+quartiles are 0 and say nothing.  Their fences come from two sketches each, of the
+documents inside and outside the fences of word length (the corpus's sketch of the
+latter is merged with that of the former, so a few documents outside prove nothing).
+What is LIFT times more frequent outside than inside, from some value on, and is found
+in a share of SHARE of the documents outside at least, marks bad texts: the least such
+value is a fence.  Another stands FENCE interquartile ranges of the non-zero values
+inside, which have merged sketches of their own, above their upper quartile.  An interquartile range counts as one bucket of the
+sketch at least, its resolution.
 
 Edge cases: a null or empty text has no words and zero measures and is base_failed;
 texts that are base_failed are not counted in any sketch; null lang or source is a
@@ -30,27 +39,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import GOLDEN, batch_udf, cut, mix64, per_text, table, text_chunks, windows
+from ._common import GOLDEN, batch_udf, cut, drop_cut, mix64, per_text, table, text_chunks, windows
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MEASURE_TYPE = "struct<n_words:bigint,word_chars:bigint,n_symbols:bigint,n_dup_lines:bigint,n_repeat_words:bigint,n_lines:bigint>"
-#: measure -> (numerator, denominator, what one event adds to the numerator, has a lower fence)
-MEASURES = {
-    "word_len": ("word_chars", "n_words", 1, True),
-    "symbols": ("n_symbols", "n_words", 1, False),
-    "dup_lines": ("n_dup_lines", "n_lines", 1, False),
-    "repeats": ("n_repeat_words", "n_words", 10, False),
-}
-#: Denominators, whose medians are read from sketches of their own.
-SIZES = ("n_words", "n_lines")
+#: measure -> (numerator, denominator), in thousandths.
+SPREAD = {"word_len": ("word_chars", "n_words")}
+COUNTS = {"symbols": ("n_symbols", "n_words"), "dup_lines": ("n_dup_lines", "n_lines"), "repeats": ("n_repeat_words", "n_words")}
+MEASURES = SPREAD | COUNTS
 #: A fence stands this many spreads outside the quartiles.
 FENCE = 4
+#: How much more frequent a value has to be outside the fences of word length than inside, and in which share of the documents outside.
+LIFT, SHARE = 4, 0.1
 #: Documents for which the sketch above counts when it is merged with a group's.
 PRIOR = 100
+#: Documents of value 0 from which the corpus's sketch of non-zero values starts: a value that a single text has is not yet usual.
+ZEROS = 4
 #: Parts into which a document's weight is divided, so that merged sketches are sums of integers.
 SCALE = 10_000
-#: Quantiles, in hundredths, that are read from a merged sketch.
-QUANTILES = (25, 50, 75, 90)
 #: Threshold tables up to this many groups are broadcast; larger ones are joined by shuffle.
 BROADCAST_GROUPS = 20_000
 
@@ -112,14 +118,18 @@ def base_failed(m: Column) -> Column:
 
 
 def _value(m: Column, name: str) -> Column:
-    num, den, _, _ = MEASURES[name]
+    num, den = MEASURES[name]
     return F.when(m[den] > 0, F.lit(1000) * m[num] / m[den]).otherwise(0).cast("long")
 
 
+def _shift(v: Column) -> Column:
+    """Low bits that a bucket leaves out."""
+    return F.when(v < 64, 0).otherwise(F.greatest(F.lit(0), F.length(F.conv(v.cast("string"), 10, 2)) - 6)).cast("int")
+
+
 def _bucket(v: Column) -> Column:
     """Index of the log-linear bucket of a non-negative integer."""
-    shift = F.greatest(F.lit(0), F.length(F.conv(v.cast("string"), 10, 2)) - 6).cast("int")
-    return F.when(v < 64, v.cast("int")).otherwise(shift * 32 + F.floor(v / F.pow(F.lit(2), shift)).cast("int"))
+    return F.when(v < 64, v.cast("int")).otherwise(_shift(v) * 32 + F.floor(v / F.pow(F.lit(2), _shift(v))).cast("int"))
 
 
 def _bucket_floor(b: Column) -> Column:
@@ -127,77 +137,126 @@ def _bucket_floor(b: Column) -> Column:
     return F.when(b < 64, b.cast("long")).otherwise(((b - shift * 32) * F.pow(F.lit(2), shift)).cast("long"))
 
 
-def sketches(measured: DataFrame, lang: str = "lang", source: str = "source", m: str = "m") -> DataFrame:
-    """(lang, source, measure, bucket, n): the mergeable sketch of each group's texts that pass the base rules."""
-    values = [(k, _value(F.col(m), k)) for k in MEASURES] + [(k, F.col(m)[k]) for k in SIZES]
+def _width(v: Column) -> Column:
+    """Width of the bucket in which v lies."""
+    return F.pow(F.lit(2.0), _shift(v.cast("long")))
+
+
+def sketches(rows: DataFrame, values: list[tuple[str, Column]], keys: tuple[str, ...] = ("lang", "source")) -> DataFrame:
+    """(keys, measure, bucket, n): mergeable sketches of integer values by keys."""
     pairs = F.array(*[F.struct(F.lit(k).alias("measure"), _bucket(v).alias("bucket")) for k, v in values])
-    rows = measured.where(~base_failed(F.col(m))).select(F.col(lang).alias("lang"), F.col(source).alias("source"), F.explode(pairs).alias("p"))
-    return rows.groupBy("lang", "source", "p.measure", "p.bucket").agg(F.count("*").alias("n"))
+    return rows.select(*keys, F.explode(pairs).alias("p")).groupBy(*keys, "p.measure", "p.bucket").agg(F.count("*").alias("n"))
 
 
-def _merged(sketch: DataFrame, keys: list[str], above: DataFrame | None, prior: int) -> DataFrame:
-    """(keys, measure, bucket, w): sketches of the groups by keys, merged with those above, whose keys are all but the last."""
+def _merged(sketch: DataFrame, keys: list[str], above: DataFrame | None, prior: int, groups: DataFrame | None = None) -> DataFrame:
+    """(keys, measure, bucket, w): sketches by keys, merged with those above, whose keys are among these; groups: those wanted, the sketch's own if none."""
     own = sketch.groupBy(*keys, "measure", "bucket").agg((F.sum("n") * SCALE).alias("w"))
     if above is None:
         return own
     held = [c for c in above.columns if c not in ("measure", "bucket", "w")]
     total = F.sum("w").over(Window.partitionBy(*held, "measure"))
     share = above.select(*[F.col(c).alias(f"p_{c}") for c in held], F.col("measure").alias("p_measure"), "bucket", (prior * F.floor(F.col("w") * F.lit(float(SCALE)) / total)).alias("w"))
-    groups = own.select(*keys, "measure").distinct()
+    groups = (sketch if groups is None else groups).select(*keys, "measure").distinct()
     same = reduce(lambda c, k: c & F.col(k).eqNullSafe(F.col(f"p_{k}")), held, F.col("measure") == F.col("p_measure"))
     return own.unionByName(groups.join(share, same).select(*own.columns)).groupBy(*keys, "measure", "bucket").agg(F.sum("w").alias("w"))
 
 
-def thresholds(sketch: DataFrame, prior: int = PRIOR) -> DataFrame:
-    """One row a (lang, source): mid, low and high of each measure in thousandths, and the median of its denominator."""
-    corpus = _merged(sketch, [], None, prior)
-    group = _merged(sketch, ["lang", "source"], _merged(sketch, ["lang"], corpus, prior), prior)
-    by = Window.partitionBy("lang", "source", "measure")
-    ranked = group.withColumn("upto", F.sum("w").over(by.orderBy("bucket"))).withColumn("total", F.sum("w").over(by))
-    quantile = lambda q: F.min(F.when(F.col("upto") * 100 >= F.col("total") * q, _bucket_floor(F.col("bucket")))).cast("double")
-    read = ranked.groupBy("lang", "source", "measure").agg(F.struct(*[quantile(q).alias(f"q{q}") for q in QUANTILES]).alias("q"))
-    wide = read.groupBy("lang", "source").agg(*[F.first(F.when(F.col("measure") == k, F.col("q")), ignorenulls=True).alias(k) for k in (*MEASURES, *SIZES)])
-
-    def fences(k: str) -> Column:
-        _, den, event, lower = MEASURES[k]
-        size = F.greatest(F.lit(1.0), F.col(den)["q50"])
-        spreads = [F.col(k)["q75"] - F.col(k)["q25"], F.lit(1000.0 * event) / size] + ([] if lower else [F.col(k)["q90"] - F.col(k)["q50"]])
-        reach = FENCE * F.greatest(*spreads)
-        return F.struct(F.col(k)["q50"].alias("mid"), (F.col(k)["q25"] - reach).alias("low"), (F.col(k)["q75"] + reach).alias("high"), size.alias("size")).alias(f"t_{k}")
-
-    return wide.select(F.col("lang").alias("t_lang"), F.col("source").alias("t_source"), *[fences(k) for k in MEASURES])
-
-
-def _within(m: Column) -> Column:
-    """Whether every measure lies within its group's fences."""
-    out = F.lit(True)
-    for k, (_, den, _, lower) in MEASURES.items():
-        t, v = F.col(f"t_{k}"), _value(m, k)
-        wider = F.sqrt(F.greatest(F.lit(1.0), t["size"] / F.greatest(m[den], F.lit(1))))
-        out = out & (v <= t["mid"] + (t["high"] - t["mid"]) * wider)
-        if lower:
-            out = out & (v >= t["mid"] + (t["low"] - t["mid"]) * wider)
-    return out
+def _levels(sketch: DataFrame, above: DataFrame | None, prior: int, groups: DataFrame, first: int | None = None) -> DataFrame:
+    """Sketches of the groups, merged with their languages', the corpus's and the one above, which counts for first documents."""
+    corpus = _merged(sketch, [], above, prior if first is None else first, groups)
+    return _merged(sketch, ["lang", "source"], _merged(sketch, ["lang"], corpus, prior, groups), prior, groups)
+
 
+def _quantile(q: int, upto: str, total: str) -> Column:
+    """Aggregate: the least bucket by which q hundredths of the weight are reached."""
+    return F.min(F.when(F.col(upto) * 100 >= F.col(total) * q, _bucket_floor(F.col("bucket")))).cast("double")
 
-def _small(limits: DataFrame) -> DataFrame:
-    limits = cut(limits, "thresholds")
+
+def spread_fences(sketch: DataFrame, prior: int = PRIOR) -> DataFrame:
+    """(t_lang, t_source, t_word_len): mid, low and high of word length, and size, the median length in words, of each group."""
+    by = Window.partitionBy("lang", "source", "measure")
+    ranked = _levels(sketch, None, prior, sketch).withColumn("upto", F.sum("w").over(by.orderBy("bucket"))).withColumn("total", F.sum("w").over(by))
+    read = ranked.groupBy("lang", "source", "measure").agg(*[_quantile(q, "upto", "total").alias(f"q{q}") for q in (25, 50, 75)])
+    of = lambda k, q: F.max(F.when(F.col("measure") == k, F.col(q)))
+    wide = read.groupBy("lang", "source").agg(*[of("word_len", f"q{q}").alias(f"q{q}") for q in (25, 50, 75)], of("n_words", "q50").alias("size"))
+    reach = FENCE * F.greatest(F.col("q75") - F.col("q25"), _width(F.col("q50")))
+    fence = F.struct(F.col("q50").alias("mid"), (F.col("q25") - reach).alias("low"), (F.col("q75") + reach).alias("high"), F.greatest(F.lit(1.0), F.col("size")).alias("size"))
+    return wide.select(F.col("lang").alias("t_lang"), F.col("source").alias("t_source"), fence.alias("t_word_len"))
+
+
+def within_spread(m: Column, t: Column) -> Column:
+    """Whether a text's word length lies within its group's fences."""
+    v, wider = _value(m, "word_len"), F.sqrt(F.greatest(F.lit(1.0), t["size"] / F.greatest(m["n_words"], F.lit(1))))
+    return (v <= t["mid"] + (t["high"] - t["mid"]) * wider) & (v >= t["mid"] + (t["low"] - t["mid"]) * wider)
+
+
+def count_fences(sketch: DataFrame, prior: int = PRIOR) -> DataFrame:
+    """(t_lang, t_source, t_symbols, ...): marks (values from it on are more frequent outside) and high of each count; sketch has a key inside."""
+    core = sketch.where("inside").drop("inside")
+    inside = _levels(core, None, prior, sketch)
+    outside = _levels(sketch.where("not inside").drop("inside"), _merged(core, [], None, prior), prior, sketch)
+    keys = ["lang", "source", "measure"]
+    sides = [x.select(*keys, "bucket", *[(F.col("w") if k == side else F.lit(0)).cast("double").alias(side) for side in "io"]) for k, x in (("i", inside), ("o", outside))]
+    both = sides[0].unionAll(sides[1]).groupBy(*keys, "bucket").agg(F.sum("i").alias("i"), F.sum("o").alias("o"))
+    by = Window.partitionBy(*keys)
+    down, real = by.orderBy(F.desc("bucket")), F.col("bucket") > 0
+    ranked = both.withColumns({"all_i": F.sum("i").over(by), "all_o": F.sum("o").over(by), "from_i": F.sum("i").over(down), "from_o": F.sum("o").over(down)})
+    marks = real & (F.col("from_o") >= F.lit(SHARE) * F.col("all_o")) & (F.col("from_o") * F.col("all_i") >= F.lit(float(LIFT)) * F.col("from_i") * F.col("all_o"))
+    marked = ranked.groupBy(*keys).agg(F.min(F.when(marks, _bucket_floor(F.col("bucket")))).cast("double").alias("marks"))
+    nothing = sketch.select("measure", F.lit(0).alias("bucket"), F.lit(1).cast("long").alias("w")).distinct()
+    some = _levels(core.where(real), nothing, prior, sketch, ZEROS).withColumns({"upto": F.sum("w").over(by.orderBy("bucket")), "total": F.sum("w").over(by)})
+    tails = some.groupBy(*keys).agg(_quantile(25, "upto", "total").alias("q25"), _quantile(75, "upto", "total").alias("q75"))
+    read = marked.withColumns({"q25": F.lit(None).cast("double"), "q75": F.lit(None).cast("double")}).unionByName(tails.withColumn("marks", F.lit(None).cast("double"))).groupBy(*keys).agg(*[F.max(c).alias(c) for c in ("marks", "q25", "q75")])
+    high = F.col("q75") + FENCE * F.greatest(F.col("q75") - F.col("q25"), _width(F.col("q75")))
+    fence = F.struct("marks", high.alias("high"))
+    wide = read.groupBy("lang", "source").agg(*[F.first(F.when(F.col("measure") == k, fence), ignorenulls=True).alias(f"t_{k}") for k in COUNTS])
+    return wide.select(F.col("lang").alias("t_lang"), F.col("source").alias("t_source"), *[f"t_{k}" for k in COUNTS])
+
+
+def within_counts(m: Column, t: dict[str, Column]) -> Column:
+    """Whether no count reaches a fence of its group."""
+    reached = [F.coalesce(_value(m, k) >= t[k]["marks"], F.lit(False)) | F.coalesce(_value(m, k) > t[k]["high"], F.lit(False)) for k in COUNTS]
+    return ~reduce(lambda a, b: a | b, reached)
+
+
+def _small(limits: DataFrame, what: str) -> DataFrame:
+    limits = cut(limits, what)
     return F.broadcast(limits) if limits.count() <= BROADCAST_GROUPS else limits
 
 
-def judge(measured: DataFrame, limits: DataFrame, lang: str = "lang", source: str = "source", m: str = "m") -> DataFrame:
-    """measured with base_failed and kept, by join with the fences of each row's group."""
-    joined = measured.join(_small(limits), F.col(lang).eqNullSafe(F.col("t_lang")) & F.col(source).eqNullSafe(F.col("t_source")), "left")
-    failed = base_failed(F.col(m))
-    kept = ~failed & F.coalesce(_within(F.col(m)), F.lit(True))
-    return joined.withColumns({"base_failed": failed, "kept": kept}).drop("t_lang", "t_source", *[f"t_{k}" for k in MEASURES])
+def _joined(rows: DataFrame, limits: DataFrame) -> DataFrame:
+    same = rows["lang"].eqNullSafe(F.col("t_lang")) & rows["source"].eqNullSafe(F.col("t_source"))
+    return rows.join(limits, same, "left").drop("t_lang", "t_source")
+
+
+def thresholds(measured: DataFrame, prior: int = PRIOR) -> DataFrame:
+    """One row a (lang, source) with the fences of all measures; measured: (lang, source, m)."""
+    rows = measured.where(~base_failed(F.col("m"))).select("lang", "source", "m")
+    first = cut(sketches(rows, [("word_len", _value(F.col("m"), "word_len")), ("n_words", F.col("m")["n_words"])]), "sketches")
+    spread = _small(spread_fences(first, prior), "thresholds")
+    placed = _joined(rows, spread).withColumn("inside", F.coalesce(within_spread(F.col("m"), F.col("t_word_len")), F.lit(True)))
+    second = cut(sketches(placed, [(k, _value(F.col("m"), k)) for k in COUNTS], ("lang", "source", "inside")), "sketches")
+    counts = count_fences(second, prior)
+    both = spread.join(counts.select(F.col("t_lang").alias("c_lang"), F.col("t_source").alias("c_source"), *[f"t_{k}" for k in COUNTS]), F.col("t_lang").eqNullSafe(F.col("c_lang")) & F.col("t_source").eqNullSafe(F.col("c_source")), "left").drop("c_lang", "c_source")
+    out = _small(both, "thresholds")
+    for used in (first, second, spread):
+        drop_cut(used)
+    return out
+
+
+def judge(measured: DataFrame, limits: DataFrame) -> DataFrame:
+    """measured (with lang, source and m) with base_failed and kept, by join with the fences of each row's group."""
+    joined, m = _joined(measured, limits), F.col("m")
+    good = within_spread(m, F.col("t_word_len")) & within_counts(m, {k: F.col(f"t_{k}") for k in COUNTS})
+    return joined.withColumns({"base_failed": base_failed(m), "kept": ~base_failed(m) & F.coalesce(good, F.lit(True))}).drop(*[f"t_{k}" for k in MEASURES])
 
 
 def quality_filter(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """The rows of docs that the rules keep, columns as they were."""
     columns = docs.columns
-    light = docs.select(docs[lang].alias("lang"), docs[source].alias("source"), measures(docs, text).alias("m"))
-    limits = thresholds(cut(sketches(light), "sketches"))
+    light = cut(docs.select(docs[lang].alias("lang"), docs[source].alias("source"), measures(docs, text).alias("m")), "measures")
+    limits = thresholds(light)
+    drop_cut(light)
     whole = docs.select(F.struct(*[docs[c] for c in columns]).alias("row"), docs[lang].alias("lang"), docs[source].alias("source"), measures(docs, text).alias("m"))
     return judge(whole, limits).where("kept").select("row.*")
 
@@ -205,5 +264,4 @@ def quality_filter(docs: DataFrame, text: str = "text", lang: str = "lang", sour
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     measured = cut(docs.select("doc_id", "lang", "source", measures(docs).alias("m")), "measures")
-    judged = judge(measured, thresholds(cut(sketches(measured), "sketches")))
-    return judged.select("doc_id", *[F.col("m")[c].alias(c) for c in BASE], "base_failed", "kept")
+    return judge(measured, thresholds(measured)).select("doc_id", *[F.col("m")[c].alias(c) for c in BASE], "base_failed", "kept")
