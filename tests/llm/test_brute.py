@@ -79,11 +79,21 @@ def test_every_way_of_the_join_gives_the_same(spark, monkeypatch):
     want, docs = linked(texts), frame(spark, texts)
     monkeypatch.setattr(jaccard_join, "BROADCAST_NODES", 0)
     monkeypatch.setattr(jaccard_join, "BROADCAST_VALUES", 0)
+    monkeypatch.setattr(jaccard_join, "BROADCAST_PARTS", 0)
     monkeypatch.setattr(components, "ONE_PARTITION", 0)
     monkeypatch.setattr(jaccard_join, "LEAF", 2)
     assert ids(jaccard_join.link_components(docs)) == want
 
 
+def test_a_header_that_all_share(spark, monkeypatch):
+    header = prose(12, 70)
+    texts = [header + " " + prose(80 + i % 5, 7000 + i) for i in range(150)] + edited((header + " " + prose(90, 71)).split(), 40, 0, 3, 72)
+    want = linked(texts)
+    assert ids(jaccard_join.link_components(frame(spark, texts))) == want
+    monkeypatch.setattr(jaccard_join, "BROADCAST_PARTS", 0)
+    assert ids(jaccard_join.link_components(frame(spark, texts))) == want
+
+
 def test_short_sets_have_an_exact_way(spark, monkeypatch):
     texts = edited(prose(80, 35).split(), 20, 0, 5, 36) + ["a b c", ""]
     parts_of = jaccard_join._parts_of

@@ -56,6 +56,8 @@ LINK, OF = 85, 100
 LEAF = 32
 #: Node lists up to this long are broadcast to pick the sets to verify; longer ones are joined by shuffle.
 BROADCAST_NODES = 1_000_000
+#: Parts that two sets or more hold, up to which they are broadcast to their holders; more are joined by shuffle.
+BROADCAST_PARTS = 300_000
 #: Values in all pivots' sets up to which they are broadcast to their regions; more are joined by shuffle.
 BROADCAST_VALUES = 2_000_000
 NODE_TYPE = "struct<n:bigint,node:bigint,twin:bigint>"
@@ -289,12 +291,15 @@ def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     held = held or _Nodes(docs, doc_id, text, k)
     light = held.light
     heavy = held.once(parts(docs[text], k, link))
-    by = Window.partitionBy("part")
-    cells = heavy.select("node", F.explode("classes").alias("c")).select("node", "c.need", F.explode("c.parts").alias("part"))
-    cells = cells.withColumns({"members": F.count("*").over(by), "least": F.min("node").over(by), "most": F.max("node").over(by), "all": F.bit_xor(F.xxhash64("node")).over(by)})
-    cells = cells.where((F.col("least") != F.col("most")) | (F.col("part") == SHORT)).withColumn("scheme", F.col("part").bitwiseAND(63).cast("int"))
+    parted = cut(heavy.select("node", F.explode("classes").alias("c")).select("node", "c.need", F.explode("c.parts").alias("part")), "parts")
+    # a part's holders are counted where they lie; written down, so that the join below can split a part that very many hold
+    counted = parted.groupBy("part").agg(F.count("*").alias("members"), F.min("node").alias("least"), F.max("node").alias("most"), F.bit_xor(F.xxhash64("node")).alias("all"))
+    counted, n = cut_counted(counted.where((F.col("least") != F.col("most")) | (F.col("part") == SHORT)), "shared")
+    cells = parted.join(F.broadcast(counted) if n <= BROADCAST_PARTS else counted, "part").withColumn("scheme", F.col("part").bitwiseAND(63).cast("int"))
     # parts with the same members are one cell
     every = cut(cells.groupBy("scheme", F.xxhash64("members", "least", "most", "all", "scheme").alias("cell"), "members", "node", "need").agg(F.countDistinct("part").alias("parts")), "cells")
+    for done in (parted, counted):
+        drop_cut(done)
     cells, short = every.where(F.col("scheme") != SHORT), every.where(F.col("scheme") == SHORT).select("node")
     # met: parts in crowded cells; lack: by how many these are fewer than what a linked set shares at least
     met = F.coalesce(F.sum(F.when(F.col("members") > LEAF, F.col("parts"))), F.lit(0))
