@@ -90,8 +90,10 @@ def test_a_header_that_all_share(spark, monkeypatch):
     texts = [header + " " + prose(80 + i % 5, 7000 + i) for i in range(150)] + edited((header + " " + prose(90, 71)).split(), 40, 0, 3, 72)
     want = linked(texts)
     assert ids(jaccard_join.link_components(frame(spark, texts))) == want
-    monkeypatch.setattr(jaccard_join, "BROADCAST_PARTS", 0)
-    assert ids(jaccard_join.link_components(frame(spark, texts))) == want
+    for often, parts in ((2, 300_000), (2, 0), (10**9, 300_000)):  # nearly all parts dealt out, joined in either way; none dealt out
+        monkeypatch.setattr(jaccard_join, "OFTEN", often)
+        monkeypatch.setattr(jaccard_join, "BROADCAST_PARTS", parts)
+        assert ids(jaccard_join.link_components(frame(spark, texts))) == want
 
 
 def test_short_sets_have_an_exact_way(spark, monkeypatch):

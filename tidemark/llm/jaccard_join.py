@@ -43,8 +43,11 @@ columns stay out.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -56,7 +59,9 @@ LINK, OF = 85, 100
 LEAF = 32
 #: Node lists up to this long are broadcast to pick the sets to verify; longer ones are joined by shuffle.
 BROADCAST_NODES = 1_000_000
-#: Parts that two sets or more hold, up to which they are broadcast to their holders; more are joined by shuffle.
+#: A part is dealt out by holder when OFTEN of BUFFER parts that a task reads are this one: of all sets' parts a hundred-thousandth, so the holders of any other part fit into one task.
+OFTEN, BUFFER, SALTS = 20, 2_000_000, 64
+#: Parts that very many sets hold, up to which they are broadcast to their holders; more are joined by shuffle.
 BROADCAST_PARTS = 300_000
 #: Values in all pivots' sets up to which they are broadcast to their regions; more are joined by shuffle.
 BROADCAST_VALUES = 2_000_000
@@ -286,20 +291,63 @@ def _short_pairs(held: _Nodes, short: DataFrame, k: int, link: int) -> DataFrame
     return own.join(every.withColumnRenamed("node", "b"), "e").where("a <> b").select("a", "b").distinct()
 
 
+def _often(heavy: DataFrame) -> DataFrame:
+    """(often): every part of more holders than OFTEN for each BUFFER of parts that a task reads; some of fewer."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def found() -> pa.RecordBatch:
+            part, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(part[n >= OFTEN])], names=["often"])
+
+        for b in batches:
+            values = pc.list_flatten(pc.struct_field(pc.list_flatten(b.column(0)), "parts")).to_numpy(zero_copy_only=False)
+            for i in range(0, len(values), BUFFER):
+                held.append(values[i : i + BUFFER])
+                size += len(held[-1])
+                if size >= BUFFER:
+                    yield found()
+                    held, size = [], 0
+        if held:
+            yield found()
+
+    return heavy.select("classes").mapInArrow(of, "often long").distinct()
+
+
+def _held_parts(heavy: DataFrame) -> DataFrame:
+    """(node, need, part, members, cell): parts that different sets hold, with the number and a hash of their holders.
+
+    The holders of a part meet in one group, but for parts that very many hold: these are
+    dealt out by holder, and counted where they lie.
+    """
+    often, n = cut_counted(_often(heavy), "often")
+    rows = heavy.select("node", F.explode("classes").alias("c")).select("node", "c.need", F.explode("c.parts").alias("part"))
+    rows = rows.join(F.broadcast(often) if n <= BROADCAST_PARTS else often, F.col("part") == F.col("often"), "left")
+    rows = rows.select("node", "need", "part", F.when(F.col("often").isNull(), -1).otherwise(F.pmod(F.xxhash64("node"), F.lit(SALTS))).cast("int").alias("salt"))
+    by = Window.partitionBy("part", "salt")
+    stats = {"members": F.count("*"), "least": F.min("node"), "most": F.max("node"), "every": F.bit_xor(F.xxhash64("node"))}
+    apart, cell = (F.col("least") != F.col("most")) | (F.col("part") == SHORT), F.xxhash64("members", "least", "most", "every", F.col("part").bitwiseAND(63).cast("int"))
+    spread = rows.withColumns({k: v.over(by) for k, v in stats.items()}).where(apart | (F.col("salt") >= 0))
+    held = cut(spread.select("node", "need", "part", "salt", "members", F.when(F.col("salt") < 0, cell).alias("cell")), "parts")
+    few = held.where("salt < 0").drop("salt")
+    if not n:
+        return few
+    many = held.where("salt >= 0").select("node", "need", "part")
+    counted, n = cut_counted(many.groupBy("part").agg(*[v.alias(k) for k, v in stats.items()]).where(apart).select("part", "members", cell.alias("cell")), "counted")
+    return few.unionByName(many.join(F.broadcast(counted) if n <= BROADCAST_PARTS else counted, "part"))
+
+
 def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE, link: int = LINK, held: _Nodes | None = None) -> DataFrame:
     """(doc_id, node, n_shingles, component_id), a row for each row of docs; held: their nodes, if known."""
     held = held or _Nodes(docs, doc_id, text, k)
     light = held.light
     heavy = held.once(parts(docs[text], k, link))
-    parted = cut(heavy.select("node", F.explode("classes").alias("c")).select("node", "c.need", F.explode("c.parts").alias("part")), "parts")
-    # a part's holders are counted where they lie; written down, so that the join below can split a part that very many hold
-    counted = parted.groupBy("part").agg(F.count("*").alias("members"), F.min("node").alias("least"), F.max("node").alias("most"), F.bit_xor(F.xxhash64("node")).alias("all"))
-    counted, n = cut_counted(counted.where((F.col("least") != F.col("most")) | (F.col("part") == SHORT)), "shared")
-    cells = parted.join(F.broadcast(counted) if n <= BROADCAST_PARTS else counted, "part").withColumn("scheme", F.col("part").bitwiseAND(63).cast("int"))
+    held_parts = _held_parts(heavy)
+    cells = held_parts.withColumn("scheme", F.col("part").bitwiseAND(63).cast("int"))
     # parts with the same members are one cell
-    every = cut(cells.groupBy("scheme", F.xxhash64("members", "least", "most", "all", "scheme").alias("cell"), "members", "node", "need").agg(F.countDistinct("part").alias("parts")), "cells")
-    for done in (parted, counted):
-        drop_cut(done)
+    every = cut(cells.groupBy("scheme", "cell", "members", "node", "need").agg(F.countDistinct("part").alias("parts")), "cells")
+    drop_cut(held_parts)
     cells, short = every.where(F.col("scheme") != SHORT), every.where(F.col("scheme") == SHORT).select("node")
     # met: parts in crowded cells; lack: by how many these are fewer than what a linked set shares at least
     met = F.coalesce(F.sum(F.when(F.col("members") > LEAF, F.col("parts"))), F.lit(0))
