@@ -44,11 +44,12 @@ def quadrant(a: Column, b: Column, theta_a: Column | float, theta_b: Column | fl
     return (out.when(~shape.eqNullSafe(named), "CENTER") if shape is not None else out).otherwise(named)
 
 
-def curve_shape(short: Column, long: Column, parallel: float) -> Column:
-    """Shape of a curve's move: PARALLEL under a tolerance, else falling and flatter I, falling and steeper II, rising and flatter III, rising and steeper IV; null without both."""
+def curve_shape(short: Column, long: Column, parallel: float, twist: bool = False) -> Column:
+    """Shape of a curve's move: PARALLEL under a tolerance, where twist is asked for TWIST if its ends move apart, else falling and flatter I, falling and steeper II, rising and flatter III, rising and steeper IV; null without both."""
     rising, flatter = (short + long) / 2 > 0, long < short
     named = F.when(~rising & flatter, "I").when(~rising & (long > short), "II").when(rising & flatter, "III").otherwise("IV")
-    return F.when(short.isNull() | long.isNull(), None).when(F.abs(long - short) < parallel, "PARALLEL").otherwise(named)
+    out = F.when(short.isNull() | long.isNull(), None).when(F.abs(long - short) < parallel, "PARALLEL")
+    return (out.when(short * long < 0, "TWIST") if twist else out).otherwise(named)
 
 
 def theta_grid(scores: DataFrame, a: str, b: str, qs: list[float], target: float) -> DataFrame:
