@@ -13,6 +13,15 @@ header_rows_json   a list of lists whose first row names the columns
 jsonstat           JSON-stat 2.0 of which only time varies
 period_json        rows with a year and a period code (M01..M12, Q01..Q04, A01)
 zip_csv            raw rows of CSV files inside ZIP files
+passport_json      descriptions of series; search results in their order
+vintage_dates_json dates at which a series was published
+coded_rows_json    rows of many series under nested objects, each with its code
+meta_rows_json     a list of a description and the rows
+docs_json          documents with parallel lists of periods and values
+nested_rows_json   rows under response.data
+candles_json       pages of lists, which overlap
+variables_json     an object of named descriptions
+announcements_html dated sentences of a page
 """
 
 from __future__ import annotations
@@ -22,10 +31,10 @@ import io
 import zipfile
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import epoch_date, lenient_date, lenient_double
+from ..functions.scalars import MONTHS, epoch_date, lenient_date, lenient_double
 
 
 def _long(df: DataFrame, series: Column, date: Column, value: Column) -> DataFrame:
@@ -130,3 +139,88 @@ def _zip_rows(batches: Iterator) -> Iterator:
 def zip_csv(spark: SparkSession, path: str) -> DataFrame:
     """(path, member, row_no, cells) of CSV files inside ZIP files; a file is one row of work."""
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_zip_rows, "path string, member string, row_no long, cells array<string>")
+
+
+def passport_json(spark: SparkSession, path: str, fields: list[str], list_field: str = "seriess") -> DataFrame:
+    """(file, place, fields): the descriptions in {list_field: [{...}]}, in their order from 0; fields that are absent are null, and so is an empty answer's absence of rows."""
+    row = ",".join(f"{f}:string" for f in fields)
+    j = _whole_json(spark, path, f"{list_field} array<struct<{row}>>")
+    return j.select("file", F.posexplode(F.col("j")[list_field]).alias("place", "x")).select("file", "place", *[F.col("x")[f].alias(f) for f in fields])
+
+
+def vintage_dates_json(spark: SparkSession, path: str) -> DataFrame:
+    """(series_id, vintage_date) of {vintage_dates: [...]}; the series is the file's name, and one without vintages has no rows."""
+    j = _whole_json(spark, path, "vintage_dates array<string>")
+    return j.select(F.regexp_replace("file", r"\.[^.]*$", "").alias("series_id"), F.explode("j.vintage_dates").alias("d")).select("series_id", lenient_date(F.col("d")).alias("vintage_date"))
+
+
+def coded_rows_json(spark: SparkSession, path: str, outer: str = "BEAAPI", code: str = "SeriesCode", title: str = "LineDescription", date: str = "TimePeriod", value: str = "DataValue") -> DataFrame:
+    """(series_id, title, obs_date, value) of {outer: {Results: {Data: [...]}}}, Results perhaps a list of one; an Error in place of data is an error.  Rows whose date doesn't parse are left out."""
+    rows = f"Data:array<struct<{code}:string,{title}:string,{date}:string,{value}:string>>,Error:string"
+    raw = spark.read.text(path, wholetext=True).select("value")
+    j = raw.select(F.from_json("value", f"{outer} struct<Results:struct<{rows}>,Error:string>")[outer].alias("one"), F.from_json("value", f"{outer} struct<Results:array<struct<{rows}>>>")[outer].alias("many"))
+    wrong = F.coalesce("one.Error", "one.Results.Error", F.get("many.Results", F.lit(0))["Error"])
+    data = F.coalesce("one.Results.Data", F.get("many.Results", F.lit(0))["Data"])
+    x = j.select(F.explode(F.when(wrong.isNull(), data).otherwise(F.raise_error(F.concat(F.lit("the answer is an error: "), wrong)).cast(f"array<struct<{code}:string,{title}:string,{date}:string,{value}:string>>"))).alias("x"))
+    out = x.select(F.col("x")[code].alias("series_id"), F.col("x")[title].alias("title"), lenient_date(F.col("x")[date], annual=True).alias("obs_date"), lenient_double(F.col("x")[value]).alias("value"))
+    return out.where("obs_date is not null")
+
+
+def meta_rows_json(spark: SparkSession, path: str, series: str) -> DataFrame:
+    """[{description}, [{date: year, value}]]; a second part that is absent or null has no rows."""
+    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", "array<string>").alias("a"))
+    x = raw.select(F.explode(F.from_json(F.try_element_at("a", F.lit(2)), "array<struct<date:string,value:string>>")).alias("x"))
+    return _long(x, F.lit(series), lenient_date(F.col("x.date"), annual=True), lenient_double(F.col("x.value")))
+
+
+def docs_json(spark: SparkSession, path: str) -> DataFrame:
+    """{series: {docs: [{series_code, period: [...], value: [...]}]}}: the lists side by side as far as the shorter goes; periods that don't parse are left out."""
+    schema = "series struct<docs:array<struct<series_code:string,period:array<string>,value:array<string>>>>"
+    d = _whole_json(spark, path, schema).select(F.explode("j.series.docs").alias("d"))
+    both = F.slice(F.arrays_zip(F.col("d.period").alias("p"), F.col("d.value").alias("v")), F.lit(1), F.least(F.size("d.period"), F.size("d.value")))
+    x = d.select(F.coalesce("d.series_code", F.lit("?")).alias("code"), F.explode(both).alias("x"))
+    return _long(x, F.col("code"), lenient_date(F.col("x.p"), annual=True), lenient_double(F.col("x.v"))).where("obs_date is not null")
+
+
+def nested_rows_json(spark: SparkSession, path: str, keys: list[str], date: str = "period", value: str = "value") -> DataFrame:
+    """{response: {data: [{period, value, keys}]}}: series of the key fields."""
+    row = ",".join(f"{f}:string" for f in (date, value, *keys))
+    x = _whole_json(spark, path, f"response struct<data:array<struct<{row}>>>").select(F.explode("j.response.data").alias("x"))
+    return _long(x, F.concat_ws(".", *[F.col("x")[k] for k in keys]), lenient_date(F.col("x")[date], annual=True), lenient_double(F.col("x")[value]))
+
+
+def candles_json(spark: SparkSession, path: str, series: str, at: int = 0, close: int = 4) -> DataFrame:
+    """Pages [[open time in ms, ..., close, ...], ...], a file each: of a day that stands on several pages, or twice on one, the first in order of file and place counts."""
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.from_json("value", "array<array<string>>").alias("a"))
+    x = raw.select("file", F.posexplode("a").alias("place", "k")).select("file", "place", epoch_date(F.floor(F.get("k", F.lit(at)).cast("double") / 1000)).alias("day"), F.get("k", F.lit(close)).alias("v"))
+    first = x.groupBy("day").agg(F.min_by("v", F.struct("file", "place")).alias("v"))
+    return _long(first, F.lit(series), F.col("day"), lenient_double(F.col("v")))
+
+
+def variables_json(spark: SparkSession, path: str) -> DataFrame:
+    """(name, label) of {variables: {name: {label}}}."""
+    return _whole_json(spark, path, "variables map<string,struct<label:string>>").select(F.explode("j.variables").alias("name", "x")).select("name", F.col("x.label").alias("label"))
+
+
+#: How a page announces a turning point.
+ANNOUNCEMENT = r"(?i)([A-Z][a-z]+)\s+(\d{1,2}),\s*(\d{4})\s*\|\s*(?:Determination of the|Announcement of)\s+([A-Z][a-z]+)\s+(\d{4})\s+(?:business cycle\s+)?(peak|trough)"
+
+
+def announcements_html(spark: SparkSession, path: str, pattern: str = ANNOUNCEMENT, at_least: int = 6, most: int = 36) -> DataFrame:
+    """(kind, turn, announced, lag): months from a turning point to the day a page names it, the earliest day if it does so more than once.
+
+    Fewer than at_least of a kind, or a lag outside 0 .. most, mean that another page came: an error.
+    """
+    text = F.regexp_replace("value", r"(?is)<(script|style).*?</\1>", " ")
+    text = F.regexp_replace(F.regexp_replace(text, "<[^>]+>", "|"), "&nbsp;|&#160;|[ \t\r\n]+", " ")
+    text = F.regexp_replace(text, r"(\| ?)+", "|")
+    found = spark.read.text(path, wholetext=True).select(F.explode(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).alias("s"))
+    part = lambda i: F.regexp_extract("s", pattern, i)
+    month = lambda i: F.nullif(F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.substring(part(i), 1, 3))), F.lit(0)).cast("int")
+    number = lambda i: part(i).cast("int")
+    rows = found.select(F.lower(part(6)).alias("kind"), F.make_date(number(5), month(4), F.lit(1)).alias("turn"), F.make_date(number(3), month(1), number(2)).alias("announced"))
+    first = rows.where("turn is not null and announced is not null").groupBy("kind", "turn").agg(F.min("announced").alias("announced"))
+    lag = ((F.year("announced") - F.year("turn")) * 12 + F.month("announced") - F.month("turn")).cast("int")
+    out = first.withColumn("lag", lag).withColumn("n", F.count("*").over(Window.partitionBy("kind")))  # a page's sentences
+    wrong = (F.col("n") < at_least) | ~F.col("lag").between(0, most)
+    return out.withColumn("lag", F.when(~wrong, F.col("lag")).otherwise(F.raise_error(F.lit("not the page of announcements")).cast("int"))).drop("n")
