@@ -47,7 +47,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -162,27 +161,31 @@ def _parts_of(shingles: np.ndarray, counts: np.ndarray, scheme: np.ndarray, eigh
     return (sig << np.uint64(6)) | scheme[owner].astype(np.uint64), np.bincount(owner, minlength=len(counts))
 
 
+def _dealt(shingles: np.ndarray, counts: np.ndarray, link: int, eighths: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Set, need, parts (one run) and number of parts of each set in each of its size classes, by set; the part SHORT where a set is short."""
+    own, more = _schemes(counts, link)
+    some = counts > 0
+    which = np.concatenate([np.flatnonzero(some), np.flatnonzero(some & more)])
+    scheme = np.concatenate([own[some], own[some & more] + 1])
+    order = np.argsort(which, kind="stable")
+    which, scheme = which[order], scheme[order]
+    at = np.cumsum(counts) - counts
+    size = counts[which]
+    rows = np.arange(int(size.sum())) + np.repeat(at[which] - (np.cumsum(size) - size), size)
+    keys, lengths = _parts_of(shingles[rows], size, scheme, eighths)
+    need = lengths - size * (OF - link) // link
+    short = need < 1
+    keys = np.insert(keys, np.cumsum(lengths)[short], np.uint64(SHORT))
+    return which, np.maximum(need, 1), keys.view(np.int64), lengths + short
+
+
 def parts(text: Column, k: int = SHINGLE, link: int = LINK) -> Column:
     """struct(n, node, twin, classes): a text's cells in its size class and perhaps the next, and how many of them a linked set shares; the cell SHORT if that is none."""
     eighths = _eighths(link)
 
     def of_chunk(shingles: np.ndarray, counts: np.ndarray) -> pa.Array:
-        own, more = _schemes(counts, link)
-        some = counts > 0
-        which = np.concatenate([np.flatnonzero(some), np.flatnonzero(some & more)])
-        scheme = np.concatenate([own[some], own[some & more] + 1])
-        order = np.argsort(which, kind="stable")
-        which, scheme = which[order], scheme[order]
-        at = np.cumsum(counts) - counts
-        size = counts[which]
-        rows = np.arange(int(size.sum())) + np.repeat(at[which] - (np.cumsum(size) - size), size)
-        keys, lengths = _parts_of(shingles[rows], size, scheme, eighths)
-        need = lengths - size * (OF - link) // link
-        short = need < 1
-        ends = np.cumsum(lengths)
-        keys = np.insert(keys, ends[short], np.uint64(SHORT))
-        lists = list_array(keys.view(np.int64), lengths + short)
-        both = pa.StructArray.from_arrays([pa.array(np.maximum(need, 1), pa.int32()), lists], names=["need", "parts"])
+        which, need, keys, lengths = _dealt(shingles, counts, link, eighths)
+        both = pa.StructArray.from_arrays([pa.array(need, pa.int32()), list_array(keys, lengths)], names=["need", "parts"])
         bounds = np.searchsorted(which, np.arange(len(counts) + 1))
         return pa.StructArray.from_arrays([*_nodes(shingles, counts), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), both)], names=["n", "node", "twin", "classes"])
 
@@ -291,8 +294,9 @@ def _short_pairs(held: _Nodes, short: DataFrame, k: int, link: int) -> DataFrame
     return own.join(every.withColumnRenamed("node", "b"), "e").where("a <> b").select("a", "b").distinct()
 
 
-def _often(heavy: DataFrame) -> DataFrame:
-    """(often): every part of more holders than OFTEN for each BUFFER of parts that a task reads; some of fewer."""
+def _often(texts: DataFrame, k: int, link: int) -> DataFrame:
+    """(often): every part that more than OFTEN sets hold for each BUFFER of parts that a task reads; some of fewer.  texts has one column."""
+    eighths = _eighths(link)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -302,9 +306,11 @@ def _often(heavy: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(part[n >= OFTEN])], names=["often"])
 
         for b in batches:
-            values = pc.list_flatten(pc.struct_field(pc.list_flatten(b.column(0)), "parts")).to_numpy(zero_copy_only=False)
-            for i in range(0, len(values), BUFFER):
-                held.append(values[i : i + BUFFER])
+            for _, _, w in text_chunks(b.column(0), lower=True):
+                shingles, counts = _chunk_sets(w, k)
+                one = np.zeros(len(counts), dtype=bool)  # of copies that lie together one counts
+                one[np.unique(_nodes(shingles, counts)[1].to_numpy(), return_index=True)[1]] = True
+                held.append(_dealt(shingles[np.repeat(one, counts)], counts[one], link, eighths)[2])
                 size += len(held[-1])
                 if size >= BUFFER:
                     yield found()
@@ -312,16 +318,16 @@ def _often(heavy: DataFrame) -> DataFrame:
         if held:
             yield found()
 
-    return heavy.select("classes").mapInArrow(of, "often long").distinct()
+    return texts.mapInArrow(of, "often long").distinct()
 
 
-def _held_parts(heavy: DataFrame) -> DataFrame:
+def _held_parts(heavy: DataFrame, often: DataFrame) -> DataFrame:
     """(node, need, part, members, cell): parts that different sets hold, with the number and a hash of their holders.
 
     The holders of a part meet in one group, but for parts that very many hold: these are
     dealt out by holder, and counted where they lie.
     """
-    often, n = cut_counted(_often(heavy), "often")
+    often, n = cut_counted(often, "often")
     rows = heavy.select("node", F.explode("classes").alias("c")).select("node", "c.need", F.explode("c.parts").alias("part"))
     rows = rows.join(F.broadcast(often) if n <= BROADCAST_PARTS else often, F.col("part") == F.col("often"), "left")
     rows = rows.select("node", "need", "part", F.when(F.col("often").isNull(), -1).otherwise(F.pmod(F.xxhash64("node"), F.lit(SALTS))).cast("int").alias("salt"))
@@ -343,7 +349,7 @@ def link_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     held = held or _Nodes(docs, doc_id, text, k)
     light = held.light
     heavy = held.once(parts(docs[text], k, link))
-    held_parts = _held_parts(heavy)
+    held_parts = _held_parts(heavy, _often(docs.select(docs[text]), k, link))
     cells = held_parts.withColumn("scheme", F.col("part").bitwiseAND(63).cast("int"))
     # parts with the same members are one cell
     every = cut(cells.groupBy("scheme", "cell", "members", "node", "need").agg(F.countDistinct("part").alias("parts")), "cells")
