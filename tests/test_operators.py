@@ -1,11 +1,12 @@
 """Small fixtures with known answers."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import joins, quality, series, states, stats, vintage
+from tidemark.operators import grids, joins, provenance, quality, series, states, stats, vintage
 
 
 def rows(df, *columns):
@@ -145,3 +146,52 @@ def test_exact_permutation_by_hand(spark):
     got = stats.exact_permutation(spark.createDataFrame([(1, 1.0, True), (2, 2.0, False), (3, 6.0, True), (4, 3.0, False)], "u int, v double, one boolean"), 2, "u", "v", "one").first()
     # sums of two: 3 7 4 8 5 9 of 12; differences -3 1 -2 2 -1 3, observed 1
     assert tuple(got) == (1.0, 6, 1.0)
+
+
+def test_three_of_five_leaks_are_caught(spark):
+    rows = [("a", t, math.exp(0.01 * t + 0.2 * math.sin(t * t))) for t in range(70)] + [("b", t, math.exp(0.02 * t + 0.1 * math.cos(3 * t * t))) for t in range(50)]
+    points = provenance.measured(spark.createDataFrame(rows, "k string, t long, v double"), ["k"], "t", "v", 12, 12)
+    got = {(r["k"], r["leak"]): r for r in provenance.leak_report(points, ["k"], 12, 12, 24).collect()}
+    for k, n in (("a", 70), ("b", 50)):
+        assert [leak for leak in ("L0", "L1", "L2", "L3", "L4", "L5") if got[k, leak]["caught"]] == ["L1", "L2", "L5"]
+        assert all(got[k, leak]["origins"] == n - 12 - 24 and got[k, leak]["first_origin"] == 24 for leak in ("L1", "L2", "L5"))
+        assert abs(got[k, "L0"]["base_gain"]) + abs(got[k, "L3"]["base_gain"]) < 1e-9 < abs(got[k, "L2"]["base_gain"]) and abs(got[k, "L3"]["delta"] - got[k, "L0"]["delta"]) > 1e-9
+    assert got["a", "L1"]["failed"] == "ensemble,ensemble sources" and got["a", "L5"]["failed"] == "recent,recent sources"
+
+
+def test_sets_with_the_same_ends_and_number_are_told_apart(spark):
+    df = spark.createDataFrame([(i, i != 3) for i in range(8)], "i long, there boolean")
+    df = provenance.sources_over(df.withColumn("k", F.lit(0)), ["k"], "i", "s", -3, 0, F.col("there"))
+    whole = {r["i"]: r["ok"] for r in df.select("i", provenance.is_range("s", F.col("i") - 3, F.col("i")).alias("ok")).collect()}
+    assert whole == {0: False, 1: False, 2: False, 3: False, 4: False, 5: False, 6: False, 7: True}
+
+
+def hysteresis(xs, high, low):
+    """Signs with memory, one by one."""
+    out, s = [], 0
+    for x in xs:
+        if x is not None:
+            if x >= high:
+                s = 1
+            elif x <= -high:
+                s = -1
+            elif s * x < low:
+                s = 0
+        out.append(0 if x is None else s)
+    return out
+
+
+def test_cells_of_the_grid_by_brute_force():
+    import numpy as np
+
+    r = random.Random(3)
+    xs = [None if r.random() < 0.1 else round(r.uniform(-1, 1), 3) for _ in range(300)]
+    v = np.array([np.nan if x is None else x for x in xs])
+    high, low = np.array([0.2, 0.5, 0.5, 0.9]), np.array([0.2, 0.1, 0.0, 0.45])
+    got = np.where(np.isnan(v)[:, None], 0, grids.latched(v, high, low))
+    assert [got[:, c].tolist() for c in range(4)] == [hysteresis(xs, h, l_) for h, l_ in zip(high, low, strict=True)]
+    kind, size = grids.runs(np.array([1, 1, 0, 2, 2, 2]), np.array([3, 5, 6, 9, 10, 20]))
+    assert kind.tolist() == [1, 0, 2] and size.tolist() == [3, 3, 12]
+    shapes = [np.array(x) for x in ([1, 1, 9, 9, 6, 2], [1, 2, 9, 3, 6, 3], [3, 1, 4, 3, 2, 4])]
+    assert grids.vote(shapes).tolist() == [1, 1, 9, 3, 6, 8]
+    assert grids.modal(np.array([3, 1, 1, 3, 2]), np.array([5, 5, 5, 5, 7]), np.array([5, 6, 7])).tolist() == [1, 5, 2]
