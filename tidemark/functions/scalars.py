@@ -15,9 +15,10 @@ _FIELDS = {"Y": r"(\d{4})", "y": r"(\d{2})", "m": r"(\d{1,2})", "d": r"(\d{1,2})
 
 
 def lenient_double(text: Column) -> Column:
-    """A number with optional thousands commas; sentinels and what doesn't parse give null."""
+    """A number with optional thousands commas, inf and infinity in any case; sentinels and what else isn't one give null, letters after a number too."""
     clean = F.regexp_replace(F.trim(text), ",", "")
-    return F.when(clean.isin(*SENTINELS), None).otherwise(clean.try_cast("double"))
+    number = clean.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$|(?i)^[+-]?inf(inity)?$")
+    return F.when(~clean.isin(*SENTINELS) & number, clean.try_cast("double"))
 
 
 def excel_date(serial: Column) -> Column:

@@ -25,10 +25,13 @@ def number_tokens(text: Column) -> Column:
 
 
 def defects(pages: DataFrame, html: str) -> DataFrame:
-    """Counts of text defects: doubled spaces and words, space before a mark, stray tags left in text, unbalanced braces."""
+    """Counts of text defects: doubled words, doubled spaces within a line, space before a mark, tags that show as text, control bytes, unbalanced braces."""
     text = visible_text(F.col(html))
+    bare = F.regexp_replace(F.regexp_replace(F.col(html), r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", ""), r"<[^>]*>", "")
     return pages.withColumns(
         {
+            "double_spaces": F.regexp_count(bare, F.lit(r"[^\s] {2,}(?=[^\s])")),
+            "stray_tags": F.regexp_count(text, F.lit(r"(?i)&lt;/?[a-z][a-z0-9]*\b")),
             "double_words": F.regexp_count(text, F.lit(r"(?i)\b(\w+) \1\b")),
             "space_before_mark": F.regexp_count(text, F.lit(r" [,.;:!?]")),
             "control_bytes": F.regexp_count(F.col(html), F.lit(r"[\x00-\x08\x0B\x0C\x0E-\x1F]")),

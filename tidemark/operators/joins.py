@@ -79,18 +79,22 @@ def match_events(a: DataFrame, b: DataFrame, keys: list[str], within: int, t: st
     return lists.select(*keys, F.explode(picked).alias("x")).select(*keys, "x.a", "x.b", "x.d")
 
 
-def forward_return(df: DataFrame, keys: list[str], horizon: int, t: str = "t", v: str = "v") -> DataFrame:
-    """v_{t + horizon} / v_t - 1 where both months are present; exact zeros are left out."""
+def forward_return(df: DataFrame, keys: list[str], horizon: int, t: str = "t", v: str = "v", keep: bool = False) -> DataFrame:
+    """v_{t + horizon} / v_t - 1 where both months are present; exact zeros are left out.  keep: all rows of df, zeros too, null without both prices."""
     later = df.select(*keys, (F.col(t) - horizon).alias(t), F.col(v).alias("later"))
+    if keep:
+        return df.join(later, [*keys, t], "left").withColumn("ret", F.col("later") / F.nullif(F.col(v), F.lit(0.0)) - 1).select(*keys, t, "ret")
     out = df.join(later, [*keys, t]).where(F.col(v) != 0).withColumn("ret", F.col("later") / F.col(v) - 1).where("ret <> 0")
     return out.select(*keys, t, "ret")
 
 
 def prescription_hits(moves: DataFrame, wanted: DataFrame, pair: str, state: str, move: str) -> DataFrame:
-    """(pair, n, hits, unmatched): how often a move has the sign that its pair and state prescribe; unmatched rows are counted."""
+    """(pair, n, hits, unmatched, zeros, missing): how often a move has the sign that its pair and state prescribe; n counts moves other than zero with a prescription, the rest is counted apart: moves without one, zeros and nulls among those with one."""
     joined = moves.join(F.broadcast(wanted.select(F.col(pair), F.col(state), F.col("sign").alias("_sign"))), [pair, state], "left")
-    hit = F.signum(move) == F.col("_sign")
-    return joined.groupBy(pair).agg(F.count("_sign").alias("n"), F.sum(F.when(hit, 1).otherwise(0)).cast("bigint").alias("hits"), F.sum(F.when(F.col("_sign").isNull(), 1).otherwise(0)).cast("bigint").alias("unmatched"))
+    named, m = F.col("_sign").isNotNull(), F.col(move)
+    count = lambda c: F.count(F.when(c, 1))
+    counts = {"n": named & (m != 0), "hits": named & (m != 0) & (F.signum(m) == F.col("_sign")), "unmatched": ~named, "zeros": named & (m == 0), "missing": named & m.isNull()}
+    return joined.groupBy(pair).agg(*[count(c).alias(k) for k, c in counts.items()])
 
 
 def lead_pairs(panel: DataFrame, series: str, max_lag: int, t: str = "t", v: str = "v") -> DataFrame:

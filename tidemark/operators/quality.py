@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .series import over
+
 
 def holes(df: DataFrame, keys: list[str], t: str = "t") -> DataFrame:
     """Months missing between a series' first and last."""
@@ -16,11 +18,13 @@ def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
 
 
-def series_checks(df: DataFrame, keys: list[str], t: str, v: str, at_least: int, starts_by, fresh_from) -> DataFrame:
-    """Rules on each series: enough points, early start, recent end, no null, not frozen over its last points."""
-    return df.groupBy(*keys).agg(
+def series_checks(df: DataFrame, keys: list[str], t: str, v: str, at_least: int, starts_by, fresh_from, last: int = 12) -> DataFrame:
+    """Rules on each series: enough points, early start, recent end, no null, not frozen over its last observed points."""
+    place = F.row_number().over(over(keys, F.col(v).isNull(), F.desc(t)))
+    recent = F.when(F.col("_place") <= last, F.col(v))
+    return df.withColumn("_place", place).groupBy(*keys).agg(
         F.count(v).alias("n"), (F.count(v) >= at_least).alias("enough"), (F.min(t) <= starts_by).alias("early"), (F.max(t) >= fresh_from).alias("fresh"),
-        (F.count(v) == F.count("*")).alias("complete"), (F.countDistinct(v) > 1).alias("moving"),
+        (F.count(v) == F.count("*")).alias("complete"), (F.countDistinct(recent) > 1).alias("moving"),
     )
 
 

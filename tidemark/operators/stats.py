@@ -64,8 +64,8 @@ def _prefix_sums(df: DataFrame, keys: list[str], t: str, x: str, y: str) -> Data
 
 
 def sup_f(df: DataFrame, keys: list[str], t: str, x: str, y: str, trim: float = 0.15) -> DataFrame:
-    """One break in a regression of y on x: where F is greatest, the last old month and F; at least trim of the rows on either side."""
-    sums = _prefix_sums(df, keys, t, x, y)
+    """One break in a regression of y on x: where F is greatest, the last old month, the first new one and F; at least trim of the rows on either side."""
+    sums = _prefix_sums(df, keys, t, x, y).withColumn("new_t", F.lead(t).over(over(keys, t)))
     whole = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
     total = {f"t_{m}": F.max_by(m, "i").over(whole) for m in _MOMENTS} | {"n": F.max("i").over(whole)}
     rows = sums.withColumns(total).withColumn("least", F.greatest(F.lit(3), F.floor(F.col("n") * trim)).cast("bigint"))
@@ -74,7 +74,7 @@ def sup_f(df: DataFrame, keys: list[str], t: str, x: str, y: str, trim: float =
     two = _segment_ssr(F.col("i"), *[F.col(m) for m in _MOMENTS]) + _segment_ssr(F.col("n") - F.col("i"), *[F.col(f"t_{m}") - F.col(m) for m in _MOMENTS])
     scored = rows.withColumns({"one": one, "two": two}).withColumn("f", (F.col("one") - F.col("two")) / 2 / F.nullif(F.col("two") / (F.col("n") - 4), F.lit(0.0)))
     rank = F.row_number().over(over(keys, F.desc("f"), F.asc(t)))
-    return scored.where("f is not null").withColumn("rank", rank).where("rank = 1").select(*keys, F.col(t).alias("break_t"), "f", "n")
+    return scored.where("f is not null").withColumn("rank", rank).where("rank = 1").select(*keys, F.col(t).alias("break_t"), "new_t", "f", "n")
 
 
 def breaks_bic(df: DataFrame, keys: list[str], t: str, x: str, y: str, least: int, most: int) -> DataFrame:
@@ -207,11 +207,12 @@ def tail_share(draws: DataFrame, value: str, observed: Column | float, two_sided
     return draws.agg(((1 + F.sum(F.when(out, 1).otherwise(0))) / (1 + F.count("*"))).alias("p"))
 
 
-def exact_permutation(df: DataFrame, k: int, unit: str, v: str, one: str) -> DataFrame:
+def exact_permutation(df: DataFrame, k: int, unit: str, v: str, one: str, two_sided: bool = True) -> DataFrame:
     """(observed, labellings, p) of the difference in means over all ways to pick k of the units, which are few: each way is a row.
 
     Picks grow by one unit at a time, each later in order than the last, so k of n units
-    make n over k rows and no more; p counts differences as large but for 1e-9.
+    make n over k rows and no more, spread over the tasks after the second pick; p counts
+    differences as large but for 1e-9, in size or (two_sided false) with their sign.
     """
     ordered = F.transform(F.array_sort(F.collect_list(F.struct(F.col(unit).alias("u"), F.col(v).cast("double").alias("x")))), lambda z: z["x"])
     held = df.agg(ordered.alias("xs"), (F.avg(F.when(F.col(one), F.col(v))) - F.avg(F.when(~F.col(one), F.col(v)))).alias("observed"))  # one row
@@ -219,10 +220,12 @@ def exact_permutation(df: DataFrame, k: int, unit: str, v: str, one: str) -> Dat
     for left in range(k, 0, -1):
         later = F.filter(F.sequence(F.lit(0), F.size("xs") - left), lambda i: i > F.col("at"))
         picks = picks.select("xs", "observed", "total", F.explode(later).alias("at")).withColumn("total", F.col("total") + F.get("xs", F.col("at")))
+        picks = picks.repartition(F.xxhash64("at", "total")) if left == k - 1 else picks
     whole = F.aggregate("xs", F.lit(0.0), lambda a, x: a + x)
     diff = F.col("total") / k - (whole - F.col("total")) / F.nullif(F.size("xs") - k, F.lit(0))
-    hit = F.when(F.abs(diff) >= F.abs(F.col("observed")) - 1e-9, 1.0).otherwise(0.0)
-    return picks.repartition(F.col("at")).groupBy("observed").agg(F.count("*").alias("labellings"), F.avg(hit).alias("p"))
+    far = F.abs(diff) >= F.abs(F.col("observed")) - 1e-9 if two_sided else diff >= F.col("observed") - 1e-9
+    hit = F.when(far, 1.0).otherwise(0.0)
+    return picks.groupBy("observed").agg(F.count("*").alias("labellings"), F.avg(hit).alias("p"))
 
 
 def holm(df: DataFrame, keys: list[str], p: str, name: str, m: int | None = None) -> DataFrame:
@@ -279,10 +282,17 @@ def out_of_sample(df: DataFrame, keys: list[str], t: str, x: str, y: str, share:
     return test.groupBy(*keys).agg(F.avg((F.signum("e") == F.signum(y)).cast("double")).alias("hit_rate"), F.sqrt(F.avg((F.col("e") - F.col(y)) * (F.col("e") - F.col(y)))).alias("rmse"))
 
 
+#: Panels whose effects are solved in one step.
+MAX_PANELS = 2000
+
+
 def two_way_effects(z: DataFrame, panel: str, t: str = "t", v: str = "z") -> DataFrame:
-    """(panel, b) of v = c_t + b_panel with sum b = 0, unbalanced: normal equations from co-occurrence sums, one row a pair of panels, solved on the driver (panels are few)."""
+    """(panel, b) of v = c_t + b_panel with sum b = 0, unbalanced: normal equations from co-occurrence sums, one row a pair of panels, solved on the driver: more than MAX_PANELS are an error."""
     import numpy as np
 
+    if (n := z.select(panel).distinct().count()) > MAX_PANELS:
+        raise ValueError(f"{n} panels; at most {MAX_PANELS} are solved at once")
+
     months = z.groupBy(t).agg(F.count("*").alias("n"), F.avg(v).alias("m"))
     rows = z.join(months, t)
     own = rows.groupBy(panel).agg(F.sum(F.col(v) - F.col("m")).alias("r")).orderBy(panel).collect()

@@ -159,7 +159,7 @@ def duplicate_dates(spark, d):
     return Q.duplicates(read(spark, d, "orders").select(F.col("o_custkey").alias("c"), F.to_date("o_orderdate").alias("dy")), ["c", "dy"])
 
 
-@q([MN], "SELECT k, count(v) n, count(v) >= 70 enough, min(t) <= 23945 early, max(t) >= 24018 fresh, count(v) = count(*) complete, count(DISTINCT v) > 1 moving FROM mn GROUP BY k", k="string", n="bigint", enough="boolean", early="boolean", fresh="boolean", complete="boolean", moving="boolean")
+@q([MN], "SELECT k, count(v) n, count(v) >= 70 enough, min(t) <= 23945 early, max(t) >= 24018 fresh, count(v) = count(*) complete, count(DISTINCT CASE WHEN rn <= 12 THEN v END) > 1 moving FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY v IS NULL, t DESC) rn FROM mn) GROUP BY k", k="string", n="bigint", enough="boolean", early="boolean", fresh="boolean", complete="boolean", moving="boolean")
 def series_quality(spark, d):
     return Q.series_checks(mn(spark, d), ["k"], "t", "v", 70, 23945, 24018)
 
@@ -172,10 +172,12 @@ def leaked_sources(spark, d):
     return Q.late_sources(points, "origin", "source", "available")
 
 
-@q("", "SELECT * FROM (VALUES ('1.25', 1.2504, true), ('1.25', 1.26, false), ('3', 2.6, true), ('-0.10', -0.104, true)) z(p, x, ok)", p="string", x="double", ok="boolean")
+@q(["pr AS (SELECT o_orderkey k, CAST(floor(CAST(o_totalprice AS DOUBLE)) + o_orderkey % 3 AS BIGINT) p, CAST(o_totalprice AS DOUBLE) x, o_orderkey % 2 = 0 two FROM orders)"], "SELECT k, abs(CASE WHEN two THEN p + CAST(0.25 AS DOUBLE) ELSE p END - x) <= CASE WHEN two THEN 0.005::DOUBLE ELSE 0.5::DOUBLE END + 1e-12::DOUBLE ok FROM pr", k="bigint", ok="boolean")
 def printed_numbers(spark, d):
-    rows = spark.createDataFrame([("1.25", 1.2504), ("1.25", 1.26), ("3", 2.6), ("-0.10", -0.104)], "p string, x double")
-    return rows.withColumn("ok", Q.printed_matches(F.col("p"), F.col("x")))
+    """Totals printed without places or with two, some of them off."""
+    o = read(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").cast("double").alias("x"))
+    whole = (F.floor("x") + F.col("k") % 3).cast("bigint").cast("string")
+    return o.select("k", Q.printed_matches(F.when(F.col("k") % 2 == 0, F.concat(whole, F.lit(".25"))).otherwise(whole), F.col("x")).alias("ok"))
 
 
 @q("", "SELECT page_id p, len(regexp_extract_all(html, '<a\\s[^>]*href=\"([^\"]*)\"', 1, 'i')) links, len(regexp_extract_all(html, '<p[\\s>]', 0, 'i')) paragraphs FROM pages", p="bigint", links="bigint", paragraphs="bigint")
@@ -195,7 +197,7 @@ def number_tokens(spark, d):
     return read(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("d"), F.size(H.number_tokens(F.col("text"))).alias("n"))
 
 
-@q("", None, p="bigint", words="bigint", double_words="bigint", space_before_mark="bigint", control_bytes="bigint", brace_balance="bigint")
+@q("", None, p="bigint", words="bigint", double_words="bigint", double_spaces="bigint", stray_tags="bigint", space_before_mark="bigint", control_bytes="bigint", brace_balance="bigint")
 def page_defects(spark, d):
     x = H.defects(read(spark, d, "pages"), "html").withColumn("words", F.size(F.split(H.visible_text(F.col("html")), " ")))
     return x.withColumnRenamed("page_id", "p")

@@ -36,23 +36,34 @@ def q(ctes, body: str, **kinds: str):
 
 # --- scalars -------------------------------------------------------------
 
-_RAW = ["1,234.5", " . ", "NA", "-", "12", "abc", "", "-7.25", "1e3"]
-_DATES = [("2020-03-01", "2020-03-01"), ("03/15/2021", "2021-03-15"), ("15-Mar-2020", "2020-03-15"), ("15 mar 2020", "2020-03-15"), ("2020-03", "2020-03-01"), ("Mar-99", "1999-03-01"), ("Mar-07", "2007-03-01"), ("20140506", "2014-05-06"), ("15/03/2020", "2020-03-15"), ("03/15/20", "2020-03-15"), ("2020:03:01", "2020-03-01"), ("2020:03", "2020-03-01"), ("2019Q3", "2019-07-01"), ("2020/Q1", "2020-01-01"), ("2018M07", "2018-07-01"), ("201712", "2017-12-01"), ("190013", None), ("43831", None), ("2020", None), ("2021-02-30", None), ("15.02.2016", None), ("junk", None), ("", None)]
+#: Masks of a number's text, by order key modulo their number: as it is, with commas, words for none, letters behind, a percent sign, an exponent, white space, no digits before the point.
+_NUMBERS = [("CAST(x AS STRING)", "CAST(x AS VARCHAR)", "x"), ("format_number(x, 2)", "format('{:,.2f}', x)", "x"), ("'NA'", "'NA'", "NULL"), ("concat(k, 'd')", "k || 'd'", "NULL"), ("concat(k, 'F')", "k || 'F'", "NULL"), ("concat(k, '%')", "k || '%'", "NULL"), ("concat(' -', k, 'e1 ')", "' -' || k || 'e1 '", "-10.0::DOUBLE * k"), ("concat('.', k % 1000 + 1000)", "'.' || (k % 1000 + 1000)", "TRY_CAST('.' || (k % 1000 + 1000) AS DOUBLE)"), ("concat(k, '.')", "k || '.'", "CAST(k AS DOUBLE)"), ("'-'", "'-'", "NULL")]
 
 
-@q("", "SELECT x, TRY_CAST(CASE WHEN c IN ('', '.', '-', 'NA') THEN NULL ELSE c END AS DOUBLE) v FROM (SELECT x, replace(trim(x), ',', '') c FROM (VALUES " + ", ".join(f"('{x}')" for x in _RAW) + ") z(x))", x="string", v="double")
+@q(["o AS (SELECT o_orderkey k, CAST(o_totalprice AS DOUBLE) x FROM orders)"], f"SELECT k, CASE k % {len(_NUMBERS)} " + " ".join(f"WHEN {i} THEN {v}" for i, (_, _, v) in enumerate(_NUMBERS)) + " END v FROM o", k="bigint", v="double")
 def lenient_cast(spark, d):
-    return spark.createDataFrame([(x,) for x in _RAW], "x string").withColumn("v", S.lenient_double(F.col("x")))
+    o = read(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").cast("double").alias("x"))
+    text = F.expr(f"CASE k % {len(_NUMBERS)} " + " ".join(f"WHEN {i} THEN {t}" for i, (t, _, _) in enumerate(_NUMBERS)) + " END")
+    return o.select("k", S.lenient_double(text).alias("v"))
 
 
-@q("", "SELECT * FROM (VALUES " + ", ".join(f"('{x}', CAST({'NULL' if v is None else repr(v)} AS DATE))" for x, v in _DATES) + ") z(x, v)", x="string", v="date")
+#: Masks of a date's text and what they give, by order key modulo their number.
+_DATES = [("yyyy-MM-dd", "o"), ("MM/dd/yyyy", "o"), ("dd-MMM-yyyy", "o"), ("d MMM yyyy", "o"), ("yyyy-MM", "m"), ("yyyyMMdd", "o"), ("yyyy:MM:dd", "o"), ("yyyy:MM", "m"), ("yyyy'M'MM", "m"), ("yyyyMM", "m"), ("MMM-yy", "m"), ("'no date' yyyy", "NULL"), ("yyyy", "NULL"), ("yyyy-13-dd", "NULL")]
+
+
+@q(["o AS (SELECT o_orderkey k, CAST(o_orderdate AS DATE) o, CAST(date_trunc('month', o_orderdate) AS DATE) m FROM orders)"], f"SELECT k, CAST(CASE k % {len(_DATES)} " + " ".join(f"WHEN {i} THEN {v}" for i, (_, v) in enumerate(_DATES)) + " END AS DATE) v FROM o", k="bigint", v="date")
 def lenient_date(spark, d):
-    return spark.createDataFrame([(x,) for x, _ in _DATES], "x string").withColumn("v", S.lenient_date(F.col("x")))
+    o = read(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.to_date("o_orderdate").alias("o"))
+    text = F.coalesce(*[F.when(F.col("k") % len(_DATES) == i, F.date_format("o", mask)) for i, (mask, _) in enumerate(_DATES)])
+    return o.select("k", S.lenient_date(text).alias("v"))
 
 
-@q("", "SELECT s, CAST(TIMESTAMP '1970-01-01' + to_seconds(s) AS DATE) v, make_date(CAST(floor(x) AS INT), CAST(round((x - floor(x)) * 100) AS INT), 1) w FROM (VALUES (-86400, 1871.1), (0, 1999.12), (1600000000, 2020.05)) z(s, x)", s="bigint", v="date", w="date")
+@q("", "SELECT o_orderkey k, CAST(o_orderdate AS DATE) - 9000 v, CAST(date_trunc('month', o_orderdate) AS DATE) w FROM orders", k="bigint", v="date", w="date")
 def epoch_and_decimal_dates(spark, d):
-    return spark.createDataFrame([(-86400, 1871.1), (0, 1999.12), (1600000000, 2020.05)], "s long, x double").select("s", S.epoch_date(F.col("s")).alias("v"), S.decimal_month(F.col("x")).alias("w"))
+    """Dates as seconds since 1970, some before it, and as numbers YYYY.MM."""
+    day = F.to_date("o_orderdate")
+    o = read(spark, d, "orders").select(F.col("o_orderkey").alias("k"), ((F.unix_date(day) - 9000).cast("long") * 86400 + F.col("o_orderkey") % 86400).alias("s"), (F.year(day) + F.month(day) / 100).alias("x"))
+    return o.select("k", S.epoch_date(F.col("s")).alias("v"), S.decimal_month(F.col("x")).alias("w"))
 
 
 @q("", "SELECT DISTINCT CAST(year(o_orderdate) * 4 + quarter(o_orderdate) - 1 AS BIGINT) qi, CAST(date_trunc('month', o_orderdate) AS DATE) mo, least(CAST(date_trunc('month', o_orderdate) + INTERVAL 2 MONTH + INTERVAL 30 DAY AS DATE), last_day(CAST(date_trunc('month', o_orderdate) + INTERVAL 2 MONTH AS DATE))) av, CAST(date_trunc('month', o_orderdate) AS DATE) <= DATE '1997-06-30' AND last_day(CAST(o_orderdate AS DATE)) >= DATE '1997-03-01' hit FROM orders", qi="bigint", mo="date", av="date", hit="boolean")
@@ -265,9 +276,9 @@ def forward_returns(spark, d):
 _WANTED = [("BUILDING", 0, 1), ("BUILDING", 1, -1), ("MACHINERY", 0, -1), ("MACHINERY", 2, 1), ("FURNITURE", 1, 1), ("FURNITURE", 2, 1)]
 
 
-@q([MK, "w(k, s, sign) AS (VALUES " + ", ".join(f"('{a}', {b}, {c})" for a, b, c in _WANTED) + ")", "f AS (SELECT a.k, a.t % 4 s, b.v / a.v - 1 ret FROM mk a JOIN mk b ON a.k = b.k AND b.t = a.t + 3 WHERE a.v <> 0 AND b.v <> a.v)"], "SELECT f.k, count(w.sign) n, sum(CASE WHEN sign(f.ret) = w.sign THEN 1 ELSE 0 END) hits, sum(CASE WHEN w.sign IS NULL THEN 1 ELSE 0 END) unmatched FROM f LEFT JOIN w ON w.k = f.k AND w.s = f.s GROUP BY 1", k="string", n="bigint", hits="bigint", unmatched="bigint")
+@q([MK, "w(k, s, sign) AS (VALUES " + ", ".join(f"('{a}', {b}, {c})" for a, b, c in _WANTED) + ")", "f AS (SELECT a.k, a.t % 4 s, b.v / a.v - 1 ret FROM mk a JOIN mk b ON a.k = b.k AND b.t = a.t + 3 WHERE a.v <> 0 AND b.v <> a.v UNION ALL SELECT a.k, a.t % 4, NULL FROM mk a WHERE NOT EXISTS (SELECT 1 FROM mk b WHERE b.k = a.k AND b.t = a.t + 3))"], "SELECT f.k, count(*) FILTER (WHERE w.sign IS NOT NULL AND ret <> 0) n, count(*) FILTER (WHERE sign(f.ret) = w.sign) hits, count(*) FILTER (WHERE w.sign IS NULL) unmatched, count(*) FILTER (WHERE w.sign IS NOT NULL AND ret = 0) zeros, count(*) FILTER (WHERE w.sign IS NOT NULL AND ret IS NULL) AS missing FROM f LEFT JOIN w ON w.k = f.k AND w.s = f.s GROUP BY 1", k="string", n="bigint", hits="bigint", unmatched="bigint", zeros="bigint", missing="bigint")
 def prescription_hits(spark, d):
-    moves = J.forward_return(mk(spark, d), ["k"], 3).withColumn("s", (F.col("t") % 4).cast("int"))
+    moves = J.forward_return(mk(spark, d), ["k"], 3, keep=True).withColumn("s", (F.col("t") % 4).cast("int"))
     return J.prescription_hits(moves, spark.createDataFrame(_WANTED, "k string, s int, sign int"), "k", "s", "ret")
 
 
@@ -320,7 +331,7 @@ def fixed_split_parts(spark, d):
     return T.fixed_split(_regression(spark, d), ["k"], F.col("t") >= 23985, "x", "y")
 
 
-@q([MK, _XY, "n AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY t) i, count(*) OVER (PARTITION BY k) n FROM xy)", "b AS (SELECT DISTINCT k, i b, t bt, n FROM n WHERE i >= greatest(3, floor(n * 0.15)) AND n - i >= greatest(3, floor(n * 0.15)))", "f AS (SELECT n.k, b.bt, any_value(b.n) n, regr_syy(y, x) - regr_slope(y, x) * regr_sxy(y, x) one, regr_syy(y, x) FILTER (i <= b) - regr_slope(y, x) FILTER (i <= b) * regr_sxy(y, x) FILTER (i <= b) + regr_syy(y, x) FILTER (i > b) - regr_slope(y, x) FILTER (i > b) * regr_sxy(y, x) FILTER (i > b) two FROM n JOIN b ON n.k = b.k GROUP BY 1, 2)"], "SELECT k, bt break_t, round((one - two) / 2 / (two / (n - 4)), 4) f, n FROM f QUALIFY row_number() OVER (PARTITION BY k ORDER BY (one - two) / 2 / (two / (n - 4)) DESC, bt) = 1", k="string", break_t="bigint", f="double", n="bigint")
+@q([MK, _XY, "n AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY t) i, count(*) OVER (PARTITION BY k) n, lead(t) OVER (PARTITION BY k ORDER BY t) nt FROM xy)", "b AS (SELECT DISTINCT k, i b, t bt, nt, n FROM n WHERE i >= greatest(3, floor(n * 0.15)) AND n - i >= greatest(3, floor(n * 0.15)))", "f AS (SELECT n.k, b.bt, any_value(b.nt) nt, any_value(b.n) n, regr_syy(y, x) - regr_slope(y, x) * regr_sxy(y, x) one, regr_syy(y, x) FILTER (i <= b) - regr_slope(y, x) FILTER (i <= b) * regr_sxy(y, x) FILTER (i <= b) + regr_syy(y, x) FILTER (i > b) - regr_slope(y, x) FILTER (i > b) * regr_sxy(y, x) FILTER (i > b) two FROM n JOIN b ON n.k = b.k GROUP BY 1, 2)"], "SELECT k, bt break_t, nt new_t, round((one - two) / 2 / (two / (n - 4)), 4) f, n FROM f QUALIFY row_number() OVER (PARTITION BY k ORDER BY (one - two) / 2 / (two / (n - 4)) DESC, bt) = 1", k="string", break_t="bigint", new_t="bigint", f="double", n="bigint")
 def sup_f_break(spark, d):
     return T.sup_f(_regression(spark, d), ["k"], "t", "x", "y").withColumn("f", F.round("f", 4))
 
@@ -428,12 +439,16 @@ def permutation_exact(spark, d):
     return T.exact_permutation(v, v.where("one").count(), "u", "v", "one")
 
 
-_PS = [("a", 0.01), ("b", 0.04), ("c", 0.04), ("d", None), ("e", 0.2), ("f", 0.9)]
+#: A nation's p: its share of customers in debt, in tenths of them all, null where its key is divisible by 7.
+_PS = "pv AS (SELECT n_name AS name, CASE WHEN n_nationkey % 7 <> 0 THEN CAST(sum(CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END) AS DOUBLE) / count(*) / 10 END p FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name, n_nationkey)"
 
 
-@q(["pv(name, p) AS (VALUES " + ", ".join(f"('{a}', {b if b is not None else 'CAST(NULL AS DOUBLE)'})" for a, b in _PS) + ")"], "SELECT name, p, CASE WHEN p IS NOT NULL THEN max(least(1, (7 - rn + 1) * p)) OVER (ORDER BY p NULLS LAST, name ROWS UNBOUNDED PRECEDING) END adjusted FROM (SELECT *, row_number() OVER (ORDER BY p NULLS LAST, name) rn FROM pv)", name="string", p="double", adjusted="double")
+@q([_PS], "SELECT name, p, CASE WHEN p IS NOT NULL THEN max(least(1, (30 - rn + 1) * p)) OVER (ORDER BY p NULLS LAST, name ROWS UNBOUNDED PRECEDING) END adjusted FROM (SELECT *, row_number() OVER (ORDER BY p NULLS LAST, name) rn FROM pv)", name="string", p="double", adjusted="double")
 def holm_declared_family(spark, d):
-    return T.holm(spark.createDataFrame(_PS, "name string, p double"), [], "p", "name", 7)
+    c = read(spark, d, "customer").join(read(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    share = F.sum(F.when(F.col("c_acctbal") < 0, 1).otherwise(0)).cast("double") / F.count("*") / 10
+    p = c.groupBy(F.col("n_name").alias("name"), "n_nationkey").agg(share.alias("p")).select("name", F.when(F.col("n_nationkey") % 7 != 0, F.col("p")).alias("p"))
+    return T.holm(p, [], "p", "name", 30)
 
 
 @query(None, k="string", m="int", ssr="double", bic="double", n="bigint")
