@@ -43,8 +43,6 @@ columns stay out.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -58,8 +56,8 @@ LINK, OF = 85, 100
 LEAF = 32
 #: Node lists up to this long are broadcast to pick the sets to verify; longer ones are joined by shuffle.
 BROADCAST_NODES = 1_000_000
-#: A part is dealt out by holder when OFTEN of BUFFER parts that a task reads are this one: of all sets' parts a hundred-thousandth, so the holders of any other part fit into one task.
-OFTEN, BUFFER, SALTS = 20, 2_000_000, 64
+#: A part is dealt out by holder, over SALTS groups, when OFTEN sets of one Arrow batch (BATCH_ROWS texts) hold it; any other part is held by fewer of each batch.
+OFTEN, SALTS = 4, 64
 #: Parts that very many sets hold, up to which they are broadcast to their holders; more are joined by shuffle.
 BROADCAST_PARTS = 300_000
 #: Values in all pivots' sets up to which they are broadcast to their regions; more are joined by shuffle.
@@ -295,30 +293,22 @@ def _short_pairs(held: _Nodes, short: DataFrame, k: int, link: int) -> DataFrame
 
 
 def _often(texts: DataFrame, k: int, link: int) -> DataFrame:
-    """(often): every part that more than OFTEN sets hold for each BUFFER of parts that a task reads; some of fewer.  texts has one column."""
+    """(often): every part that OFTEN sets or more of one Arrow batch hold.  texts has one column."""
     eighths = _eighths(link)
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def found() -> pa.RecordBatch:
-            part, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(part[n >= OFTEN])], names=["often"])
-
-        for b in batches:
-            for _, _, w in text_chunks(b.column(0), lower=True):
-                shingles, counts = _chunk_sets(w, k)
-                one = np.zeros(len(counts), dtype=bool)  # of copies that lie together one counts
-                one[np.unique(_nodes(shingles, counts)[1].to_numpy(), return_index=True)[1]] = True
-                held.append(_dealt(shingles[np.repeat(one, counts)], counts[one], link, eighths)[2])
-                size += len(held[-1])
-                if size >= BUFFER:
-                    yield found()
-                    held, size = [], 0
-        if held:
-            yield found()
-
-    return texts.mapInArrow(of, "often long").distinct()
+    def of(column: pa.Array) -> pa.Array:
+        held = []
+        for _, _, w in text_chunks(column, lower=True):
+            shingles, counts = _chunk_sets(w, k)
+            one = np.zeros(len(counts), dtype=bool)  # of copies that lie together one counts
+            one[np.unique(_nodes(shingles, counts)[1].to_numpy(), return_index=True)[1]] = True
+            held.append(_dealt(shingles[np.repeat(one, counts)], counts[one], link, eighths)[2])
+        part, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.int64),) * 2
+        found = part[n >= OFTEN]
+        return list_array(found, np.append(len(found), np.zeros(max(len(column) - 1, 0), np.int64))[: len(column)])  # all beside the first row
+
+    # the kind of function that parts are made with, so that a task's Python worker serves both
+    return texts.select(F.explode(batch_udf(of, "array<bigint>")(texts[texts.columns[0]])).alias("often")).distinct()
 
 
 def _held_parts(heavy: DataFrame, often: DataFrame) -> DataFrame:
