@@ -7,6 +7,11 @@ by observed(), which each operator expects to have been applied.
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -70,18 +75,80 @@ def median_of_sorted(a: Column) -> Column:
     return F.when(n > 0, (F.get(a, F.floor((n - 1) / 2).cast("int")) + F.get(a, F.floor(n / 2).cast("int"))) / 2)
 
 
-def let(value: Column, use) -> Column:
-    """use(value) with value computed once, however often use mentions it."""
-    return F.get(F.transform(F.array(value), use), 0)
+def sliding(df: DataFrame, keys: list[str], day: str, v: str, days: int, of: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], stretch: int | None = None) -> DataFrame:
+    """(keys, day, out): of(values, first, last) of the observed values of the last ``days`` days up to each day, whose places are first .. last - 1.
+
+    A series is cut into stretches of days, and the days before a stretch that its
+    windows reach into go along with it, so a long series has many tasks and none
+    holds more than a stretch and a window.  Days are whole numbers.
+    """
+    stretch = stretch or 4 * max(days, 1)
+    kinds = dict(df.dtypes)
+    place = lambda c: F.floor(c / stretch).cast("long")
+    rows = df.select(*keys, F.col(day).cast("long").alias("_day"), F.col(v).cast("double").alias("_v"))
+    rows = rows.where("_day is not null").withColumn("_stretch", F.explode(F.sequence(place(F.col("_day")), place(F.col("_day") + days))))
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        at, value = part["_day"].to_numpy(), part["_v"].to_numpy(dtype=float)
+        own = np.unique(at[at // stretch == part["_stretch"].iloc[0]])
+        order = np.argsort(at, kind="stable")
+        order = order[~np.isnan(value[order])]
+        at, value = at[order], value[order]
+        out = pd.DataFrame({day: own, "out": of(value, np.searchsorted(at, own - days, "left"), np.searchsorted(at, own, "right"))})
+        for i, k in enumerate(keys):
+            out.insert(i, k, part[k].iloc[0])
+        return out
+
+    return rows.groupBy(*keys, "_stretch").applyInPandas(run, "".join(f"{k} {kinds[k]}, " for k in keys) + f"{day} long, out double").withColumn(day, F.col(day).cast(kinds[day]))
 
 
 def rolling_mad(df: DataFrame, keys: list[str], day: str, v: str, days: int, at_least: int) -> DataFrame:
     """Column mad: median absolute deviation over the last ``days`` calendar days, null below at_least points or at zero scale."""
-    w = over(keys, day).rangeBetween(-days, 0)
-    deviation = lambda a: let(median_of_sorted(a), lambda mid: let(F.array_sort(F.transform(a, lambda x: F.abs(x - mid))), median_of_sorted))
-    held = df.withColumn("held", F.collect_list(v).over(w))
-    mad = let(F.array_sort("held"), deviation)
-    return held.withColumn("mad", F.when(F.size("held") >= at_least, F.nullif(mad, F.lit(0.0)))).drop("held")
+
+    def of(x: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        out = np.full(len(first), np.nan)
+        for i, (a, b) in enumerate(zip(first, last, strict=True)):
+            if b - a >= max(at_least, 1):
+                held = x[a:b]
+                out[i] = np.median(np.abs(held - np.median(held)))
+        return out
+
+    found = sliding(df, keys, day, v, days, of).select(*keys, day, F.when(~F.isnan("out") & (F.col("out") != 0), F.col("out")).alias("mad"))
+    return df.join(found, [*keys, day], "left")
+
+
+def trailing_quantile(df: DataFrame, keys: list[str], day: str, v: str, days: int, q: float, at_least: int) -> DataFrame:
+    """(keys, day, out): linear quantile of the values of the last ``days`` days, by a sorted window that slides; null below at_least of them."""
+
+    def of(x: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        out, held, a, b = np.full(len(first), np.nan), [], 0, 0
+        for i in range(len(first)):
+            for y in x[b : last[i]].tolist():
+                insort(held, y)
+            for y in x[a : first[i]].tolist():
+                del held[bisect_left(held, y)]
+            a, b = first[i], last[i]
+            if len(held) >= max(at_least, 1):
+                at = (len(held) - 1) * q
+                low = int(at)
+                out[i] = held[low] + (held[min(low + 1, len(held) - 1)] - held[low]) * (at - low)
+        return out
+
+    return sliding(df, keys, day, v, days, of).withColumn("out", F.when(~F.isnan("out"), F.col("out")))
+
+
+def policy_phase(df: DataFrame, keys: list[str], day: str, v: str, back: int = 183, days: int = 3653, q: float = 0.4, at_least: int = 60) -> DataFrame:
+    """(keys, day, phase): -1 where v is above what was known ``back`` days before, 1 where it is below; where they are equal, 1 if it is at most the quantile q of the last ``days`` days, else -1, null with fewer than at_least of these; null without a value back then.
+
+    One row a day; a day's value holds until the next.
+    """
+    rows = df.where(F.col(v).isNotNull()).select(*keys, day, v)
+    w = over(keys, F.col("_at"), F.col("_asks")).rowsBetween(Window.unboundedPreceding, 0)
+    both = rows.select(*keys, F.col(day).alias("_at"), F.lit(0).alias("_asks"), F.col(v).alias("_known"), F.lit(None).cast(dict(df.dtypes)[day]).alias(day), F.lit(None).cast("double").alias(v)).unionByName(rows.select(*keys, (F.col(day) - back).cast(dict(df.dtypes)[day]).alias("_at"), F.lit(1).alias("_asks"), F.lit(None).cast("double").alias("_known"), day, F.col(v).cast("double").alias(v)))
+    asked = both.withColumn("before", F.last("_known", ignorenulls=True).over(w)).where("_asks = 1")
+    tie = asked.join(trailing_quantile(rows, keys, day, v, days, q, at_least), [*keys, day], "left")
+    change = F.when(F.col(v) > F.col("before"), -1.0).when(F.col(v) < F.col("before"), 1.0).when(F.col("before").isNull() | F.col("out").isNull(), None)
+    return tie.select(*keys, day, change.when(F.col(v) <= F.col("out"), 1.0).otherwise(-1.0).alias("phase"))
 
 
 def extrema(df: DataFrame, keys: list[str], half: int, t: str = "t", v: str = "v", kind: str = "max") -> DataFrame:
