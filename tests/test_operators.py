@@ -195,3 +195,60 @@ def test_cells_of_the_grid_by_brute_force():
     shapes = [np.array(x) for x in ([1, 1, 9, 9, 6, 2], [1, 2, 9, 3, 6, 3], [3, 1, 4, 3, 2, 4])]
     assert grids.vote(shapes).tolist() == [1, 1, 9, 3, 6, 8]
     assert grids.modal(np.array([3, 1, 1, 3, 2]), np.array([5, 5, 5, 5, 7]), np.array([5, 6, 7])).tolist() == [1, 5, 2]
+
+
+def test_joins_and_shares_without_a_query(spark):
+    panel = spark.createDataFrame([(k, t) for k, absent in (("a", 4), ("b", 9)) for t in range(14) if t != absent], "k string, t int")
+    assert {r["t"] for r in joins.balanced_panel(panel, "k", 1).collect()} == {1, 2, 6, 7, 11, 12}
+    assert {r["t"] for r in joins.balanced_panel(panel, "k", 1, excluded=(5, 11)).collect()} == {1, 2, 12}
+    points, ranges = spark.createDataFrame([(1, 5.0), (2, 6.0)], "t int, v double"), spark.createDataFrame([(2, 1.0, 2.0), (3, 4.0, 4.5)], "t int, lower double, upper double")
+    assert sorted(tuple(r) for r in joins.merged_target(points, ranges).collect()) == [(1, 5.0), (2, 1.5), (3, 4.25)]
+    a, b = (spark.createDataFrame([(t, float(t * f)) for t in ts], "t int, v double") for f, ts in ((1, (1, 2, 3, 4)), (2, (2, 3, 4, 5))))
+    assert sorted(tuple(r) for r in joins.aligned_routes(a, b).select("t", "a", "b").collect()) == [(2, 2.0, 4.0), (3, 3.0, 6.0), (4, 4.0, 8.0)]
+    with pytest.raises(Exception):
+        joins.aligned_routes(a, b.where("t <> 3")).collect()
+    draws = spark.createDataFrame([(x,) for x in (-3.0, -1.0, 0.0, 2.0)], "x double")
+    assert stats.tail_share(draws, "x", 2.0).first()["p"] == 3 / 5 and stats.tail_share(draws, "x", 2.0, two_sided=False).first()["p"] == 2 / 5
+
+
+def test_windows_cut_into_stretches_are_whole(spark):
+    import numpy as np
+
+    r = random.Random(8)
+    days = sorted(r.sample(range(-500, 1500), 400))
+    values = [None if r.random() < 0.1 else float(r.randint(0, 9)) for _ in days]
+    df = spark.createDataFrame([(0, d, v) for d, v in zip(days, values, strict=True)] + [(0, days[7], 5.0)], "k int, n long, v double")
+    rows = [*zip(days, values, strict=True), (days[7], 5.0)]
+    held = {d: [v for e, v in rows if v is not None and d - 90 <= e <= d] for d in days}
+    mads = {d: float(np.median(np.abs(np.array(x) - np.median(x)))) for d, x in held.items() if len(x) >= 10}
+    got = series.rolling_mad(df, ["k"], "n", "v", 90, 10).collect()
+    assert len(got) == 401 and all(r["mad"] == (mads.get(r["n"]) or None) for r in got)
+    quantiles = {d: float(np.quantile(x, 0.4)) for d, x in held.items() if len(x) >= 10}
+    for stretch in (7, 360, 5000):
+        out = series.sliding(df, ["k"], "n", "v", 90, lambda x, a, b: b - a, stretch)
+        assert {r["n"]: r["out"] for r in out.collect()} == {d: len(x) for d, x in held.items()}
+    found = {r["n"]: r["out"] for r in series.trailing_quantile(df, ["k"], "n", "v", 90, 0.4, 10).collect()}
+    assert all(found[d] == (pytest.approx(quantiles[d]) if d in quantiles else None) for d in days)
+
+
+def test_policy_phase_by_hand(spark):
+    df = spark.createDataFrame([(0, 2.0), (10, 2.0), (20, 3.0), (30, 1.0), (40, 1.0)], "n long, v double").withColumn("k", F.lit("a"))
+    got = {r["n"]: r["phase"] for r in series.policy_phase(df, ["k"], "n", "v", back=10, days=100, q=0.4, at_least=2).collect()}
+    assert got == {0: None, 10: 1.0, 20: -1.0, 30: 1.0, 40: 1.0}
+    few = {r["n"]: r["phase"] for r in series.policy_phase(df, ["k"], "n", "v", back=10, days=100, q=0.4, at_least=3).collect()}
+    assert few[10] is None and few[20] == -1.0
+
+
+def test_numbers_with_letters_behind_are_none(spark):
+    texts = {"12d": None, "5f": None, "5F": None, "1e3": 1000.0, " -1,234.5 ": -1234.5, ".5": 0.5, "5.": 5.0, "inf": float("inf"), "NaN": None, "0x10": None, "1 2": None, "+7": 7.0, "1e": None, "": None}
+    from tidemark.functions import scalars
+
+    got = spark.createDataFrame([(t,) for t in texts], "x string").select("x", scalars.lenient_double(F.col("x")).alias("v")).collect()
+    assert {r["x"]: r["v"] for r in got} == texts
+
+
+def test_one_sided_permutation_and_frozen_series(spark):
+    df = spark.createDataFrame([(1, 1.0, True), (2, 2.0, False), (3, 6.0, True), (4, 3.0, False)], "u int, v double, one boolean")
+    assert stats.exact_permutation(df, 2, "u", "v", "one", two_sided=False).first()["p"] == pytest.approx(sum(d >= 1 for d in (-3, 1, -2, 2, -1, 3)) / 6)
+    frozen = spark.createDataFrame([("a", t, float(min(t, 5))) for t in range(20)] + [("b", t, float(t)) for t in range(20)], "k string, t int, v double")
+    assert {r["k"]: r["moving"] for r in quality.series_checks(frozen, ["k"], "t", "v", 1, 5, 5).collect()} == {"a": False, "b": True}
