@@ -150,10 +150,15 @@ def list_array(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
 
-def batch_udf(of: Callable, kind: str) -> Callable:
-    """arrow_udf over batches of at most BATCH_ROWS rows, as texts may be long."""
+def batch_udf(of: Callable, kind: str, once: bool = False) -> Callable:
+    """arrow_udf over batches of at most BATCH_ROWS rows, as texts may be long.
+
+    once: filters on what it returns stay above it; else Spark works it out twice, for
+    the filter and for the rows that pass, with two Python workers a task.
+    """
     batch_rows(SparkSession.active())
-    return F.arrow_udf(of, kind)
+    made = F.arrow_udf(of, kind)
+    return made.asNondeterministic() if once else made
 
 
 def batch_rows(spark: SparkSession) -> None:

@@ -110,7 +110,7 @@ def _measure(text: pa.Array) -> pa.Array:
 
 def measures(docs: DataFrame, text: str = "text") -> Column:
     """The base measures of a text column, as one struct."""
-    return batch_udf(_measure, MEASURE_TYPE)(docs[text])
+    return batch_udf(_measure, MEASURE_TYPE, once=True)(docs[text])
 
 
 def base_failed(m: Column) -> Column:
