@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import grids, joins, provenance, quality, series, states, stats, vintage
+from tidemark.operators import grids, joins, order, provenance, quality, series, states, stats, vintage
 
 
 def rows(df, *columns):
@@ -252,3 +252,16 @@ def test_one_sided_permutation_and_frozen_series(spark):
     assert stats.exact_permutation(df, 2, "u", "v", "one", two_sided=False).first()["p"] == pytest.approx(sum(d >= 1 for d in (-3, 1, -2, 2, -1, 3)) / 6)
     frozen = spark.createDataFrame([("a", t, float(min(t, 5))) for t in range(20)] + [("b", t, float(t)) for t in range(20)], "k string, t int, v double")
     assert {r["k"]: r["moving"] for r in quality.series_checks(frozen, ["k"], "t", "v", 1, 5, 5).collect()} == {"a": False, "b": True}
+
+
+def test_orders_of_links_and_episodes(spark):
+    leads = spark.createDataFrame([("a", "b", 2), ("b", "a", -2), ("b", "c", 1), ("c", "b", -1), ("a", "c", -3), ("c", "a", 3)], "i string, j string, lead long")
+    r = order.transitivity(leads).first()
+    assert (r["triples"], r["violations"], r["rate"]) == (3, 3, 1.0)  # a before b before c before a, from each of them on
+    assert {r["i"]: r["score"] for r in order.lead_scores(leads).collect()} == {"a": -0.5, "b": -0.5, "c": 1.0}
+    turns = spark.createDataFrame([(e, k, k[0], t) for e, ts in ((1, (1, 2, 3, 4)), (2, (4, 3, 2, 1)), (3, (1, 1, 5))) for k, t in zip(("a1", "b1", "c1", "d1"), ts, strict=False)], "e int, k string, g string, t long")
+    assert [(r["a"], r["b"], r["n"], round(r["rho"], 6)) for r in order.agreement(turns, "e", "k", "t").collect()] == [(1, 2, 4, -1.0)]
+    assert {r["k"]: (r["median"], r["episodes"], r["spread"]) for r in order.median_ranks(turns, "e", "k", "t", 4).collect()}["c1"] == (3.0, 3, 2.0)
+    declared = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3), ("d", 4)], "g string, p int")
+    assert {r["e"]: (r["blocks"], round(r["rho"], 6), r["exact"]) for r in order.block_order(turns, "e", "g", "t", declared, "p").collect()} == {1: (4, 1.0, True), 2: (4, -1.0, False)}
+    assert {r["e"]: (r["lead"], r["first"]) for r in order.precedence(turns, "e", "k", "t", "b1", "c1").collect()} == {1: (1, True), 2: (-1, False), 3: (4, True)}
