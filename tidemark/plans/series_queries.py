@@ -490,11 +490,17 @@ def permutation_rank(spark, d):
     return T.permutation_rank_p(x.select("t", F.col("v").alias("a")).join(y.select("t", F.col("v").alias("b")), "t"), 199, "perm", "t", "a", "b")
 
 
-@query(None, k="string", t="bigint")
+_FALLS = "st AS (SELECT k, t, row_number() OVER (PARTITION BY k ORDER BY t) rn FROM (SELECT *, lag(two) OVER (PARTITION BY k ORDER BY t) bf FROM (SELECT k, t, coalesce(t - lag(t, 2) OVER w = 2 AND v < lag(v) OVER w AND lag(v) OVER w < lag(v, 2) OVER w, false) two FROM mn WINDOW w AS (PARTITION BY k ORDER BY t))) WHERE two AND NOT coalesce(bf, false))"
+
+
+@q([MN, _FALLS], "WITH RECURSIVE g AS (SELECT k, rn, t kept FROM st WHERE rn = 1 UNION ALL SELECT st.k, st.rn, CASE WHEN st.t - g.kept >= 6 THEN st.t ELSE g.kept END FROM g JOIN st ON st.k = g.k AND st.rn = g.rn + 1) SELECT DISTINCT k, kept t FROM g", k="string", t="bigint")
 def spaced_starts(spark, d):
     return J.greedy_spacing(W.run_starts(mn(spark, d), ["k"]), ["k"], 6)
 
 
-@query(None, u="bigint", a="bigint", b="bigint", d="bigint")
+_MATCH = [x.replace("'error'", "'signup'") for x in _SIG[:2]] + ["pr AS (SELECT a.u, a.t a, b.t b, abs(a.t - b.t) d, row_number() OVER (PARTITION BY a.u ORDER BY abs(a.t - b.t), a.t, b.t) rn FROM sg a JOIN ev b ON a.u = b.u AND abs(a.t - b.t) <= 12)"]
+
+
+@q(_MATCH, "WITH RECURSIVE g AS (SELECT u, rn, a, b, d, true took, [a] ua, [b] ub FROM pr WHERE rn = 1 UNION ALL SELECT z.u, z.rn, z.a, z.b, z.d, z.ok, CASE WHEN z.ok THEN list_append(z.ua, z.a) ELSE z.ua END, CASE WHEN z.ok THEN list_append(z.ub, z.b) ELSE z.ub END FROM (SELECT p.*, g.ua, g.ub, NOT list_contains(g.ua, p.a) AND NOT list_contains(g.ub, p.b) ok FROM g JOIN pr p ON p.u = g.u AND p.rn = g.rn + 1) z) SELECT u, a, b, d FROM g WHERE took", u="bigint", a="bigint", b="bigint", d="bigint")
 def matched_events(spark, d):
     return J.match_events(_hours(spark, d, "signup"), _hours(spark, d, "purchase"), ["u"], 12)
