@@ -226,3 +226,29 @@ def test_ties_go_to_the_least_ids():
     score, ids = np.array([5, 5, 5, 9, 0, 5]), np.array([7, 3, 9, 8, 1, 0])
     best = search.best_places(score, ids, np.array([True, True, True, True, True, False]), 3)
     assert sorted(best.tolist()) == [1, 3, 5]
+
+
+def test_a_large_row_of_the_index_is_read_alone(spark, monkeypatch):
+    import pyarrow.parquet as pq
+
+    from tidemark.llm import _common
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(key)
+    docs, vocabulary = corpus(400, 5)
+    try:
+        monkeypatch.setattr(search, "SHARD_BYTES", 3000)
+        monkeypatch.setattr(_common, "CHUNK_BYTES", 1000)
+        monkeypatch.setattr(_common, "BATCH_BYTES", 2000, raising=False)  # of a shard's 8 bytes a key and more
+        index = search.build_index(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1))
+        files = [pq.ParquetFile(f.removeprefix("file:").replace("///", "/")).metadata for f in index.shards.inputFiles()]
+        groups = [m.row_group(k).num_rows for m in files for k in range(m.num_row_groups)]
+        assert len(groups) > 8 and set(groups) == {1}
+
+        def rows(batches):
+            yield from (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches)
+
+        assert {r["n"] for r in index.shards.mapInArrow(rows, "n long").collect()} == {1}
+        assert sorted((tuple(r) for r in search.search(index, spark.createDataFrame([(1, vocabulary[0])], "item_id long, text string")).collect()), key=str) == ranked(docs, [(1, vocabulary[0])])
+    finally:
+        spark.conf.set(key, held)

@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 500_000
 #: Rows of an Arrow batch at most.
 BATCH_ROWS = 1000
+#: Bytes of an Arrow batch of rows that are large themselves, until which it takes another row.
+BATCH_BYTES = 4_000_000
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -168,6 +170,13 @@ def batch_rows(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def batch_bytes(spark: SparkSession) -> None:
+    """Let the session's Arrow batches end at BATCH_BYTES, where they end later; a larger row is a batch of its own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -187,11 +196,15 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/tidemark/{what}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, what: str = "cut") -> DataFrame:
-    """df written to the shared folder as Parquet and read back: lineage ends here, and lost executors cost nothing before it."""
+def cut(df: DataFrame, what: str = "cut", alone: bool = False) -> DataFrame:
+    """df written to the shared folder as Parquet and read back: lineage ends here, and lost executors cost nothing before it.
+
+    alone: each row is a row group; else Parquet's writer holds a hundred rows before
+    it looks at their size, and the reader as many, whatever a row takes.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, what)
-    df.write.parquet(path)
+    (df.write.option("parquet.block.row.count.limit", "1") if alone else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

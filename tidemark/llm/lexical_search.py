@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import Words, batch_rows, cut, drop_cut, list_array, table, text_chunks
+from ._common import Words, batch_bytes, batch_rows, cut, drop_cut, list_array, table, text_chunks
 
 #: Bytes of text of a shard; a longer document is a shard of its own.
 SHARD_BYTES = 6_000_000
@@ -107,6 +107,7 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """The index of all documents, in the shared folder."""
     rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
     batch_rows(rows.sparkSession)
+    batch_bytes(rows.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = total = 0
@@ -134,7 +135,7 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         if parts:
             yield _shard(parts, documents, terms)
 
-    return Index(cut(rows.mapInArrow(build, SHARD), "postings"), documents, terms)
+    return Index(cut(rows.mapInArrow(build, SHARD), "postings", alone=True), documents, terms)
 
 
 def weight(documents: int, frequency: int) -> int:
