@@ -143,6 +143,16 @@ def test_a_groups_fence_moves_with_its_distribution(spark, measure):
         assert fence(60, 20)["mid"] < fence(60, 90)["mid"] <= fence(60, 300)["mid"]
 
 
+def test_fences_of_counts_are_one_plan_of_few_steps(spark):
+    """What the driver plans, compiles and keeps of the tasks doesn't come three times, for the sketches inside, outside and above 0."""
+    m = measured(spark, [("a", 1, 40), ("b", 3, 60)], "n_symbols").withColumn("inside", F.col("source") == "a")
+    counts = [(k, quality_rules._value(F.col("m"), k)) for k in quality_rules.COUNTS]
+    fences = quality_rules.count_fences(quality_rules.cut(quality_rules.sketches(m, counts, ("lang", "source", "inside"))))
+    plan = fences._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"\bExchange\b", plan)) <= 20 and len(re.findall(r"\bHashAggregate\b", plan)) <= 30
+    assert {r["t_source"] for r in fences.collect() if r["t_symbols"]["high"] > 0} == {"a", "b"}
+
+
 @pytest.mark.parametrize("measure", list(quality_rules.COUNTS))
 def test_each_count_rejects_what_its_group_does_not_have(spark, measure):
     num, den = quality_rules.MEASURES[measure]

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import GOLDEN, batch_udf, cut, drop_cut, mix64, per_text, table, text_chunks, windows
+from ._common import GOLDEN, batch_udf, cut, cut_counted, drop_cut, mix64, per_text, table, text_chunks, windows
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MEASURE_TYPE = "struct<n_words:bigint,word_chars:bigint,n_symbols:bigint,n_dup_lines:bigint,n_repeat_words:bigint,n_lines:bigint>"
@@ -161,9 +161,8 @@ def _merged(sketch: DataFrame, keys: list[str], above: DataFrame | None, prior:
     return own.unionByName(groups.join(share, same).select(*own.columns)).groupBy(*keys, "measure", "bucket").agg(F.sum("w").alias("w"))
 
 
-def _levels(sketch: DataFrame, above: DataFrame | None, prior: int, groups: DataFrame, first: int | None = None) -> DataFrame:
-    """Sketches of the groups, merged with their languages', the corpus's and the one above, which counts for first documents."""
-    corpus = _merged(sketch, [], above, prior if first is None else first, groups)
+def _levels(sketch: DataFrame, corpus: DataFrame, prior: int, groups: DataFrame) -> DataFrame:
+    """Sketches of the groups, merged with their languages' and the corpus's."""
     return _merged(sketch, ["lang", "source"], _merged(sketch, ["lang"], corpus, prior, groups), prior, groups)
 
 
@@ -175,7 +174,7 @@ def _quantile(q: int, upto: str, total: str) -> Column:
 def spread_fences(sketch: DataFrame, prior: int = PRIOR) -> DataFrame:
     """(t_lang, t_source, t_word_len): mid, low and high of word length, and size, the median length in words, of each group."""
     by = Window.partitionBy("lang", "source", "measure")
-    ranked = _levels(sketch, None, prior, sketch).withColumn("upto", F.sum("w").over(by.orderBy("bucket"))).withColumn("total", F.sum("w").over(by))
+    ranked = _levels(sketch, _merged(sketch, [], None, prior), prior, sketch).withColumn("upto", F.sum("w").over(by.orderBy("bucket"))).withColumn("total", F.sum("w").over(by))
     read = ranked.groupBy("lang", "source", "measure").agg(*[_quantile(q, "upto", "total").alias(f"q{q}") for q in (25, 50, 75)])
     of = lambda k, q: F.max(F.when(F.col("measure") == k, F.col(q)))
     wide = read.groupBy("lang", "source").agg(*[of("word_len", f"q{q}").alias(f"q{q}") for q in (25, 50, 75)], of("n_words", "q50").alias("size"))
@@ -190,23 +189,39 @@ def within_spread(m: Column, t: Column) -> Column:
     return (v <= t["mid"] + (t["high"] - t["mid"]) * wider) & (v >= t["mid"] + (t["low"] - t["mid"]) * wider)
 
 
+def _sided(side: Column) -> Column:
+    return F.concat(side, F.col("measure"))
+
+
+def count_levels(sketch: DataFrame, prior: int = PRIOR) -> DataFrame:
+    """(lang, source, measure, bucket, w): merged sketches of each count of documents inside (i) and outside (o) and of its values above 0 inside (t), a letter before the measure; sketch has a key inside.
+
+    All three are merged in one go: each step that they share would be planned, dealt
+    and compiled three times else.
+    """
+    sides = F.when(~F.col("inside"), F.array(F.lit("o"))).when(F.col("bucket") > 0, F.array(F.lit("i"), F.lit("t"))).otherwise(F.array(F.lit("i")))
+    sided = sketch.withColumn("side", F.explode(sides)).select("lang", "source", _sided(F.col("side")).alias("measure"), "bucket", "n")
+    groups = sketch.select("lang", "source", "measure").distinct().select("lang", "source", F.explode(F.array(*[_sided(F.lit(x)) for x in "iot"])).alias("measure"))
+    own = _merged(sided, [], None, prior)
+    first, rest = F.substring("measure", 1, 1), F.expr("substring(measure, 2)")
+    core = own.where(first == "i")
+    above = core.withColumn("w", prior * F.floor(F.col("w") * F.lit(float(SCALE)) / F.sum("w").over(Window.partitionBy("measure")))).withColumn("measure", F.concat(F.lit("o"), rest))
+    nothing = own.sparkSession.createDataFrame([(f"t{k}", 0, ZEROS * SCALE) for k in COUNTS], "measure string, bucket int, w long")
+    corpus = own.unionByName(above).unionByName(nothing).groupBy("measure", "bucket").agg(F.sum("w").alias("w"))
+    return _levels(sided, corpus, prior, groups)
+
+
 def count_fences(sketch: DataFrame, prior: int = PRIOR) -> DataFrame:
     """(t_lang, t_source, t_symbols, ...): marks (values from it on are more frequent outside) and high of each count; sketch has a key inside."""
-    core = sketch.where("inside").drop("inside")
-    inside = _levels(core, None, prior, sketch)
-    outside = _levels(sketch.where("not inside").drop("inside"), _merged(core, [], None, prior), prior, sketch)
     keys = ["lang", "source", "measure"]
-    sides = [x.select(*keys, "bucket", *[(F.col("w") if k == side else F.lit(0)).cast("double").alias(side) for side in "io"]) for k, x in (("i", inside), ("o", outside))]
-    both = sides[0].unionAll(sides[1]).groupBy(*keys, "bucket").agg(F.sum("i").alias("i"), F.sum("o").alias("o"))
+    levels = count_levels(sketch, prior).select("lang", "source", F.substring("measure", 1, 1).alias("side"), F.expr("substring(measure, 2)").alias("measure"), "bucket", "w")
+    of = lambda side, kind: F.coalesce(F.sum(F.when(F.col("side") == side, F.col("w").cast(kind))), F.lit(0).cast(kind)).alias(side)
+    every = levels.groupBy(*keys, "bucket").agg(of("i", "double"), of("o", "double"), of("t", "long"))
     by = Window.partitionBy(*keys)
     down, real = by.orderBy(F.desc("bucket")), F.col("bucket") > 0
-    ranked = both.withColumns({"all_i": F.sum("i").over(by), "all_o": F.sum("o").over(by), "from_i": F.sum("i").over(down), "from_o": F.sum("o").over(down)})
+    ranked = every.withColumns({"all_i": F.sum("i").over(by), "all_o": F.sum("o").over(by), "total": F.sum("t").over(by), "from_i": F.sum("i").over(down), "from_o": F.sum("o").over(down), "upto": F.sum("t").over(by.orderBy("bucket"))})
     marks = real & (F.col("from_o") >= F.lit(SHARE) * F.col("all_o")) & (F.col("from_o") * F.col("all_i") >= F.lit(float(LIFT)) * F.col("from_i") * F.col("all_o"))
-    marked = ranked.groupBy(*keys).agg(F.min(F.when(marks, _bucket_floor(F.col("bucket")))).cast("double").alias("marks"))
-    nothing = sketch.select("measure", F.lit(0).alias("bucket"), F.lit(1).cast("long").alias("w")).distinct()
-    some = _levels(core.where(real), nothing, prior, sketch, ZEROS).withColumns({"upto": F.sum("w").over(by.orderBy("bucket")), "total": F.sum("w").over(by)})
-    tails = some.groupBy(*keys).agg(_quantile(25, "upto", "total").alias("q25"), _quantile(75, "upto", "total").alias("q75"))
-    read = marked.withColumns({"q25": F.lit(None).cast("double"), "q75": F.lit(None).cast("double")}).unionByName(tails.withColumn("marks", F.lit(None).cast("double"))).groupBy(*keys).agg(*[F.max(c).alias(c) for c in ("marks", "q25", "q75")])
+    read = ranked.groupBy(*keys).agg(F.min(F.when(marks, _bucket_floor(F.col("bucket")))).cast("double").alias("marks"), _quantile(25, "upto", "total").alias("q25"), _quantile(75, "upto", "total").alias("q75"))
     high = F.col("q75") + FENCE * F.greatest(F.col("q75") - F.col("q25"), _width(F.col("q75")))
     fence = F.struct("marks", high.alias("high"))
     wide = read.groupBy("lang", "source").agg(*[F.first(F.when(F.col("measure") == k, fence), ignorenulls=True).alias(f"t_{k}") for k in COUNTS])
@@ -220,8 +235,8 @@ def within_counts(m: Column, t: dict[str, Column]) -> Column:
 
 
 def _small(limits: DataFrame, what: str) -> DataFrame:
-    limits = cut(limits, what)
-    return F.broadcast(limits) if limits.count() <= BROADCAST_GROUPS else limits
+    limits, groups = cut_counted(limits, what)
+    return F.broadcast(limits) if groups <= BROADCAST_GROUPS else limits
 
 
 def _joined(rows: DataFrame, limits: DataFrame) -> DataFrame:
