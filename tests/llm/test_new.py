@@ -233,12 +233,11 @@ def test_a_large_row_of_the_index_is_read_alone(spark, monkeypatch):
 
     from tidemark.llm import _common
 
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    held = spark.conf.get(key)
+    held = {k: spark.conf.get(k) for k in ("spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.execution.arrow.maxRecordsPerBatch")}
     docs, vocabulary = corpus(400, 5)
     try:
         monkeypatch.setattr(search, "SHARD_BYTES", 3000)
-        monkeypatch.setattr(_common, "CHUNK_BYTES", 1000)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
         monkeypatch.setattr(_common, "BATCH_BYTES", 2000, raising=False)  # of a shard's 8 bytes a key and more
         index = search.build_index(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1))
         files = [pq.ParquetFile(f.removeprefix("file:").replace("///", "/")).metadata for f in index.shards.inputFiles()]
@@ -251,4 +250,5 @@ def test_a_large_row_of_the_index_is_read_alone(spark, monkeypatch):
         assert {r["n"] for r in index.shards.mapInArrow(rows, "n long").collect()} == {1}
         assert sorted((tuple(r) for r in search.search(index, spark.createDataFrame([(1, vocabulary[0])], "item_id long, text string")).collect()), key=str) == ranked(docs, [(1, vocabulary[0])])
     finally:
-        spark.conf.set(key, held)
+        for k, v in held.items():
+            spark.conf.set(k, v)
