@@ -153,6 +153,16 @@ def test_fences_of_counts_are_one_plan_of_few_steps(spark):
     assert {r["t_source"] for r in fences.collect() if r["t_symbols"]["high"] > 0} == {"a", "b"}
 
 
+def test_fences_of_counts_start_no_python_rows(spark):
+    sketch = spark.range(3).select(F.lit("en").alias("lang"), F.lit("a").alias("source"), (F.col("id") < 2).alias("inside"), F.lit("symbols").alias("measure"), F.col("id").cast("int").alias("bucket"), F.lit(5).cast("long").alias("n"))
+    levels = quality_rules.count_levels(sketch)
+    assert "ExistingRDD" not in levels._jdf.queryExecution().executedPlan().toString()  # rows that come from Python
+    got = {(r["measure"], r["bucket"]): r["w"] for r in levels.collect()}
+    # 4 documents of value 0 and 5 of value 1 above the language and the group, whose own 5 count in full: 5 + 100 * (5 + 100 * 5 / 9) / 105
+    assert got["tsymbols", 1] / quality_rules.SCALE == pytest.approx(5 + 100 * (5 + 500 / 9) / 105, rel=1e-3)
+    assert got["tsymbols", 0] / quality_rules.SCALE == pytest.approx(100 * (400 / 9) / 105, rel=1e-3)
+
+
 @pytest.mark.parametrize("measure", list(quality_rules.COUNTS))
 def test_each_count_rejects_what_its_group_does_not_have(spark, measure):
     num, den = quality_rules.MEASURES[measure]

@@ -8,10 +8,12 @@ bytes, so byte runs and code point runs are the same words.  Word hashes are
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -152,14 +154,30 @@ def list_array(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
 
-def batch_udf(of: Callable, kind: str, once: bool = False) -> Callable:
+def give_back() -> None:
+    """Return to the system what Arrow and malloc hold unused."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc alone
+        trim(0)
+
+
+def batch_udf(of: Callable, kind: str, once: bool = False, lean: bool = False) -> Callable:
     """arrow_udf over batches of at most BATCH_ROWS rows, as texts may be long.
 
     once: filters on what it returns stay above it; else Spark works it out twice, for
     the filter and for the rows that pass, with two Python workers a task.
+    lean: a batch's memory goes back when it is done; else workers hold it while later
+    stages run in the JVM alone.
     """
     batch_rows(SparkSession.active())
-    made = F.arrow_udf(of, kind)
+
+    @wraps(of)
+    def then_less(*columns):
+        out = of(*columns)
+        give_back()
+        return out
+
+    made = F.arrow_udf(then_less if lean else of, kind)
     return made.asNondeterministic() if once else made
 
 

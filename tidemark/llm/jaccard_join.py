@@ -115,7 +115,7 @@ def sets(text: Column, k: int = SHINGLE) -> Column:
         shingles, counts = _batch(t, k)
         return pa.StructArray.from_arrays([*_nodes(shingles, counts), list_array(shingles.view(np.int64), counts)], names=["n", "node", "twin", "shingles"])
 
-    return batch_udf(of, SET_TYPE, once=True)(text)
+    return batch_udf(of, SET_TYPE, once=True, lean=True)(text)
 
 
 def nodes(text: Column, k: int = SHINGLE) -> Column:
@@ -125,7 +125,7 @@ def nodes(text: Column, k: int = SHINGLE) -> Column:
         found = [pa.StructArray.from_arrays(_nodes(s, c), names=["n", "node", "twin"]) for s, c in (_chunk_sets(w, k) for _, _, w in text_chunks(t, lower=True))]
         return pa.concat_arrays(found) if found else pa.array([], pa.struct([(c, pa.int64()) for c in ("n", "node", "twin")]))
 
-    return batch_udf(of, NODE_TYPE, once=True)(text)
+    return batch_udf(of, NODE_TYPE, once=True, lean=True)(text)
 
 
 def _schemes(n: np.ndarray, link: int) -> tuple[np.ndarray, np.ndarray]:
@@ -191,7 +191,7 @@ def parts(text: Column, k: int = SHINGLE, link: int = LINK) -> Column:
         chunks = [of_chunk(*_chunk_sets(w, k)) for _, _, w in text_chunks(t, lower=True)]
         return pa.concat_arrays(chunks) if chunks else of_chunk(np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
-    return batch_udf(of, PART_TYPE, once=True)(text)
+    return batch_udf(of, PART_TYPE, once=True, lean=True)(text)
 
 
 class _Nodes:
@@ -308,7 +308,7 @@ def _often(texts: DataFrame, k: int, link: int) -> DataFrame:
         return list_array(found, np.append(len(found), np.zeros(max(len(column) - 1, 0), np.int64))[: len(column)])  # all beside the first row
 
     # the kind of function that parts are made with, so that a task's Python worker serves both
-    return texts.select(F.explode(batch_udf(of, "array<bigint>")(texts[texts.columns[0]])).alias("often")).distinct()
+    return texts.select(F.explode(batch_udf(of, "array<bigint>", lean=True)(texts[texts.columns[0]])).alias("often")).distinct()
 
 
 def _held_parts(heavy: DataFrame, often: DataFrame) -> DataFrame:

@@ -355,7 +355,7 @@ def encode(text: Column, spark: SparkSession, model: str = MODEL, dropout: float
         offsets = np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int32)
         return pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids), pa.int32())), pa.array(same, pa.bool_())], names=["ids", "lossless"])
 
-    return batch_udf(of, RESULT)(text)
+    return batch_udf(of, RESULT, lean=True)(text)
 
 
 def decode(ids: Column, spark: SparkSession, model: str = MODEL) -> Column:

@@ -110,7 +110,7 @@ def _measure(text: pa.Array) -> pa.Array:
 
 def measures(docs: DataFrame, text: str = "text") -> Column:
     """The base measures of a text column, as one struct."""
-    return batch_udf(_measure, MEASURE_TYPE, once=True)(docs[text])
+    return batch_udf(_measure, MEASURE_TYPE, once=True, lean=True)(docs[text])
 
 
 def base_failed(m: Column) -> Column:
@@ -206,7 +206,9 @@ def count_levels(sketch: DataFrame, prior: int = PRIOR) -> DataFrame:
     first, rest = F.substring("measure", 1, 1), F.expr("substring(measure, 2)")
     core = own.where(first == "i")
     above = core.withColumn("w", prior * F.floor(F.col("w") * F.lit(float(SCALE)) / F.sum("w").over(Window.partitionBy("measure")))).withColumn("measure", F.concat(F.lit("o"), rest))
-    nothing = own.sparkSession.createDataFrame([(f"t{k}", 0, ZEROS * SCALE) for k in COUNTS], "measure string, bucket int, w long")
+    # rows of literals: createDataFrame has executors start Python workers of a second kind, with a parent that stays
+    zeros = F.array(*[F.struct(F.lit(f"t{k}").alias("measure"), F.lit(0).alias("bucket"), F.lit(ZEROS * SCALE).cast("long").alias("w")) for k in COUNTS])
+    nothing = own.sparkSession.range(0, 1, 1, 1).select(F.explode(zeros).alias("z")).select("z.*")
     corpus = own.unionByName(above).unionByName(nothing).groupBy("measure", "bucket").agg(F.sum("w").alias("w"))
     return _levels(sided, corpus, prior, groups)
 
