@@ -255,6 +255,16 @@ def test_contamination_of_clashing_columns_and_shuffled_joins(spark, monkeypatch
     assert clean.columns == docs.columns and sorted(r["doc_id"] for r in clean.collect()) == [1, 3, 4]
 
 
+def test_words_of_the_benchmark_are_the_same_whatever_the_character(spark):
+    chars = [chr(c) for c in (*range(0x3000), *range(0xD7F0, 0xD800), *range(0xE000, 0xE010), *range(0xFFF0, 0x10010), *range(0x10FFF0, 0x110000))]
+    texts = ["".join(f"{c}Ab{c}{c}9" for c in chars[at : at + 128]) for at in range(0, len(chars), 128)] + [None, "", "Z", "-"]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", decontaminate.words(F.col("text")).alias("w")).collect()
+    fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    assert {r["i"]: r["w"] for r in got} == {i: re.findall("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(fold)) for i, t in enumerate(texts)}
+    # a class of ranges is asked range by range, for each character of every text
+    assert "-" not in decontaminate.WORD
+
+
 def test_personal_data_of_clashing_columns(spark):
     docs = spark.createDataFrame([(1, "mail a@b.org", 1, 2, 3)], "doc_id long, text string, m_ip int, s_email int, row int")
     got = pii.find_spans(docs).first()

@@ -28,7 +28,8 @@ WINDOW = 13
 BROADCAST_WINDOWS = 500_000
 #: Gathered places up to this many are broadcast to their documents; more are joined by shuffle.
 BROADCAST_HITS = 500_000
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]++"
+#: [^\x00-\x2F\x3A-\x60\x7B-\x7F]++, its characters one by one: Java finds these in one table, but asks range after range for each character of a text.
+WORD = "[^" + "".join(f"\\x{c:02X}" for c in range(0x80) if not (0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A)) + "]++"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
